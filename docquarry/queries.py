@@ -1,2 +1,10 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+"""All registered queries of the library itself."""
+
+from __future__ import annotations
+
+from docquarry.plans import graph, retrieval
+
+QUERIES, ORACLE_SQL = {}, {}
+for module in (retrieval, graph):
+    QUERIES |= module.R.queries
+    ORACLE_SQL |= module.R.sql
