@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word in Java, RE2 and Python alike; their own \w differ outside ASCII.
 WORD = r"[\p{L}\p{N}_]+"
@@ -18,7 +19,7 @@ def tokens(text: Column, least: int = 1) -> Column:
     return F.filter(found, lambda t: F.length(t) >= least) if least > 1 else found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """HTML entities as characters: Spark has no function for it."""
     return text.map(html.unescape, na_action="ignore")

@@ -84,7 +84,6 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("size", F.explode(F.array(*map(F.lit, (128, 256, 512))))).withColumn("overlap", F.explode(F.array(*map(F.lit, (0, 32, 128, 256))))).where("overlap < size")
 
 
-ACTION = F.when(F.col("event_type") == "click", "open").when(F.col("event_type") == "purchase", "prune").when(F.col("event_type").isin("view", "login"), "activate").otherwise("look")
 SQL_REPLAY = """a AS (SELECT user_id, event_id % 5 AS node, ts, event_id, CASE event_type WHEN 'click' THEN 'open' WHEN 'purchase' THEN 'prune' WHEN 'view' THEN 'activate' WHEN 'login' THEN 'activate' ELSE 'look' END AS action FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id, node ORDER BY ts, event_id) AS i FROM a),
 r AS (WITH RECURSIVE f AS (SELECT user_id, node, 0::BIGINT AS i, 'Inactive' AS state, 0 AS refused FROM (SELECT DISTINCT user_id, node FROM o)
@@ -94,7 +93,9 @@ r AS (WITH RECURSIVE f AS (SELECT user_id, node, 0::BIGINT AS i, 'Inactive' AS s
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actions = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 5).alias("node"), "ts", "event_id", ACTION.alias("action"))
+    kind = F.col("event_type")
+    action = F.when(kind == "click", "open").when(kind == "purchase", "prune").when(kind.isin("view", "login"), "activate").otherwise("look")
+    actions = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 5).alias("node"), "ts", "event_id", action.alias("action"))
     return ctl.replay(actions, ["user_id", "node"], ["ts", "event_id"])
 
 
