@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docquarry.plans import graph, metrics, retrieval, scoring, store
+from docquarry.plans import blocks, graph, metrics, retrieval, scoring, store
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (retrieval, graph, scoring, metrics, store):
+for module in (retrieval, graph, blocks, scoring, metrics, store):
     QUERIES |= module.R.queries
     ORACLE_SQL |= module.R.sql
