@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Classif
     known = mean_labels(labels)
     share = min(1.0, max_labels / max(1, known.count()))
     drawn = known.where(F.shiftrightunsigned(F.xxhash64("label_id"), 11) / F.lit(float(1 << 53)) < share)
-    rows = docs.join(F.broadcast(drawn), docs["doc_id"] == F.col("label_id")).select("label", "text")  # bounded by max_labels
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("label", "text")  # bounded by max_labels
     got = _featured(rows, T.StructType([T.StructField("label", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))]), features).where("x is not null").collect()
     return Classifier(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([r.label for r in got]))
 

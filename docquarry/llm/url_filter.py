@@ -92,7 +92,7 @@ def judge(pages: DataFrame, rules: list[Rule], patterns: tuple[Rule, ...] = PATT
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     urls = scratch.keep(pages.where("url is not null").select("url").distinct(), "urls")
-    best = verdicts(urls, rule_table(spark, [*rules, *patterns]), scratch).withColumnRenamed("url", "best_url")
+    best = verdicts(urls, rule_table(spark, [*rules, *patterns]), scratch).select(F.col("url").alias("__url"), F.col("best").alias("__best"))
     kept = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
-    joined = kept.join(best, F.col("url") == F.col("best_url"), "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    return joined.withColumns({"rule": F.when(F.col("best.explicit") == 1, F.col("best.name")), "verdict": F.coalesce(F.col("best.verdict"), F.lit(default))}).drop("best", "best_url")
+    joined = kept.join(best, F.col("url") == F.col("__url"), "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    return joined.withColumns({"rule": F.when(F.col("__best.explicit") == 1, F.col("__best.name")), "verdict": F.coalesce(F.col("__best.verdict"), F.lit(default))}).drop("__best", "__url")
