@@ -109,58 +109,78 @@ _OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧‰
 _WORD = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+class Recent:
+    """A table that keeps what was used lately: when ``size`` entries are new, those of the round before go."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.old = size, {}, {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """The keys that are not in ``now``; those of the round before come back first."""
+        out = [k for k in keys if k not in self.now]
+        if len(self.now) + len(out) > self.size:
+            self.old, self.now = self.now, {}
+            out = list(keys)
+        if not self.old:
+            return out
+        back = {k: self.old[k] for k in out if k in self.old}
+        self.now.update(back)
+        return [k for k in out if k not in back]
+
+
 class WordEncoder:
     """The tokenizers library over distinct words, for vocabularies with word ends that drop white space.
 
-    Plain Latin texts are cut at white space; each distinct piece is encoded once and kept as packed ids, at most
-    ``max_pieces`` of them. All other texts go to the library whole.
+    Plain Latin texts are cut at white space; each distinct piece is encoded once and kept as packed ids, as long as
+    it is among the last ``max_pieces`` or so. All other texts go to the library whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 500_000):
+    def __init__(self, path: str, max_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.max_pieces = max_pieces
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.pieces, self.words = Recent(max_pieces), Recent(max_pieces // 2)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, pieces: set[str]) -> None:
-        parts = {p: _WORD.findall(p.lower()) for p in pieces}
-        new = list(set(chain.from_iterable(parts.values())).difference(self.words))
-        for i in range(0, len(new), 2000):
-            group = new[i : i + 2000]
+    def _learn(self, pieces: list[str]) -> None:
+        single = {p: p.lower() for p in pieces if p.isalpha()}
+        ended = {p: (p[:-1].lower(), p[-1]) for p in pieces if p[-1] in ".," and p[:-1].isalpha()}
+        parts = ended | {p: _WORD.findall(p.lower()) for p in pieces if p not in single and p not in ended}
+        new = self.words.lacking({*single.values(), *chain.from_iterable(parts.values())})
+        for i in range(0, len(new), 4000):
+            group = new[i : i + 4000]
             ids = self._ids(" ".join(group))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group):
                 raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.words.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))  # noqa: B905
+                self.words.now.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))  # noqa: B905
             else:
-                self.words.update((w, self._ids(w).tobytes()) for w in group)
-        get = self.words.__getitem__
-        for p, words in parts.items():
-            self.pieces[p] = b"".join(map(get, words))
+                self.words.now.update((w, self._ids(w).tobytes()) for w in group)
+        get = self.words.now.__getitem__
+        self.pieces.now.update(zip(single, map(get, single.values())))  # noqa: B905
+        self.pieces.now.update(zip(parts, [b"".join(map(get, words)) for words in parts.values()]))  # noqa: B905
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
-        cut = [None if t and _OTHER.search(t) else (t or "").split() for t in texts]
-        found = set(chain.from_iterable(c for c in cut if c))
-        new = found.difference(self.pieces)
-        if len(self.pieces) + len(new) > self.max_pieces:
-            self.pieces.clear()
-            self.words.clear()
-            new = found
-        self._learn(new)
-        get = self.pieces.__getitem__
+        cut = [None if t and _is_other(t) else (t or "").split() for t in texts]
+        self._learn(self.pieces.lacking(set(chain.from_iterable(c for c in cut if c))))
+        get = self.pieces.now.__getitem__
         return [self._ids(t).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
+def _is_other(text: str) -> bool:
+    if text.isascii():
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _OTHER.search(text) is not None
+
+
 _ENCODERS: dict[str, WordEncoder] = {}  # of this worker
 
 
@@ -200,8 +220,8 @@ def segments(docs: DataFrame, path: str, end_id: int = 2, segment_tokens: int =
         for batch in batches:
             kind = batch.schema.field(0).type
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 200):
-                for key, data in zip(keys[i : i + 200], encode(texts[i : i + 200]), strict=True):
+            for i in range(0, len(texts), 500):
+                for key, data in zip(keys[i : i + 500], encode(texts[i : i + 500]), strict=True):
                     ids.append(key)
                     lengths.append(len(data) // 4 + 1)
                     raw += (data, end)
