@@ -13,7 +13,10 @@ bucket, component or fingerprint table reaches one task or the driver.
 
 Edge cases: a text without words, null included, has fingerprint zero and links like any other. Rows of equal
 doc_id are one document; a null doc_id is never the smallest of a component unless it holds nothing else (then the
-component_id is null). An empty table gives an empty result. Extra columns of ``docs`` pass through ``deduplicate``.
+component_id is null). An empty table gives an empty result.
+
+``deduplicate`` serves the pipeline and has another contract: sets of 5-word shingles of similarity 0.8 or more. Its
+rows of null doc_id stay and take no part, texts without words are copies of each other, extra columns pass through.
 """
 
 from __future__ import annotations
@@ -99,13 +102,120 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(found, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest doc_id; same columns.
+#: MinHash bands and rows a band: of pairs of similarity 0.8, one in 40,000 shares no band.
+BANDS, ROWS = 20, 4
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text; the whole text is one if it has fewer words."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    line = b" ".join(words)
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    ends = starts[min(shingle, len(words)) :] if words else []
+    return np.array(sorted({xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(starts, ends)}), np.uint64)  # noqa: B905
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each MinHash band of a set of hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 1000):
+            np.minimum(least, (hashes[i : i + 1000, None] * _FACTORS).min(axis=0), out=least)
+        key = np.arange(BANDS, dtype=np.uint64)
+        for column in least.reshape(BANDS, ROWS).T:
+            key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    h = xxh3_64_intdigest(hashes.tobytes())
+    return h - (h >> 63 << 64)
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, set, n, keys)`` per row: id and size of its set of shingles, and the keys of its bands."""
+    rows = docs.where("doc_id is not null").select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
+            keys = [band_keys(h) if len(h) else [] for h in found]
+            arrays = [batch.column(0), pa.array([_set_id(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "set", "n", "keys"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("set long, n long, keys array<long>").fields]))
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, similar: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs ``(a, b)`` of sets whose exact similarity, shared shingles / all shingles, is enough."""
+    wanted = scratch.keep(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct().join(distinct.select("set", "first_doc"), "set"), f"wanted-{name}")
+    rows = docs.select("doc_id", "text").join(wanted.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, shingle) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["set", "hashes"])
+
+    # rows of an equal doc_id may have other texts
+    held = scratch.keep(rows.mapInArrow(hashes, "set long, hashes binary").join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), f"hashes-{name}")
+    end = lambda x: held.select(F.col("set").alias(f"set_{x}"), F.col("hashes").alias(f"hashes_{x}"))
+    joined = pairs.join(end("a"), F.col("a") == F.col("set_a")).join(end("b"), F.col("b") == F.col("set_b")).select("a", "b", "hashes_a", "hashes_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return scratch.keep(joined.mapInArrow(run, "a long, b long"), f"alike-{name}")
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)`` of documents linked by sets of shingles of at least that similarity.
+
+    A few bits of a 64-bit fingerprint don't reach such pairs (their median is about 10 bits), so candidates share one
+    of the MinHash bands. Each set is compared with the first one of its bands; then those of a band that aren't in
+    one component yet are compared with each other. So no candidate is lost, and a large group of near copies costs
+    rows in proportion to its members.
+    """
+    sets = scratch.keep(_sets(docs, shingle), "sets")
+    distinct = scratch.keep(sets.groupBy("set").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-sets")
+    members = distinct.select("set", "n", F.explode("keys").alias("key"))
+    first = members.groupBy(F.col("key").alias("bucket")).agg(F.count("*").alias("size"), F.min(F.struct("set", "n")).alias("first")).where("size > 1")
+    members = scratch.keep(members.join(first, F.col("key") == F.col("bucket")).select("key", "set", "n", F.col("first.set").alias("lead"), F.col("first.n").alias("lead_n")), "band-members")
+    fits = lambda m, n: F.least(m, n) >= similar * F.greatest(m, n) - 1e-9
+    pairs = scratch.keep(members.where((F.col("set") != F.col("lead")) & fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("set").alias("b")).distinct(), "lead-pairs")
+    found = _alike(pairs, docs, distinct, shingle, similar, scratch, "leads")
+    labels = scratch.keep(connected_components(found, scratch, "lead-cc"), "lead-labels")
+    held = scratch.keep(members.join(labels, F.col("set") == F.col("node"), "left").select("key", "set", "n", F.coalesce("component", "set").alias("component")), "labelled")
+    mixed = held.groupBy(F.col("key").alias("bucket")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    held = scratch.keep(held.join(mixed, F.col("key") == F.col("bucket"), "left_semi"), "mixed")
+    other = held.select(F.col("key").alias("key_b"), F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
+    apart = (F.col("key") == F.col("key_b")) & (F.col("set") < F.col("b")) & (F.col("component") != F.col("component_b")) & fits("n", "n_b")
+    rest = held.join(other, apart).select(F.col("set").alias("a"), "b").distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = scratch.keep(rest, "rest-pairs")
+    found = found.unionByName(_alike(rest, docs, distinct, shingle, similar, scratch, "rest"))
+    labels = scratch.keep(connected_components(found, scratch), "labels")
+    grouped = scratch.keep(distinct.join(labels, F.col("set") == F.col("node"), "left").select("set", "first_doc", F.coalesce("component", "set").alias("component")), "grouped")
+    least = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    of = scratch.keep(grouped.join(least, "component").select(F.col("set").alias("of"), "component_id"), "of")
+    return sets.join(of, F.col("set") == F.col("of")).select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similar: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies, that of the smallest doc_id; same columns.
 
     What leaves is a table of doc_ids; Spark broadcasts it below its threshold and else shuffles the texts once.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.keep(fingerprints(docs, shingle), "fps")
-    found = components(fps, scratch).withColumnRenamed("fp", "of")
-    away = scratch.keep(fps.join(found, F.col("fp") == F.col("of")).where("doc_id <> component_id").select(F.col("doc_id").alias("away_id")).distinct(), "away")
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    away = scratch.keep(near_copies(docs, scratch, shingle, similar).where("doc_id <> component_id").select(F.col("doc_id").alias("away_id")).distinct(), "away")
     return docs.join(away, docs["doc_id"] == away["away_id"], "left_anti")

@@ -75,6 +75,28 @@ def test_simhash_components_equal_plain_version(spark):
     assert [got[f] for f in signed] == [want[i] for i in range(len(fps))]
 
 
+def test_near_copies_of_one_replaced_word_leave(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [[word() for _ in range(rng.randrange(60, 200))] for _ in range(60)]
+    for t in texts[:50]:
+        texts.append([*t])
+        texts[-1][rng.randrange(len(t))] = word()
+    hot = [word() for _ in range(100)]
+    for _ in range(40):
+        texts.append([*hot])
+        for _ in range(2):
+            texts[-1][rng.randrange(100)] = word()
+    texts = [" ".join(t) for t in texts] + [None, "", "one two", "ONE  two", "one three"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    want = union(range(len(texts)), pairs)
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id bigint, text string").withColumn("n", F.lit(1))
+    got = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    assert got == {i for i in want if want[i] == i} | {None} and not got & set(range(60, 110))
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("target", [4096, 40])
 def test_embeddings_equal_plain_version(spark, target):
     rng = np.random.default_rng(1)
