@@ -71,7 +71,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

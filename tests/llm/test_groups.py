@@ -175,6 +175,41 @@ def test_lines_equal_plain_version(spark):
     assert line_dedup.clean(docs.limit(0)).count() == 0 and line_dedup.clean(docs).columns == ["doc_id", "text", "marks", "n_lines", "n_removed"]
 
 
+def plain_lines_every(texts):
+    """As ``plain_lines``, with links whatever the fingerprints."""
+    forms, where = {}, {}
+    for d, text in enumerate(texts):
+        for h, form in line_dedup.line_ids(text)[1].items():
+            forms[h] = form.split(b" ")
+            where.setdefault(h, []).append(d)
+    keys = list(forms)
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if abs(len(forms[a]) - len(forms[b])) <= 0.2 * max(len(forms[a]), len(forms[b])) + 1e-9 and plain_similar(forms[a], forms[b])]
+    group, owner = union(keys, pairs), {}
+    for h in keys:
+        owner[group[h]] = min(owner.get(group[h], 10**9), min(where[h]))
+    return [line_dedup.clean_text(t, {h: (group[h], owner[group[h]] == d) for h in line_dedup.line_ids(t)[1]})[0] for d, t in enumerate(texts)], pairs
+
+
+def test_every_similar_line_leaves(spark):
+    rng = random.Random(7)
+    vocabulary = ["of", "the"] * 40 + ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in (5, 5, 7, 9, 10, 14, 20, 31, 40, 80)]
+    texts = []
+    for i in range(150):
+        line = list(base[i % 10])
+        for _ in range(rng.randrange(0, len(line) // 5 + 2) if i % 3 else 1):
+            kind, at = rng.randrange(3), rng.randrange(len(line))
+            line[at : at + (kind < 2)] = [rng.choice(vocabulary)] * (kind != 1)
+        texts.append(" ".join(line))
+    texts += ["a b c d e f g h i j", "a b c d e f g h i zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.text for r in line_dedup.clean(docs, every=True).orderBy("doc_id").collect()]
+    want, pairs = plain_lines_every(texts)
+    assert got == want and len(pairs) > 200 and got[-1] == ""
+    assert line_dedup.clean(docs, every=False).where("doc_id = 151").first().text == texts[-1]
+    assert line_dedup.clean(docs.limit(0), every=True).count() == 0
+
+
 def test_pipeline_equals_plain_version(spark):
     import duckdb
     from tokenizers import Tokenizer
