@@ -210,6 +210,13 @@ def test_every_similar_line_leaves(spark):
     assert line_dedup.clean(docs.limit(0), every=True).count() == 0
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    texts = ["Stop here.\nfirst\nSTOP here\n\n\n***", "first\nsecond\n***\n", "今日は天気がいいです\nまた", "今日は天気がいいでは\nまた明日"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.text for r in line_dedup.clean(docs, every=True).orderBy("doc_id").collect()]
+    assert got == ["Stop here.\nfirst\n\n\n***", "second\n", "今日は天気がいいです\nまた", "また明日"]
+
+
 def test_pipeline_equals_plain_version(spark):
     import duckdb
     from tokenizers import Tokenizer
