@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.sources.scratch import shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset, a temp folder on a local
-    master and the warehouse on any other."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        root = tempfile.mkdtemp(prefix="docquarry-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those of these names, in any case: Spark doesn't tell cases apart."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
 
 
 class Scratch:
@@ -49,22 +45,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
     hub's edges are summed on the map side and a join on it can be split; nothing is gathered per node.
     Rounds grow with the logarithm of the longest chain. Edges are null-free; loops are ignored.
     """
-    e = scratch.keep(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"
-    )
+    e = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     state = None
     for i in range(1, max_rounds + 1):
         # large star: every node's larger neighbours move to its smallest neighbour
-        up = scratch.keep(e.groupBy("a").agg(F.min("b").alias("m")), f"{name}-u{i}").withColumnRenamed("a", "u")
-        large = scratch.keep(
-            e.join(up, e.b == up.u, "left").select("a", F.coalesce("m", "b").alias("b")).where("a <> b").distinct(), f"{name}-l{i}"
-        )
+        up = e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = scratch.keep(e.join(up, e.b == up.u, "left").select("a", F.coalesce("m", "b").alias("b")).where("a <> b").distinct(), f"{name}-l{i}")
         # small star: every node's smaller neighbours move to the smallest of them
-        low = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-v{i}")
-        moved = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e_next = scratch.keep(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{i}")
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        moved = large.join(low, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e_next = scratch.keep(moved.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), f"{name}-{i}")
         now = tuple(e_next.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        for old in (f"{name}-{i - 1}", f"{name}-u{i}", f"{name}-l{i}", f"{name}-v{i}"):
+        for old in (f"{name}-{i - 1}", f"{name}-l{i}"):
             scratch.drop(old)
         e = e_next
         if now == state or now[0] == 0:
