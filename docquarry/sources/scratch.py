@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}  # by application
+
+
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where unset, a temp folder on a local master and the warehouse on any other."""
+    """``spark.checkpoint.dir``. Where unset, as in tests, a temp folder on a local master; any other must set it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        root = tempfile.mkdtemp(prefix="docquarry-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        root = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="docquarry-")
     return root.rstrip("/")
 
 
