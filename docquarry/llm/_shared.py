@@ -16,6 +16,33 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+class Recent:
+    """A table of a worker that keeps what was used lately: when its entries pass ``size`` bytes, those of the round before go."""
+
+    def __init__(self, size: int, width: int = 1):
+        """``width``: bytes that each part of a value takes."""
+        self.size, self.width, self.held, self.now, self.old = size, width, 0, {}, {}
+
+    def lacking(self, keys: set) -> set:
+        """The keys that are not in ``now``; those of the round before come back first."""
+        out = keys.difference(self.now)
+        if self.old and out:
+            new = out.difference(self.old)
+            self.add({k: self.old[k] for k in out.difference(new)})
+            out = new
+        return out
+
+    def add(self, entries: dict) -> None:
+        """About 190 bytes go with an entry besides its parts."""
+        self.now.update(entries)
+        self.held += 190 * len(entries) + sum(map(len, entries)) + self.width * sum(map(len, entries.values()))
+
+    def turn(self) -> None:
+        """Between batches: what a batch needs stays in ``now``."""
+        if self.held > self.size:
+            self.old, self.now, self.held = self.now, {}, 0
+
+
 class Scratch:
     """Parquet tables of one operator call, in a folder of their own below the shared root.
 

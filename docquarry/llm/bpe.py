@@ -6,8 +6,9 @@ states above it by trying the tokens that end there, and is computed once for al
 Distinct words of a batch go in sorted order, which is the trie in depth-first order: what two neighbours share is
 kept on the stack, only the rest of the path is walked.
 
-Scale: a map over the documents without a shuffle. A worker keeps the encodings of at most ``max_words`` words;
-beyond that it starts anew, so memory is bounded and no word is left out.
+Scale: a map over the documents without a shuffle. A worker keeps the encodings of words, the pairs of tokens tried
+and the ends of paths met while they are in use, each table in two rounds of a bounded number of bytes, so memory is
+bounded and no word is left out.
 
 Splitting into words follows the vocabulary's own pre-tokenizer: texts of plain Latin characters by an equal
 pattern of the standard library, all others by the tokenizers library's splitter.
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from docquarry.llm._shared import Recent, without
+
 #: Characters for which the standard library's classes equal those of the pre-tokenizer; all others go to its own code.
 _OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]")
 _WORD = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -43,7 +46,8 @@ def byte_characters() -> dict[int, str]:
 class TrieBPE:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_bytes: int = 240_000_000):
+        """``max_bytes``: about what the tables of words, pairs and ends may take together."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {c: b for b, c in byte_characters().items()}
@@ -58,7 +62,9 @@ class TrieBPE:
         self.decimal = {i: str(i) for i in self.bytes_of}
         #: A token that the merges don't make of its own bytes is no state of the trie.
         self.made: dict[bytes, bool] = {}
+        #: About 280 bytes an entry of these two.
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.most = max_bytes // 4 // 280
         #: Lengths over 4 of the tokens that end in these 4 bytes; and, of paths met, of all tokens that can end there.
         self.long_ends: dict[bytes, set[int]] = {}
         for t in self.vocab:
@@ -66,8 +72,7 @@ class TrieBPE:
                 self.long_ends.setdefault(t[-4:], set()).add(len(t))
         self.ends: dict[bytes, tuple[int, ...]] = {}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.max_words = max_words
+        self.words = Recent(max_bytes // 4, 8)
         self.path = path
         self._library = None
 
@@ -88,7 +93,7 @@ class TrieBPE:
         the border at that time: the pair doesn't hold if a merge of these came before.
         """
         key = (before, token)
-        if len(self.pairs) > 4_000_000:
+        if len(self.pairs) > self.most:
             self.pairs.clear()
         rank, made_at, limit, ok = self.rank, self.made_at, 1 << 60, True
         while True:
@@ -113,11 +118,14 @@ class TrieBPE:
     def lengths(self, end: bytes) -> tuple[int, ...]:
         """Lengths of the tokens that can end a path whose last bytes (4, or all of a shorter path) are these."""
         long = sorted(self.long_ends.get(end, ()), reverse=True) if len(end) == 4 else []
+        if len(self.ends) > self.most:
+            self.ends.clear()
         self.ends[end] = out = (*long, *(n for n in range(len(end), 0, -1) if end[len(end) - n :] in self.vocab))
         return out
 
     def walk(self, words: list[str]) -> None:
         """Encodes distinct new words into ``self.words``, depth first."""
+        found: dict[str, tuple[int, ...]] = {}
         vocab, pairs, ends, lengths, fits, alone = self.vocab, self.pairs, self.ends, self.lengths, self.fits, self.alone
         last: list[bytes] = [b""]  # last token of each prefix on the path; that of the root is empty
         path = b""
@@ -149,7 +157,8 @@ class TrieBPE:
             while d:
                 ids.append(vocab[last[d]])
                 d -= len(last[d])
-            self.words[text] = tuple(reversed(ids))
+            found[text] = tuple(reversed(ids))
+        self.words.add(found)
 
     def split(self, text: str) -> list[str]:
         if not _OTHER.search(text):
@@ -169,15 +178,10 @@ class TrieBPE:
                 parts.append(list(chain.from_iterable([p] if p in special else self.split(p) for p in at.split(text))))
             else:
                 parts.append(self.split(text))
-        new = set(chain.from_iterable(parts)).difference(self.words)
-        if len(self.words) + len(new) > self.max_words:
-            self.words.clear()
-            new = set(chain.from_iterable(parts))
-        new.difference_update(special)
-        self.walk(list(new))
-        for s, i in special.items():
-            self.words[s] = (i,)
-        get = self.words.__getitem__
+        self.words.turn()
+        self.walk(list(self.words.lacking(set(chain.from_iterable(parts)).difference(special))))
+        self.words.now.update((s, (i,)) for s, i in special.items())
+        get = self.words.now.__getitem__
         return [list(chain.from_iterable(map(get, p))) for p in parts]
 
     def decode(self, ids: list[int]) -> str:
@@ -207,7 +211,7 @@ def _runs(texts: list[str | None], size: int = 2_000_000) -> Iterator[tuple[int,
 
 def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """``docs`` with a last column of token ids of ``text``; an input column of that name is replaced."""
-    kept = docs.select(*[c for c in docs.columns if c != column])
+    kept = docs.select(*without(docs, column))
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +227,7 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
 def decode(rows: DataFrame, path: str, column: str = "decoded", ids: str = "ids") -> DataFrame:
     """``rows`` with a last column: the text of ``ids``; null for null. Bytes that are no UTF-8 become U+FFFD."""
-    kept = rows.select(*[c for c in rows.columns if c != column])
+    kept = rows.select(*without(rows, column))
     at = kept.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

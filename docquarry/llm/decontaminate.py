@@ -4,9 +4,9 @@ A document's text is normalised to ``" w1 w2 ... wn "`` and scanned once; the au
 items' windows in the same form, so a match always covers whole words. Word numbers of matches map back to
 offsets of the original text.
 
-Scale: the scan is a map over the documents, without a shuffle. What each task holds grows with the benchmark
-only; an automaton of more than ``max_block_chars`` pattern characters is cut into blocks of items, and the
-documents are scanned once for each block. Benchmark items are collected to the driver block by block.
+Scale: the scan is a map over the documents, without a shuffle. An automaton of more than ``max_block_chars`` pattern
+characters is cut into blocks of items, which the driver fetches, sends and drops one after the other; the documents
+are scanned once for each block.
 
 Edge cases: a null or word-less text has no words, no hits and is not contaminated. An item without words
 matches nothing. Items with a null id count as hits but are not listed. Rows of equal item_id are one item.
@@ -17,12 +17,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.llm._shared import Scratch, without
+
 WINDOW = 13
 #: Lower-cases A-Z; every other ASCII character that is no letter or digit becomes a space. Bytes over 0x7F stay.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -99,17 +102,18 @@ SCAN = T.StructType(
 )
 
 
-def _blocks(benchmark: DataFrame, max_block_chars: int, size: int) -> list[list[tuple[str | None, str | None]]]:
-    """Items in blocks of bounded pattern size, fetched one partition at a time."""
-    blocks, now, chars = [], [], 0
+def _blocks(benchmark: DataFrame, max_block_chars: int, size: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """Items in blocks of bounded pattern size, one after the other; the driver holds a block and a partition."""
+    now, chars = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator():
         cost = len(row.t or "") * size
         if now and chars + cost > max_block_chars:
-            blocks.append(now)
+            yield now
             now, chars = [], 0
         now.append((row.i, row.t))
         chars += cost
-    return [*blocks, now] if now else blocks
+    if now:
+        yield now
 
 
 def scan(
@@ -117,35 +121,57 @@ def scan(
 ) -> DataFrame:
     """``docs`` with a last struct column: n_words, covered word ranges, their spans in the original, item ids.
 
-    An input column of the same name is replaced.
+    An input column of the same name is replaced. One block of items, as nearly any benchmark is, is one pass without
+    a shuffle. Of several, each is scanned for and its hits are written before the next is read, so that no more than
+    one automaton is held anywhere; then hits meet their texts by a hash.
     """
-    out = docs.select(*[c for c in docs.columns if c != column], F.lit(None).cast(SCAN).alias(column))
-    at = out.columns.index("text")
-    for block in _blocks(benchmark, max_block_chars, window) or [[]]:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner(shared, uuid.uuid4().hex, window, spans, at), out.schema)
-    return out
+    docs, context = docs.select(*without(docs, column)), docs.sparkSession.sparkContext
+    at = docs.columns.index("text")
+    out = T.StructType([*docs.schema.fields, T.StructField(column, SCAN)])
+    blocks = _blocks(benchmark, max_block_chars, window)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_scanner(context.broadcast(first), uuid.uuid4().hex, window, spans, at, column), out)
+    scratch, hits = Scratch(docs.sparkSession, "hits"), None
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit("g"), "text").alias("g"), "text")
+    for i, block in enumerate(chain([first, second], blocks)):
+        shared = context.broadcast(block)
+        found = texts.mapInArrow(_scanner(shared, uuid.uuid4().hex, window, False, 2, "scan"), T.StructType([*texts.schema.fields, T.StructField("scan", SCAN)]))
+        part = scratch.keep(found.where(F.size("scan.items") + F.size("scan.word_ranges") > 0).select("h", "g", "scan.word_ranges", "scan.items").dropDuplicates(["h", "g"]), f"block-{i}")
+        hits = part if hits is None else hits.unionByName(part)
+        shared.destroy()
+    met = hits.groupBy("h", "g").agg(F.flatten(F.collect_list("word_ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[at]
+    plain = docs.toDF(*names)
+    joined = plain.join(met, (F.xxhash64(text) == F.col("h")) & (F.xxhash64(F.lit("g"), text) == F.col("g")), "left").select(*names, "ranges", "items")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, ranges, items in zip(*(c.to_pylist() for c in (batch.column(at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))), strict=True):
+                covered = merge([tuple(r) for r in ranges or ()])
+                rows.append({"n_words": len(words_of(text)), "word_ranges": covered, "spans": original_spans(text, covered) if spans else [], "items": sorted(items or ())})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rows, _ARROW)], names=[*names, column])
+
+    return joined.mapInArrow(gather, T.StructType([*plain.schema.fields, T.StructField(column, SCAN)])).toDF(*docs.columns, column)
 
 
 _AUTOMATA: dict = {}  # of this worker, by block; the tasks of one scan share it
 
 
-def _scanner(shared, key: str, window: int, spans: bool, at: int):
+def _scanner(shared, key: str, window: int, spans: bool, at: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _AUTOMATA:
             _AUTOMATA.clear()
             _AUTOMATA[key] = build_automaton(shared.value, window)
         automaton = _AUTOMATA[key]
         for batch in batches:
-            texts, before = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             rows = []
-            for text, old in zip(texts, before, strict=True):
+            for text in batch.column(at).to_pylist():
                 n, ranges, items = scan_text(automaton, text)
-                if old is not None:
-                    ranges = merge(ranges + [tuple(r) for r in old["word_ranges"]])
-                    items = items | set(old["items"])
                 rows.append({"n_words": n, "word_ranges": ranges, "spans": original_spans(text, ranges) if spans else [], "items": sorted(items)})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, _ARROW)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW)], names=[*batch.schema.names, column])
 
     return run
 
@@ -179,7 +205,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """``docs`` without the contaminated ones; same columns. The scan filters in its own pass, without a join."""
-    names = docs.columns
-    hit = F.aggregate("__scan.word_ranges", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
-    kept = scan(docs, benchmark, window, spans=False, column="__scan").where(~((hit > 0) & (share * hit >= F.col("__scan.n_words"))))
-    return kept.select(*names)
+    column = f"scan_{uuid.uuid4().hex}"
+    hit = F.aggregate(f"{column}.word_ranges", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
+    return scan(docs, benchmark, window, spans=False, column=column).where(~((hit > 0) & (share * hit >= F.col(f"{column}.n_words")))).drop(column)

@@ -1,19 +1,22 @@
-"""Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells.
+"""Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells, one representative a group.
 
-Equal vectors meet first and go on as one with their number. K-means on a bounded sample of each label gives cells;
-a vector's home is the cell of its largest cosine. It is also compared in every other cell a partner may have as its
-home: for unit x, y with cosine >= t, |x - y| <= sqrt(2 - 2t), so y can be at home in j only if
-x.(c_home - c_j) <= sqrt(2 - 2t) * |c_home - c_j|. Links are thus found whole, not with some recall. A cell is cut
-into blocks of about ``block`` vectors; each pair of blocks is one group: a matrix product in double precision.
-From it leave, for each vector, its number of links and one edge to the smallest vector of its part of the block
-pair, never the pairs.
+Equal vectors of a label meet first and go on as one with their number. The vectors of a label are cut into cells by
+spherical k-means, at every size: cells of about ``cell`` vectors, a vector in the ``probes`` cells of its largest cosines,
+so that a pair near a border meets in one of them. Products within a cell are formed by blocks of rows in double
+precision; a pair counts in the first cell it shares. With no more cells than probes every pair of a label is
+compared; beyond that a partner can be missed, a test holds the recall against all pairs.
 
-Scale: the sample is bounded by ``per_cell`` vectors a centroid, centroids by ``max_cells`` a label (their size is
-known before they are broadcast). A block pair is bounded by 2 * block vectors, whatever the cell's size.
+Two levels: a label of more than ``part`` vectors is first cut into parts by k-means, whose centroids (one for ``part`` / 2
+vectors, at most ``max_parts`` a label) are fitted to a bounded sample and broadcast; a vector goes to the parts of its
+``probes`` largest cosines. Cells are made inside a part. So what is shuffled is in proportion to the vectors.
+A part of more than 2 * ``part`` vectors, as a very crowded cluster makes one, is dealt into blocks whose pairs are tasks.
+From a task leave, for each vector, its number of links and one edge to the smallest vector of its component, never
+the pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, or whose label is null, link
 with nothing and are their own component. Vectors of unequal length are compared within their length only. Rows of
-equal vec_id count as separate vectors for n_links and share a component. Empty tables give empty results.
+equal vec_id count as separate vectors for n_links and share a component. Rows of null vec_id link with nothing. Empty
+tables give empty results. Extra columns are of no account, and pass through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,142 +37,166 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Centroids of unit vectors; starts from evenly spread rows, so it is deterministic."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
         home = (x @ c.T).argmax(1)
-        for j in range(k):
-            if len(own := x[home == j]):
-                total = own.sum(0)
-                if (size := np.linalg.norm(total)) > 0:
-                    c[j] = total / size
+        order = np.argsort(home, kind="stable")
+        there, starts = np.unique(home[order], return_index=True)
+        sums = np.add.reduceat(x[order], starts, axis=0)
+        size = np.linalg.norm(sums, axis=1)
+        c[there[size > 0]] = sums[size > 0] / size[size > 0, None]
     return c
 
 
-def _centroids(vectors: DataFrame, target: int, per_cell: int, max_cells: int) -> dict[tuple[int, int], np.ndarray]:
-    sizes = {(r.label, r.dim): r["count"] for r in vectors.groupBy("label", "dim").count().collect()}
-    wanted = {key: min(max_cells, -(-n // target)) for key, n in sizes.items() if n > target}
-    if not wanted:
-        return {}
-    share = F.create_map(*[x for (label, dim), k in wanted.items() for x in (F.lit(f"{label} {dim}"), F.lit(min(1.0, per_cell * k / sizes[label, dim])))])
-    drawn = vectors.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) < F.element_at(share, F.concat_ws(" ", "label", "dim")))
+def _nearest(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
+    """The numbers of the nearest centroids of each vector, ascending."""
+    p = min(probes, len(c))
+    if p == len(c):
+        return np.tile(np.arange(p), (len(x), 1))
+    return np.sort(np.concatenate([np.argpartition(-(x[a : a + 4096] @ c.T), p - 1, axis=1)[:, :p] for a in range(0, len(x), 4096)]), axis=1)
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        key = (rows["label"].iloc[0], rows["dim"].iloc[0])
-        x = _unit(np.array(rows["embedding"].tolist(), np.float64))
-        c = spherical_kmeans(x, min(wanted[key], len(x)))
-        return pd.DataFrame({"label": key[0], "dim": key[1], "c": list(c)})
 
-    got = drawn.groupBy("label", "dim").applyInPandas(fit, T.StructType([vectors.schema["label"], T.StructField("dim", T.IntegerType()), T.StructField("c", T.ArrayType(T.DoubleType()))])).collect()
-    out: dict[tuple[int, int], list] = {}
-    for r in got:
-        out.setdefault((r.label, r.dim), []).append(r.c)
-    return {k: np.array(v) for k, v in out.items()}
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _cells(vectors: DataFrame, centroids: dict, threshold: float) -> DataFrame:
-    """A row for each cell a vector is compared in: cell, and whether it is its home."""
-    shared, reach = vectors.sparkSession.sparkContext.broadcast(centroids), float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+def _sizes(vectors: DataFrame, part: int, max_parts: int) -> DataFrame:
+    """``(of_label, of_dim, k, share)`` of each label: number of parts, and the share of its vectors in the sample."""
+    k = F.when(F.col("count") > part, F.least(F.lit(max_parts), F.ceil(2 * F.col("count") / part))).otherwise(1).cast("int")
+    sizes = vectors.groupBy(F.col("label").alias("of_label"), F.col("dim").alias("of_dim")).count()
+    return sizes.select("of_label", "of_dim", k.alias("k"), (16 * k / F.col("count")).alias("share"))
+
+
+def _centroids(vectors: DataFrame, sizes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Of labels of more than one part; a label's sample is 16 vectors a part."""
+    large = sizes.where("k > 1")
+    drawn = vectors.join(large, (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim")))
+    drawn = drawn.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) < F.col("share")).select("id", "label", "dim", "embedding", "k")
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        x = _unit(_matrix(rows["embedding"].combine_chunks()))
+        c = spherical_kmeans(x, min(rows["k"][0].as_py(), len(x)))
+        return pa.table({"label": rows["label"].take([0]), "dim": rows["dim"].take([0]), "c": pa.array([c.tobytes()], pa.binary())})
+
+    got = drawn.groupBy("label", "dim").applyInArrow(fit, T.StructType([vectors.schema["label"], T.StructField("dim", T.IntegerType()), T.StructField("c", T.BinaryType())])).collect()
+    return {(r.label, r.dim): np.frombuffer(r.c).reshape(-1, r.dim) for r in got}
+
+
+def _parts(vectors: DataFrame, centroids: dict, probes: int) -> DataFrame:
+    """``vectors`` with the array of the parts each goes to."""
+    if not centroids:
+        return vectors.withColumn("parts", F.array(F.lit(0)))
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
-            rows, cells, homes = [], [], []
+            parts: list = [[0]] * batch.num_rows
             by: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(labels, dims, strict=True)):
+            for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
                 by.setdefault(key, []).append(i)
             for key, at in by.items():
-                c = shared.value.get(key)
-                if c is None:
-                    rows += at
-                    cells += [0] * len(at)
-                    homes += [0] * len(at)
-                    continue
-                x = _unit(np.array(batch.column("embedding").take(pa.array(at)).to_pylist(), np.float64))
-                dots = x @ c.T
-                home = dots.argmax(1)
-                far = np.linalg.norm(c[home][:, None, :] - c[None, :, :], axis=2) if len(c) <= 64 else np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
-                near = dots[np.arange(len(at)), home][:, None] - dots <= reach * far + 1e-9
-                i, j = np.nonzero(near)
-                rows += [at[a] for a in i]
-                cells += j.tolist()
-                homes += home[i].tolist()
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int32()), pa.array(homes, pa.int32())], names=[*batch.schema.names, "cell", "home"])
-
-    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.IntegerType())]))
-
-
-def _compare(threshold: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(np.array(rows["embedding"].tolist(), np.float64))
-        ids, n, block, home, cell = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["block"].to_numpy(), rows["home"].to_numpy(), rows["cell"].iloc[0]
-        own, i, j = home == cell, rows["bi"].iloc[0], rows["bj"].iloc[0]
-        close = x @ x.T >= threshold
-        np.fill_diagonal(close, False)
-        # a pair counts in the cell that is the smaller of its two homes, and in the pair of its two blocks
-        pair = (own[:, None] & (home[None, :] >= cell)) | (own[None, :] & (home[:, None] >= cell))
-        pair &= (block[:, None] == i) & (block[None, :] == j) | (block[:, None] == j) & (block[None, :] == i)
-        close &= pair
-        degree, root = (close * n[None, :]).sum(1), np.arange(len(ids))
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        root = rank.copy()
-        while True:  # smallest id of each part, by labels that spread over links
-            spread = np.where(close, root[None, :], len(ids)).min(1, initial=len(ids))
-            new = np.minimum(root, spread)
-            new = np.minimum(new, new[order[new]])
-            if (new == root).all():
-                break
-            root = new
-        some = degree > 0
-        return pd.DataFrame({"id": ids[some], "root": ids[order[root[some]]], "links": degree[some]})
+                if (c := shared.value.get(key)) is not None:
+                    x = _unit(_matrix(batch.column("embedding").take(pa.array(at))))
+                    for i, near in zip(at, _nearest(x, c, probes).tolist(), strict=True):
+                        parts[i] = near
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
+
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("parts", T.ArrayType(T.IntegerType()))]))
+
+
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Unites the sets of i and j in ``root``, which holds the smallest member of each set."""
+    while True:
+        a, b = root[i], root[j]
+        if not (differ := a != b).any():
+            return
+        i, j = i[differ], j[differ]
+        np.minimum.at(root, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that rows of both have."""
+    return np.where(a[:, :, None] == b[:, None, :], a[:, :, None], np.iinfo(a.dtype).max).min(axis=(1, 2))
+
+
+def _compare(threshold: float, cell: int, probes: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids, times, block = (rows[c].to_numpy() for c in ("id", "n", "block"))
+        part, bi, bj = (rows[c][0].as_py() for c in ("part", "bi", "bj"))
+        parts = _matrix(rows["parts"].combine_chunks()).astype(np.int64)
+        x = _unit(_matrix(rows["embedding"].combine_chunks()))
+        k = min(len(x), max(2, -(-len(x) // cell)))
+        cells = _nearest(x, spherical_kmeans(x[np.linspace(0, len(x) - 1, min(len(x), 16 * k)).astype(int)], k), probes)
+        links, root = np.zeros(len(x), np.int64), np.arange(len(x))
+        for c in range(k):
+            at = np.flatnonzero((cells == c).any(1))
+            for a in range(0, len(at), 512):
+                i, j = np.nonzero(x[at[a : a + 512]] @ x[at[a:]].T >= threshold)
+                i, j = at[a + i[j > i]], at[a + j[j > i]]
+                here = _first_shared(cells[i], cells[j]) == c
+                if parts.shape[1] > 1:
+                    here &= _first_shared(parts[i], parts[j]) == part
+                if bi != bj:
+                    here &= block[i] != block[j]
+                i, j = i[here], j[here]
+                np.add.at(links, i, times[j])
+                np.add.at(links, j, times[i])
+                _joined(root, i, j)
+        some = np.flatnonzero(links)
+        return pa.table({"h": rows["h"].to_numpy()[some], "id": ids[some], "root": ids[root[some]], "links": links[some]})
 
     return run
 
 
-def links(vectors: DataFrame, threshold: float, block: int, target: int, per_cell: int, max_cells: int, scratch: Scratch) -> DataFrame:
-    """``(id, root, links)`` parts of every distinct vector's links; ``vectors`` is (id, label, dim, embedding, n)."""
-    members = scratch.keep(_cells(vectors, _centroids(vectors, target, per_cell, max_cells), threshold), "cells")
-    sizes = scratch.keep(members.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
-    dealt = members.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "id", "n", "embedding", "label", "dim", "cell", "home", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
-    )
-    return pairs.groupBy("label", "dim", "cell", "bi", "bj").applyInPandas(_compare(threshold), "id long, root long, links long")
-
-
-def near_duplicates(
-    embeddings: DataFrame, threshold: float = 0.98, block: int = 512, target: int = 4096, per_cell: int = 50, max_cells: int = 256
-) -> DataFrame:
+def links(vectors: DataFrame, threshold: float, cell: int, probes: int, part: int, max_parts: int, scratch: Scratch) -> DataFrame:
+    """``(h, id, root, links)`` parts of every distinct vector's links; ``vectors`` is (h, id, label, dim, embedding, n)."""
+    sizes = scratch.keep(_sizes(vectors, part, max_parts), "sizes")
+    centroids = _centroids(vectors, sizes) if sizes.where("k > 1").count() else {}
+    members = _parts(vectors, centroids, probes).withColumn("part", F.explode("parts"))
+    if centroids:
+        members = scratch.keep(members, "members")
+        crowded = members.groupBy("label", "dim", "part").count().where(F.col("count") > 2 * part)
+        crowded = crowded.select(F.col("label").alias("of_label"), F.col("dim").alias("of_dim"), F.col("part").alias("of_part"), F.ceil(F.col("count") / part).cast("int").alias("blocks"))
+        same = (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim")) & (F.col("part") == F.col("of_part"))
+        members = members.join(crowded, same, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        members = members.withColumn("blocks", F.lit(1))
+    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = members.select("h", "id", "n", "embedding", "parts", "label", "dim", "part", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    return pairs.groupBy("label", "dim", "part", "bi", "bj").applyInArrow(_compare(threshold, cell, probes), "h long, id long, root long, links long")
+
+
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, cell: int = 512, probes: int = 3, part: int = 32_768, max_parts: int = 8192) -> DataFrame:
     """Per row of ``embeddings(vec_id, embedding, label)``: vec_id, n_links, component_id, kept."""
     scratch = Scratch(embeddings.sparkSession, "embeddings")
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    rows = embeddings.select("vec_id", "embedding", "label")
     sound = (
         F.col("label").isNotNull()
+        & F.col("vec_id").isNotNull()
         & (F.coalesce(F.size("embedding"), F.lit(0)) > 0)
         & F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
         & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False))
     )
-    key = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.transform("embedding", lambda v: (v + 0.0).cast("string")), ",")), 256)
-    rows = rows.withColumn("of", F.when(sound & F.col("vec_id").isNotNull(), key))
-    distinct = scratch.keep(
-        rows.where("of is not null").groupBy("of").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first(F.size("embedding")).alias("dim"), F.first("embedding").alias("embedding")),
-        "distinct",
-    )
-    found = scratch.keep(links(distinct.drop("of"), threshold, block, target, per_cell, max_cells, scratch), "links")
-    sums = scratch.keep(found.groupBy(F.col("id").alias("sum_id")).agg(F.sum("links").alias("links")), "sums")
+    # 128 bits of hash say which vectors are equal
+    rows = rows.withColumns({"h": F.when(sound, F.xxhash64("label", "embedding")), "g": F.xxhash64(F.lit("g"), "embedding", "label")})
+    first = F.min_by(F.struct("label", F.size("embedding").alias("dim"), "embedding"), "vec_id")
+    distinct = rows.where("h is not null").groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), first.alias("v"))
+    distinct = scratch.keep(distinct.select("h", "g", "id", "n", "v.label", "v.dim", "v.embedding"), "distinct")
+    found = scratch.keep(links(distinct.drop("g"), threshold, cell, probes, part, max_parts, scratch), "links")
+    sums = found.groupBy(F.col("h").alias("sum_h")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    parts = scratch.keep(parts, "parts")
     classes = (
-        distinct.select(F.col("of").alias("class"), "id", "n").join(sums, F.col("id") == F.col("sum_id"), "left").join(parts, F.col("id") == F.col("node"), "left")
-        .select("class", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
+        distinct.select(F.col("h").alias("of_h"), F.col("g").alias("of_g"), "id", "n").join(sums, F.col("of_h") == F.col("sum_h"), "left").join(parts, F.col("id") == F.col("node"), "left")
+        .select("of_h", "of_g", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    )
     classes = scratch.keep(classes, "classes")
-    out = rows.select("vec_id", "of").join(classes, F.col("of") == F.col("class"), "left")
+    out = rows.select("vec_id", "h", "g").join(classes, (F.col("h") == F.col("of_h")) & (F.col("g") == F.col("of_g")), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn(
         "kept", F.col("vec_id") == F.col("component_id")
     )
@@ -178,5 +204,5 @@ def near_duplicates(
 
 def deduplicate(embeddings: DataFrame, **options) -> DataFrame:
     """``embeddings`` with one representative of each group, that of the smallest vec_id."""
-    gone = near_duplicates(embeddings, **options).where("not kept").select(F.col("vec_id").alias("gone_id"))
+    gone = near_duplicates(embeddings, **options).where("not kept").select(F.col("vec_id").alias("gone_id")).distinct()
     return embeddings.join(gone, embeddings["vec_id"] == gone["gone_id"], "left_anti")

@@ -22,16 +22,17 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm._shared import Scratch
+from docquarry.llm._shared import Recent, Scratch
 
 MAGIC, BLOCK = b"DAC1", 512
 
@@ -109,33 +110,15 @@ _OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧‰
 _WORD = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
-class Recent:
-    """A table that keeps what was used lately: when ``size`` entries are new, those of the round before go."""
-
-    def __init__(self, size: int):
-        self.size, self.now, self.old = size, {}, {}
-
-    def lacking(self, keys: set[str]) -> list[str]:
-        """The keys that are not in ``now``; those of the round before come back first."""
-        out = [k for k in keys if k not in self.now]
-        if len(self.now) + len(out) > self.size:
-            self.old, self.now = self.now, {}
-            out = list(keys)
-        if not self.old:
-            return out
-        back = {k: self.old[k] for k in out if k in self.old}
-        self.now.update(back)
-        return [k for k in out if k not in back]
-
-
 class WordEncoder:
     """The tokenizers library over distinct words, for vocabularies with word ends that drop white space.
 
-    Plain Latin texts are cut at white space; each distinct piece is encoded once and kept as packed ids, as long as
-    it is among the last ``max_pieces`` or so. All other texts go to the library whole.
+    Plain Latin texts are lower-cased and cut at white space as Arrow columns; each distinct piece of a batch is encoded
+    once and kept as packed ids while it is in use, in two rounds of about ``max_bytes`` each. All other texts go to the
+    library whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 300_000):
+    def __init__(self, path: str, max_bytes: int = 120_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -144,35 +127,62 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(1 + max(vocab.values()), bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.pieces, self.words = Recent(max_pieces), Recent(max_pieces // 2)
+        self.pieces = Recent(max_bytes)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, pieces: list[str]) -> None:
-        single = {p: p.lower() for p in pieces if p.isalpha()}
-        ended = {p: (p[:-1].lower(), p[-1]) for p in pieces if p[-1] in ".," and p[:-1].isalpha()}
-        parts = ended | {p: _WORD.findall(p.lower()) for p in pieces if p not in single and p not in ended}
-        new = self.words.lacking({*single.values(), *chain.from_iterable(parts.values())})
+    def _learn(self, pieces: set[str]) -> None:
+        """Pieces that aren't one word are cut into words, which are learned with the rest."""
+        parts = {p: _WORD.findall(p) for p in pieces if not p.isalpha()}
+        words = self.pieces.lacking(pieces.difference(parts).union(*parts.values()).difference(parts))
+        words.update(w for p, ws in parts.items() if len(ws) == 1 and ws[0] == p for w in ws)
+        new = list(words)
+        found: dict[str, bytes] = {}
         for i in range(0, len(new), 4000):
             group = new[i : i + 4000]
             ids = self._ids(" ".join(group))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group):
                 raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.words.now.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))  # noqa: B905
+                found.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))  # noqa: B905
             else:
-                self.words.now.update((w, self._ids(w).tobytes()) for w in group)
-        get = self.words.now.__getitem__
-        self.pieces.now.update(zip(single, map(get, single.values())))  # noqa: B905
-        self.pieces.now.update(zip(parts, [b"".join(map(get, words)) for words in parts.values()]))  # noqa: B905
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed little-endian 32-bit ids of each text."""
-        cut = [None if t and _is_other(t) else (t or "").split() for t in texts]
-        self._learn(self.pieces.lacking(set(chain.from_iterable(c for c in cut if c))))
+                found.update((w, self._ids(w).tobytes()) for w in group)
+        self.pieces.add(found)
         get = self.pieces.now.__getitem__
-        return [self._ids(t).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        self.pieces.add({p: b"".join(map(get, ws)) for p, ws in parts.items() if p not in found})
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column, and how many each has; a null is an empty text."""
+        other = [i for i, t in enumerate(texts.to_pylist()) if t and _is_other(t)]
+        plain = pc.fill_null(texts, "")
+        if other:
+            mask = np.zeros(len(texts), bool)
+            mask[other] = True
+            plain = pc.if_else(pa.array(mask), "", plain)
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self.pieces.turn()
+        known = set(pieces)
+        known.discard("")
+        if lacking := self.pieces.lacking(known):
+            self._learn(lacking)
+        get = self.pieces.now.get
+        raw = [get(p, b"") for p in pieces]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        counts = np.diff(offsets)
+        if other:
+            whole = {i: self._ids(texts[i].as_py()) for i in other}
+            ids = np.concatenate([np.zeros(0, "<u4"), *(whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)))])
+            counts[other] = [len(x) for x in whole.values()]
+        return ids, counts
 
 
 def _is_other(text: str) -> bool:
@@ -181,6 +191,17 @@ def _is_other(text: str) -> bool:
     return _OTHER.search(text) is not None
 
 
+def _runs(texts: pa.Array, size: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, stop
+        start = stop
+
+
 _ENCODERS: dict[str, WordEncoder] = {}  # of this worker
 
 
@@ -201,8 +222,6 @@ def _segments_schema(doc_id: T.DataType) -> T.StructType:
 def segments(docs: DataFrame, path: str, end_id: int = 2, segment_tokens: int = 500_000) -> DataFrame:
     """Rows of the file format for ``docs(doc_id, text)``, in ascending doc_id order by (part, seq)."""
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    end = struct.pack("<I", end_id)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -210,27 +229,33 @@ def segments(docs: DataFrame, path: str, end_id: int = 2, segment_tokens: int =
         if path not in _ENCODERS:
             _ENCODERS[path] = WordEncoder(path)
         encode, part = _ENCODERS[path].encode, TaskContext.get().partitionId()
-        ids, lengths, raw, held, seq, before = [], [], [], 0, 0, 0
+        keys, lengths, raw, held, seq, before = [], [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
-            payload = dac_encode(np.frombuffer(b"".join(raw), "<u4"))
-            arrays = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([lengths], pa.list_(pa.int32())), pa.array([payload], pa.binary())]
+            payload = dac_encode(np.concatenate(raw))
+            arrays = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([pa.concat_arrays(keys)], pa.list_(kind)), pa.array([np.concatenate(lengths)], pa.list_(pa.int32())), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "part_offset", "n_tokens", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 500):
-                for key, data in zip(keys[i : i + 500], encode(texts[i : i + 500]), strict=True):
-                    ids.append(key)
-                    lengths.append(len(data) // 4 + 1)
-                    raw += (data, end)
-                    held += lengths[-1]
+            for a, b in _runs(batch.column(1)):
+                ids, counts = encode(batch.column(1).slice(a, b - a))
+                ids = np.insert(ids, np.cumsum(counts), end_id)  # after each document
+                counts += 1
+                stops, done = np.cumsum(counts), 0
+                while done < len(counts):  # documents up to the one that fills the segment
+                    start = int(stops[done - 1]) if done else 0
+                    last = min(int(np.searchsorted(stops, start + segment_tokens - held)) + 1, len(counts))
+                    keys.append(batch.column(0).slice(a + done, last - done))
+                    lengths.append(counts[done:last])
+                    raw.append(ids[start : stops[last - 1]])
+                    held += int(stops[last - 1]) - start
+                    done = last
                     if held >= segment_tokens:
                         yield row()
                         before, seq = before + held, seq + 1
-                        ids, lengths, raw, held = [], [], [], 0
-        if ids:
+                        keys, lengths, raw, held = [], [], [], 0
+        if held:
             yield row()
 
     return ordered.mapInArrow(run, _segments_schema(ordered.schema["doc_id"].dataType))
