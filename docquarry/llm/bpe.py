@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docquarry.llm._shared import Recent, without
+from docquarry.llm._shared import Recent, slices, without
 
 #: Characters for which the standard library's classes equal those of the pre-tokenizer; all others go to its own code.
 _OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]")
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
+        for batch in slices(batches, 2000):
             texts = batch.column(at).to_pylist()
             for a, b in _runs(texts):
                 ids = pa.array(bpe.encode_batch(texts[a:b]), pa.list_(pa.int32()))
@@ -248,7 +248,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         decimal, pieces = bpe.decimal.__getitem__, bpe.bytes_of.__getitem__
-        for batch in batches:
+        for batch in slices(batches, 2000):
             texts, n, ids_sha, text_sha = batch.column(1).to_pylist(), [], [], []
             for a, b in _runs(texts):
                 for ids in bpe.encode_batch(texts[a:b]):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm._shared import Scratch, without
+from docquarry.llm._shared import Scratch, slices, without
 
 WINDOW = 13
 #: Lower-cases A-Z; every other ASCII character that is no letter or digit becomes a space. Bytes over 0x7F stay.
@@ -147,7 +147,7 @@ def scan(
     joined = plain.join(met, (F.xxhash64(text) == F.col("h")) & (F.xxhash64(F.lit("g"), text) == F.col("g")), "left").select(*names, "ranges", "items")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, ranges, items in zip(*(c.to_pylist() for c in (batch.column(at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))), strict=True):
                 covered = merge([tuple(r) for r in ranges or ()])
@@ -166,7 +166,7 @@ def _scanner(shared, key: str, window: int, spans: bool, at: int, column: str):
             _AUTOMATA.clear()
             _AUTOMATA[key] = build_automaton(shared.value, window)
         automaton = _AUTOMATA[key]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(at).to_pylist():
                 n, ranges, items = scan_text(automaton, text)

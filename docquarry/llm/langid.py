@@ -4,9 +4,10 @@ Each language has a codeword; one binary classifier over hashed character trigra
 language whose codeword loses least, bits weighted by how well they did in training, is the answer. A small lead
 over the second is flagged as ambiguous.
 
-Training: at most about ``per_language`` documents of each language, drawn by a hash of doc_id (a bounded sample, a
-parameter); their trigram counts are summed in Spark. All bits come from one table of counts per language, of
-``BUCKETS`` entries each, so the model's size depends on the number of languages only.
+Training: at most about ``per_language`` documents of each of the ``max_languages`` languages with most documents, drawn by a
+hash of doc_id (a bounded sample, two parameters). The trigram counts of four fifths are summed in Spark; the rest tells
+how far each bit can be trusted. All bits come from one table of counts per language, of ``BUCKETS`` entries each, so
+the model's size has a bound.
 
 Scale: training reads a sample, prediction is a map without a shuffle over whole texts.
 
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.llm._shared import slices, without
+
 BUCKETS = 1 << 14
 _LETTERS = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -82,39 +85,40 @@ class Model:
         return self.languages[order[0]], float(1 / (1 + np.exp(-lead)))
 
 
-def fit(docs: DataFrame, usable: Column, per_language: int = 3000) -> Model:
+def fit(docs: DataFrame, usable: Column, per_language: int = 3000, max_languages: int = 512) -> Model:
     """Learns from text and lang of the rows of ``docs`` where ``usable`` holds and lang is not null."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)) < F.element_at(share, F.col("lang"))
-    sample, place = rows.where(drawn).select("lang", "text"), {x: i for i, x in enumerate(languages)}
+    place, last = {x: i for i, x in enumerate(languages)}, F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 4
+    sample = rows.where(drawn)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(place), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts[place[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
         lang, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[lang, bucket])], names=["l", "g", "n"])
 
-    found = sample.mapInArrow(count, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.where(~last).select("lang", "text").mapInArrow(count, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     counts[found["l"], found["g"]] = found["n"]
     model = Model(languages, counts)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, n = np.zeros(model.code.shape[1], np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 right += model.margins(text) * model.code[place[lang]] > 0
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right), dtype=np.int32)), pa.array(right), pa.array([n] * len(right), pa.int64())], names=["bit", "good", "n"])
 
-    good = sample.mapInArrow(judge, "bit int, good long, n long").groupBy("bit").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
+    good = sample.where(last).select("lang", "text").mapInArrow(judge, "bit int, good long, n long").groupBy("bit").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
     for r in good:
         rate = (r.good + 1) / (r.n + 2)
         model.trust[r.bit] = max(0.05, np.log(rate / (1 - rate)))
@@ -124,11 +128,11 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 3000) -> Model:
 def predict(docs: DataFrame, model: Model, ambiguous_below: float = 0.7) -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous; input columns of these names are replaced."""
     added = ["lang_pred", "score", "ambiguous"]
-    kept = docs.select(*[c for c in docs.columns if c not in added])
+    kept = docs.select(*without(docs, *added))
     at, shared = kept.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
             score = [s for _, s in got]
             yield pa.RecordBatch.from_arrays(

@@ -1,13 +1,15 @@
 """Quality classification by hierarchical empirical Bayes.
 
-A logistic classifier over text features gives each document's own evidence. Grouped sums give every host and every
+A logistic classifier gives each document's own evidence: surface features of its text, and naive Bayes evidence of its
+words and pairs of words, hashed. Grouped sums give every host and every
 path of a host its posterior: a path's mean is shrunk toward its host's, a host's toward the global one, by
-strengths fitted to the spread between sites (method of moments), so a sparse site says little. A document's
+strengths fitted to the spread of paths within their hosts and of hosts (method of moments), so a sparse site says little. A document's
 quality combines its own log odds with those of its path against the global prior; its own part is taken out of
 its site first.
 
 Training: at most about ``max_labels`` labelled documents, drawn by a hash of doc_id (a bounded sample, a
-parameter). Counts and site statistics cover all documents.
+parameter). Half of them give the words' evidence, by sums made in Spark, the other half the classifier over it. Counts and
+site statistics cover all documents.
 
 Scale: texts are read where they are; only (doc_id, host, path, log odds) rows and per-site sums are shuffled. A hot
 host is summed on the map side. Site tables are written, so that Spark knows their size and broadcasts them only
@@ -30,15 +32,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm._shared import Scratch
+from docquarry.llm._shared import Scratch, slices
+from docquarry.llm.line_dedup import word_hashes
 
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-?!()")
 _STOPS = b".,;:'\"-?!()"
-FEATURES = ["symbols", "stops", "exclaims", "digits", "upper", "word_length", "long_words", "distinct", "repeats", "line_words", "log_words", "one"]
-
-
-def features(text: str | None) -> list[float] | None:
-    """Of the whole text; None if it has no words."""
+FEATURES = ["symbols", "stops", "exclaims", "digits", "upper", "word_length", "long_words", "distinct", "repeats", "line_words", "log_words", "words", "pairs", "one"]
+#: Buckets of hashed words, and of pairs of words.
+BUCKETS = 1 << 12
+#: Lower-cases A-Z; ASCII that is no letter or digit becomes a space.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
+def hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of the pairs of neighbouring words of a text in UTF-8."""
+    plain = b" ".join(data.translate(_PLAIN).split())
+    if not plain:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = word_hashes(plain)
+    with np.errstate(over="ignore"):
+        two = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h >> np.uint64(52)).astype(np.int64), (two >> np.uint64(52)).astype(np.int64)
+
+
+def features(text: str | None, evidence: np.ndarray) -> list[float] | None:
+    """Of the whole text; None if it has no words. ``evidence``: log ratios of the buckets of words and of pairs."""
     words = text.split() if text else []
     if not words:
         return None
@@ -58,14 +76,16 @@ def features(text: str | None) -> list[float] | None:
         sum(map(str.__eq__, words, words[1:])) / n,
         min(50.0, n / (1 + text.count("\n"))),
         float(np.log(n)),
+        *(float(evidence[k][buckets].mean()) if len(buckets) else 0.0 for k, buckets in enumerate(hashed(data))),
         1.0,
     ]
 
 
 class Classifier:
-    """Logistic regression, fitted by Newton steps on standardised features."""
+    """Logistic regression, fitted by Newton steps on standardised features, with the evidence these rest on."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, evidence: np.ndarray, ridge: float = 1.0):
+        self.evidence = evidence
         k = len(FEATURES)
         self.mean, self.scale, self.w = np.zeros(k), np.ones(k), np.zeros(k)
         self.prior = float((y.sum() + 1) / (len(y) + 2))
@@ -84,7 +104,10 @@ class Classifier:
             if np.abs(step).max() < 1e-8:
                 break
 
-    def log_odds(self, x: list[float]) -> float:
+    def log_odds(self, text: str | None) -> float | None:
+        """Null for a text without words."""
+        if (x := features(text, self.evidence)) is None:
+            return None
         return float(np.clip(((np.array(x) - self.mean) / self.scale) @ self.w, -15, 15))
 
 
@@ -93,7 +116,7 @@ def _featured(rows: DataFrame, out: T.StructType, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = {"array<double>": pa.list_(pa.float64()), "double": pa.float64()}[out.fields[-1].dataType.simpleString()]
-        for batch in batches:
+        for batch in slices(batches):
             made = [make(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, kind)], names=out.names)
 
@@ -108,9 +131,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Classif
     known = mean_labels(labels)
     share = min(1.0, max_labels / max(1, known.count()))
     drawn = known.where(F.shiftrightunsigned(F.xxhash64("label_id"), 11) / F.lit(float(1 << 53)) < share)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("label", "text")  # bounded by max_labels
-    got = _featured(rows, T.StructType([T.StructField("label", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))]), features).where("x is not null").collect()
-    return Classifier(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([r.label for r in got]))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id"))  # bounded by max_labels
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # rows of an equal doc_id are one
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    evidence = _evidence(rows.where(half == 0).select("label", "text"))
+    out = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    got = _featured(rows.where(half == 1).select("label", "text"), out, lambda t: features(t, evidence)).where("x is not null").collect()
+    return Classifier(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([r.label for r in got]), evidence)
+
+
+def _evidence(rows: DataFrame) -> np.ndarray:
+    """Log ratios of the buckets' shares in good and in bad texts of ``rows(label, text)``: one row for words, one for pairs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2, BUCKETS))
+        for batch in slices(batches):
+            for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, buckets in enumerate(hashed(text.encode("utf-8", "surrogatepass"))):
+                    seen = np.bincount(buckets, minlength=BUCKETS) / max(1, len(buckets))  # a text counts once, however long
+                    sums[1, k] += label * seen
+                    sums[0, k] += (1 - label) * seen
+        c, k, b = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(sums[c, k, b])], names=["c", "k", "b", "s"])
+
+    found = rows.mapInArrow(count, "c int, k int, b int, s double").groupBy("c", "k", "b").agg(F.sum("s").alias("s")).toArrow()
+    sums = np.zeros((2, 2, BUCKETS))
+    sums[found["c"].to_numpy(), found["k"].to_numpy(), found["b"].to_numpy()] = found["s"].to_numpy()
+    smooth = sums.sum(0) / max(1e-9, sums.sum() / 2) + 1 / BUCKETS  # rare buckets say little
+    share = (sums + smooth) / (sums + smooth).sum(2, keepdims=True)
+    return np.log(share[1] / share[0]).astype(np.float32)
 
 
 def log_odds(docs: DataFrame, model: Classifier, host: Column, path: Column) -> DataFrame:
@@ -118,16 +167,17 @@ def log_odds(docs: DataFrame, model: Classifier, host: Column, path: Column) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "text")
     out = T.StructType([rows.schema["doc_id"], T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("own", T.DoubleType())])
-    return _featured(rows, out, lambda t: None if (x := features(t)) is None else shared.value.log_odds(x))
+    return _featured(rows, out, lambda t: shared.value.log_odds(t))
 
 
-def _strength(sites: DataFrame, mean: float) -> float:
-    """Prior observations worth of the spread between the means of sites of (n, s)."""
-    r = sites.where("n > 1").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2)).alias("ss"), F.count("*").alias("k"), F.sum(F.lit(1.0)).alias("one")).first()
-    if not r.n or not 0 < mean < 1:
+def _strength(sites: DataFrame) -> float:
+    """Prior observations worth of the spread of the means of sites (n, s) around those of what they belong to (m)."""
+    spread, noise = F.pow(F.col("s") / F.col("n") - F.col("m"), 2), F.col("m") * (1 - F.col("m"))
+    r = sites.where("n > 1").agg(F.sum("n").alias("n"), F.sum(F.col("n") * spread).alias("ss"), F.sum(noise).alias("expected"), F.sum(F.col("n") * noise).alias("noise")).first()
+    if not r.n or not r.noise:
         return 10.0
-    within = mean * (1 - mean)
-    between = max((r.ss - r.k * within) / r.n, within / 10_000)
+    within = r.noise / r.n
+    between = max((r.ss - r.expected) / r.n, within / 10_000)
     return float(min(max(within / between - 1, 0.5), 10_000))
 
 
@@ -145,13 +195,12 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thresh
     hosts = scratch.keep(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(total.s / total.n) if total.n else 0.5
-    at_host, at_path = _strength(hosts, mean), _strength(paths, mean)
+    of_host = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     sites = scratch.keep(
-        paths.join(hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s")), F.col("host") == F.col("h")).select(
-            F.col("host").alias("site_host"), F.col("path").alias("site_path"), "host_n", "host_s", F.col("n").alias("path_n"), F.col("s").alias("path_s")
-        ),
-        "sites",
+        paths.join(of_host, F.col("host") == F.col("h")).select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "host_n", "host_s", F.col("n").alias("path_n"), F.col("s").alias("path_s")), "sites"
     )
+    at_host = _strength(hosts.withColumn("m", F.lit(mean)))
+    at_path = _strength(sites.select(F.col("path_n").alias("n"), F.col("path_s").alias("s"), (F.col("host_s") / F.col("host_n")).alias("m")))
     odds = lambda p: F.log(p / (1 - p))
     clip = lambda p: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
     joined = rows.join(sites, (F.col("host") == F.col("site_host")) & (F.col("path") == F.col("site_path")))

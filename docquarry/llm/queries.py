@@ -41,8 +41,6 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-
-
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
@@ -112,7 +110,8 @@ r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{n}', '{n.partition('/')[0]}',
 best AS (SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, max_by(r.verdict, length(rule)) AS verdict
   FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL)
 SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict,
-  CASE WHEN regexp_matches(p.host || p.path, '^(?:[^/]*\\.)?(?:spam-farm|cheap-pills)\\.') OR regexp_matches(p.host || p.path, '^(?:[^/]*[.-])?casino[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+  CASE WHEN regexp_matches(p.host || p.path, '^(?:[^/]*\\.)?(?:spam-farm|cheap-pills)\\.') OR regexp_matches(p.host || p.path, '^(?:[^/]*[.-])?casino[.-]')
+    OR regexp_matches(p.host || p.path, '^(?:[^/]*\\.)?(?:free-bets|adult-[^./]*|ads-track[^./]*)\\.') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (page_id, host, path)""",
 }
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm._shared import Scratch, connected_components
+from docquarry.llm._shared import Scratch, connected_components, slices
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
             keys = [band_keys(h) if len(h) else [] for h in found]
             arrays = [batch.column(0), pa.array([_set_id(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
@@ -158,7 +158,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int,
     rows = docs.select("doc_id", "text").join(wanted.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t, shingle) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["set", "hashes"])
 
@@ -168,7 +168,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int,
     joined = pairs.join(end("a"), F.col("a") == F.col("set_a")).join(end("b"), F.col("b") == F.col("set_b")).select("a", "b", "hashes_a", "hashes_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

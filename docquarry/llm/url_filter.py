@@ -17,12 +17,13 @@ repeated results; equal rules count once. Extra columns of ``pages`` pass throug
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm._shared import Scratch
+from docquarry.llm._shared import Scratch, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,11 +48,14 @@ def host_path_rule(verdict: str, name: str) -> Rule:
     return Rule(name, r"^(?:[^/]*\.)?" + re.escape(host) + re.escape(slash + path), verdict, tuple(inside), True)
 
 
-#: The method's own patterns: hosts that sell links or goods by keyword.
+#: The method's own patterns: hosts that sell links or goods by keyword, and trackers. A larger list is a parameter of ``judge``.
 PATTERNS = (
     Rule("spam farms", r"^(?:[^/]*\.)?spam-farm\.", "block", ("spam", "farm")),
     Rule("pill shops", r"^(?:[^/]*\.)?cheap-pills\.", "block", ("cheap", "pills")),
     Rule("casinos", r"^(?:[^/]*[.-])?casino[.-]", "block", ("casino",)),
+    Rule("bets", r"^(?:[^/]*\.)?free-bets\.", "block", ("free", "bets")),
+    Rule("adult", r"^(?:[^/]*\.)?adult-[^./]*\.", "block", ("adult",)),
+    Rule("trackers", r"^(?:[^/]*\.)?ads-track[^./]*\.", "block", ("ads",)),
 )
 
 
@@ -92,7 +96,8 @@ def judge(pages: DataFrame, rules: list[Rule], patterns: tuple[Rule, ...] = PATT
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     urls = scratch.keep(pages.where("url is not null").select("url").distinct(), "urls")
-    best = verdicts(urls, rule_table(spark, [*rules, *patterns]), scratch).select(F.col("url").alias("__url"), F.col("best").alias("__best"))
-    kept = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
-    joined = kept.join(best, F.col("url") == F.col("__url"), "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    return joined.withColumns({"rule": F.when(F.col("__best.explicit") == 1, F.col("__best.name")), "verdict": F.coalesce(F.col("__best.verdict"), F.lit(default))}).drop("__best", "__url")
+    url, met = f"url_{uuid.uuid4().hex}", f"best_{uuid.uuid4().hex}"
+    best = verdicts(urls, rule_table(spark, [*rules, *patterns]), scratch).select(F.col("url").alias(url), F.col("best").alias(met))
+    kept = pages.select(*without(pages, "host", "path", "rule", "verdict"))
+    joined = kept.join(best, F.col("url") == F.col(url), "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    return joined.withColumns({"rule": F.when(F.col(f"{met}.explicit") == 1, F.col(f"{met}.name")), "verdict": F.coalesce(F.col(f"{met}.verdict"), F.lit(default))}).drop(url, met)

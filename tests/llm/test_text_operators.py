@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, chat, decontaminate, langid, quality, token_store, url_filter
+from docquarry.llm._shared import Scratch
 from docquarry.llm.queries import tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -98,10 +100,24 @@ def test_bpe_query_equals_library(spark, library):
     assert [r.decoded for r in both] == [t or "" for t in texts]
 
 
-def test_few_words_kept_changes_nothing(library):
-    small = bpe.TrieBPE(tokenizer("byte_bpe_50k.json"), max_words=3)
-    texts = ["one two three", "four five six seven", "one two"]
-    assert [small.encode_batch([t])[0] for t in texts] == [library["byte_bpe_50k.json"].encode(t).ids for t in texts]
+def test_small_tables_change_nothing(library):
+    small = bpe.TrieBPE(tokenizer("byte_bpe_50k.json"), max_bytes=3000)
+    rng = random.Random(8)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("aeionrst") for _ in range(rng.randrange(1, 9))) for _ in range(30))
+        assert small.encode_batch([text, "one two"]) == [library["byte_bpe_50k.json"].encode(t).ids for t in (text, "one two")]
+        assert len(small.pairs) <= small.most + 1 and len(small.ends) <= small.most + 1 and len(small.words.now) + len(small.words.old) < 90
+
+
+def test_tokenizers_with_repeats_and_empty_tables(spark):
+    path = tokenizer("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(None, "a b", 1), (3, "a b", 2), (3, "a b", 2), (3, None, 2)], "doc_id bigint, text string, IDS int")
+    got = bpe.digests(docs, path).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (3, 0), (3, 2), (3, 2)]
+    assert bpe.digests(docs.limit(0), path).count() == 0
+    assert bpe.encode(docs, path).columns == ["doc_id", "text", "ids"]
+    store = sorted(((r.doc_id is not None, r.doc_id, r.start, r.n_tokens) for r in token_store.round_trip(docs, tokenizer("word_bpe_49k.json")).collect()), key=lambda x: x[2])
+    assert [x[1:] for x in store] == [(None, 0, 3), (3, 3, 1), (3, 4, 3), (3, 7, 3)]
 
 
 @settings(max_examples=100, deadline=None)
@@ -121,9 +137,22 @@ def test_dac_reads_back(ids, top):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n'sahe.<|")), max_size=40), max_size=4))
 def test_word_encoder_equals_library(library, texts):
-    enc = token_store.WordEncoder(tokenizer("word_bpe_49k.json"), max_pieces=20)
+    if not hasattr(test_word_encoder_equals_library, "encoder"):
+        test_word_encoder_equals_library.encoder = token_store.WordEncoder(tokenizer("word_bpe_49k.json"), max_bytes=4000)
     want = [e.ids for e in library["word_bpe_49k.json"].encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == want
+    ids, counts = test_word_encoder_equals_library.encoder.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == want and len(ids) == counts.sum()
+
+
+def test_segments_of_any_size(spark):
+    texts = ["word " * n for n in (3, 1, 0, 50, 2, 7)] * 20
+    docs = documents(spark, texts)
+    want = [(r.start, r.n_tokens, r.ids_crc32) for r in token_store.round_trip(docs, tokenizer("word_bpe_49k.json")).orderBy("doc_id").collect()]
+    folder = f"{Scratch(spark, 'test').root}/files"
+    token_store.write(docs, tokenizer("word_bpe_49k.json"), folder, segment_tokens=40)
+    files = spark.read.parquet(folder)
+    assert [(r.start, r.n_tokens, r.ids_crc32) for r in token_store.read(files).orderBy("doc_id").collect()] == want
+    assert files.count() > 20 and files.where("n_tokens > 40 + 51").count() == 0
 
 
 def test_token_store_query(spark, library):
@@ -147,6 +176,44 @@ def test_language_id_on_held_out_documents(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_language_id_equals_plain_version(spark):
+    """Counts, bits and decoding once more, text by text."""
+    words = {"aa": "kala muna toki sina lipu", "bb": "strung werft dachs blitz", "cc": "oui eau ciel nuit"}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(12)), lang) for i, lang in enumerate(list(words) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    asked = [" ".join(rng.choice(" ".join(words.values()).split()) for _ in range(6)) for _ in range(40)]
+    model = langid.fit(docs, F.lit(True))
+    got = [r.lang_pred for r in langid.predict(documents(spark, asked), model).orderBy("doc_id").collect()]
+
+    bucket = lambda text: [(sum(ord(c) << 8 * (2 - k) for k, c in enumerate(f" {text} "[i : i + 3])) * 2654435761 % 2**32) >> 18 for i in range(len(text))]
+    learned = [r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) != 4).collect()]
+    counts = {lang: [0.5] * langid.BUCKETS for lang in words}
+    for i, text, lang in rows:
+        if i in learned:
+            for b in bucket(text):
+                counts[lang][b] += 1
+    share = {lang: np.array(c) / sum(c) for lang, c in counts.items()}
+    cuts = [({"aa"}, {"bb", "cc"}), ({"bb"}, {"aa", "cc"}), ({"cc"}, {"aa", "bb"})]
+    right = 0
+    for text, answer in zip(asked, got, strict=True):
+        loss = dict.fromkeys(words, 0.0)
+        for one, two in cuts:
+            w = np.log(np.mean([share[x] for x in one], axis=0)) - np.log(np.mean([share[x] for x in two], axis=0))
+            margin = sum(w[b] for b in bucket(text)) / len(bucket(text)) * min(64, len(bucket(text)))
+            for lang in words:
+                loss[lang] += np.logaddexp(0, -margin if lang in one else margin)
+        right += min(loss, key=loss.get) == answer
+    assert right == len(asked)  # every bit is right on the last fold, so all weigh alike
+
+
+def test_language_id_without_labels(spark):
+    docs = spark.createDataFrame([(1, "text here", None), (2, "more", None)], "doc_id bigint, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in langid.identify(docs).collect()} == {("und", 0.0)}
+    some = spark.createDataFrame([(i, f"w{i} text", f"l{i % 4}" if i < 40 else "l0") for i in range(60)], "doc_id bigint, text string, lang string")
+    assert langid.fit(some, F.lit(True), max_languages=2).languages == ["l0", "l1"]
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 6, 9, 40):
         code = langid.codewords(n)
@@ -154,61 +221,62 @@ def test_codewords_are_apart():
         assert apart.min() >= max(1, code.shape[1] // 4)
 
 
-def plain_quality(rows, labels, max_labels=20_000):
-    """rows of (doc_id, text, source, lang); labels of (doc_id, quality)."""
-    known = {}
-    for d, q in labels:
-        known.setdefault(d, []).append(q)
-    known = {d: sum(q) / len(q) for d, q in known.items()}
-    x = [(quality.features(t), known[d]) for d, t, _, _ in rows if d in known]
-    x = [(f, y) for f, y in x if f is not None]
-    model = quality.Classifier(np.array([f for f, _ in x]), np.array([y for _, y in x]))
-    own = [None if (f := quality.features(t)) is None else model.log_odds(f) for _, t, _, _ in rows]
-    p = [0.0 if o is None else 1 / (1 + np.exp(-o)) for o in own]
-    y = [known.get(d, p[i]) for i, (d, _, _, _) in enumerate(rows)]
-    hosts, paths = {}, {}
-    for (_, _, h, l), v in zip(rows, y, strict=True):
-        for table, key in ((hosts, h), (paths, (h, l))):
-            n, s = table.get(key, (0, 0.0))
-            table[key] = (n + 1, s + v)
-    n, s = len(rows), sum(y)
-    mean = s / n
-
-    def strength(sites):
-        some = [(a, b) for a, b in sites.values() if a > 1]
-        total, ss = sum(a for a, _ in some), sum(a * (b / a - mean) ** 2 for a, b in some)
-        within = mean * (1 - mean)
-        between = max((ss - len(some) * within) / total, within / 10_000)
-        return min(max(within / between - 1, 0.5), 10_000)
-
-    kh, kp = strength(hosts), strength(paths)
+def plain_site_quality(rows, y, own):
+    """Quality of (host, path) rows from labels or estimates y and own log odds, site by site."""
+    n, mean = len(rows), sum(y) / len(rows)
+    members = lambda key: {k: [i for i, r in enumerate(rows) if key(r) == k] for k in {key(r) for r in rows}}
+    hosts, paths = members(lambda r: r[0]), members(lambda r: r)
+
+    def strength(sites, parent):
+        some = [(s, parent(k)) for k, s in sites.items() if len(s) > 1]
+        total = sum(len(s) for s, _ in some)
+        within = sum(len(s) * m * (1 - m) for s, m in some) / total
+        spread = sum(len(s) * (sum(y[i] for i in s) / len(s) - m) ** 2 - m * (1 - m) for s, m in some) / total
+        return min(max(within / max(spread, within / 10_000) - 1, 0.5), 10_000)
+
+    host_mean = {h: sum(y[i] for i in s) / len(s) for h, s in hosts.items()}
+    kh, kp = strength(hosts, lambda h: mean), strength(paths, lambda p: host_mean[p[0]])
     odds = lambda v: np.log(v / (1 - v))
     out = []
-    for i, (_, _, h, l) in enumerate(rows):
-        hn, hs = hosts[h]
-        pn, ps = paths[h, l]
-        host = (hs - y[i] + kh * mean) / (hn - 1 + kh)
-        path = min(max((ps - y[i] + kp * host) / (pn - 1 + kp), 1e-6), 1 - 1e-6)
-        out.append(0.0 if own[i] is None else 1 / (1 + np.exp(-(own[i] + odds(path) - odds(mean)))))
+    for i in range(n):
+        other = lambda s: sum(y[j] for j in s if j != i)  # noqa: B023, E731
+        host = (other(hosts[rows[i][0]]) + kh * mean) / (len(hosts[rows[i][0]]) - 1 + kh)
+        path = (other(paths[rows[i]]) + kp * host) / (len(paths[rows[i]]) - 1 + kp)
+        out.append(0.0 if own[i] is None else 1 / (1 + np.exp(-(own[i] + odds(min(max(path, 1e-6), 1 - 1e-6)) - odds(mean)))))
     return out
 
 
-def test_quality_equals_plain_version(spark):
+def test_sites_equal_plain_version(spark):
+    """The posteriors by brute force, on the classifier's own odds; the classifier itself is held to unseen labels below."""
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     rows = [(r.doc_id, r.text, r.source, r.lang) for r in docs.orderBy("doc_id").collect()] + [(900 + i, t, "src0", "en") for i, t in enumerate(ODD)]
     every = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
     got = quality.score(every, labels, F.col("source"), F.col("lang")).orderBy("doc_id").collect()
-    want = plain_quality(rows, [(r.doc_id, r.quality) for r in labels.collect()])
+    known = {r.doc_id: float(r.quality) for r in labels.collect()}
+    own = [None if not r.p_doc else np.log(r.p_doc / (1 - r.p_doc)) for r in got]
+    y = [known.get(r.doc_id, r.p_doc) for r in got]
+    want = plain_site_quality([(s, lang) for _, _, s, lang in rows], y, own)
     assert [r.quality for r in got] == pytest.approx(want, abs=1e-6)
     assert not got[200].keep  # the empty text
 
 
-def test_quality_knows_junk(spark):
+def test_quality_of_unseen_documents(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    got = quality.score(docs, labels, F.col("source"), F.col("lang")).select("doc_id", "keep").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    got = quality.score(docs, labels.where("doc_id % 5 <> 0"), F.col("source"), F.col("lang")).select("doc_id", "keep").join(labels.where("doc_id % 5 = 0"), "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
     kept = {r.quality: r.kept for r in got}
-    assert kept[1] > 0.98 and kept[0] < 0.2
+    assert sum(r.n for r in got) > 600 and kept[1] > 0.98 and kept[0] < 0.1
+
+
+def test_words_alone_tell_quality_apart(spark):
+    """Texts alike on the surface: only which words they hold tells them apart."""
+    rng = random.Random(9)
+    good, bad = (["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)] for _ in range(2))
+    texts = [" ".join(rng.choice((bad, good)[i % 2]) for _ in range(40)) for i in range(400)]
+    docs = documents(spark, texts).withColumns({"source": F.lit("s"), "lang": F.lit("x")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    got = quality.score(docs, labels, F.col("source"), F.col("lang")).where("doc_id >= 300").collect()
+    assert sum(r.keep == (r.doc_id % 2 == 1) for r in got) > 95
 
 
 def test_quality_edge_cases(spark):
@@ -217,6 +285,8 @@ def test_quality_edge_cases(spark):
     kept = quality.keep_good(docs, none, F.col("source"), F.col("lang"))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(ODD) if t and t.split()}
     assert quality.score(docs.limit(0), none, F.col("source"), F.col("lang")).count() == 0
+    twice = spark.createDataFrame([(0, 0), (0, 1), (5, 1), (5, 1), (None, 0), (7, None), (4, 0)], "doc_id bigint, quality int")
+    assert quality.score(docs.unionByName(docs), twice, F.col("source"), F.col("lang")).count() == 2 * len(ODD)
 
 
 def test_chat_round_trip(spark):
@@ -260,3 +330,37 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge(pages, [], ()).collect()} == {"allow"}
     with pytest.raises(ValueError):
         url_filter.judge(pages, [url_filter.Rule("any", ".", "block", ())])
+
+
+def test_thousands_of_url_rules(spark):
+    rng = random.Random(12)
+    names = sorted({"".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(3000)})
+    rules = [url_filter.host_path_rule("block" if i % 2 else "allow", f"{h}.com/{'x/' if i % 3 else ''}") for i, h in enumerate(names)]
+    patterns = tuple(url_filter.Rule(f"p {h}", rf"^{h}-shop\.", "block", (h, "shop")) for h in names[:1000])
+    urls = [f"http://{rng.choice(['', 'www.'])}{rng.choice(names)}{rng.choice(['.com', '-shop.net'])}/{rng.choice(['x/1', 'y', ''])}" for _ in range(500)]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id int, url string, __url int").withColumn("HOST", F.lit("h"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules, patterns).collect()}
+    for i, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)
+        fit = [(len(r.name), r.name, r.verdict) for r in rules if (host == r.name.split("/")[0] or host.endswith("." + r.name.split("/")[0])) and ("/" + path).startswith("/" + r.name.split("/", 1)[1])]
+        own = any(host == f"{h}-shop.net" for h in names[:1000])
+        assert got[i] == (max(fit)[1:] if fit else (None, "block" if own else "allow")), u
+    assert url_filter.judge(pages, rules[:3], patterns[:3]).columns == ["page_id", "url", "__url", "host", "path", "rule", "verdict"]
+
+
+def test_chat_edge_cases(spark):
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (1, 1, "user", "x"), (1, 1, "assistant", "y"), (1, 1, "assistant", "y"), (1, None, "user", "first")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").withColumn("Position", F.lit(1))
+    got = {r.conv_id: r for r in chat.digests(chat.examples(df)).collect()}
+    want = "user\nfirst\nassistant\ny\nassistant\ny\nuser\nx\n"
+    assert got[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[1].loss_chars == 2 and got[None].n_turns == 2
+
+
+def test_contamination_edge_cases(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc", 0), (1, "aa bb cc", 0), (None, None, 0), (2, "", 0)], "doc_id bigint, text string, SCAN int")
+    items = spark.createDataFrame([(None, "bb"), (4, "aa bb"), (4, "aa bb")], "item_id bigint, text string")
+    for size in (10**6, 1):
+        rows = decontaminate.scan(docs, items, max_block_chars=size)
+        assert rows.columns == ["doc_id", "text", "scan"]
+        got = sorted((r.doc_id or 0, r.scan.n_words, tuple(map(tuple, r.scan.word_ranges)), tuple(r.scan["items"])) for r in rows.collect())
+        assert got == [(0, 0, (), ()), (1, 3, ((0, 2),), ("4",)), (1, 3, ((0, 2),), ("4",)), (2, 0, (), ())]
