@@ -44,7 +44,7 @@ def in_mask(covered: Column, allowed: Column, pair_is_range: bool = False) -> Co
 
 def relevance(kind: Column, text: Column, terms: Column) -> Column:
     """Prior of a node's type, plus up to 10 for distinct question terms of 4 characters or more found in its text."""
-    prior = F.when(kind.isin("table", "chart", "image"), 8).when(kind.isin("title", "paragraph"), 3).otherwise(0)
+    prior = F.when(kind.isin("title", "table", "figure", "image", "chart"), 8).when(kind.isin("paragraph", "text", "list"), 3).otherwise(0)
     return prior + F.least(F.lit(10), F.size(F.filter(F.array_distinct(terms), lambda t: (F.length(t) >= 4) & F.contains(text, t))))
 
 
@@ -52,7 +52,7 @@ def seeded_subset(rows: DataFrame, by: str, item: str, seed: int, n: int) -> Dat
     """``n`` items of each group, drawn by a hash of seed, group and item: the same rows on every run."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(by), F.col(item)), item)
+    order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(by).cast("string"), F.col(item).cast("string"))), item)
     return rows.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= n)
 
 
@@ -102,3 +102,19 @@ def missing_artifacts(samples: DataFrame, key: str, kinds: dict[str, DataFrame])
         out = out.join(there, F.col(key) == F.col(f"{name}_key"), "left")
     lacking = F.filter(F.array(*[F.when(F.col(f"{n}_key").isNull(), F.lit(n)) for n in kinds]), lambda x: x.isNotNull())
     return out.select(key, lacking.alias("missing")).where(F.size("missing") > 0)
+
+
+def without_image_links(rows: DataFrame, text: str) -> DataFrame:
+    return rows.withColumn(text, F.regexp_replace(text, r"!\[\]\([^)]*\)", ""))
+
+
+def page_text(blocks: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``(*keys, text)``: a page's blocks, each as its type and index in brackets over its text, joined by blank lines.
+
+    ``blocks(*keys, order, type, text)``; blocks without text are left out, a page without any is ``[EMPTY PAGE]``.
+    """
+    body = normalize_block(F.col("text"))
+    part = F.when(body != "", F.concat(F.lit("["), "type", F.lit(" "), F.col(order).cast("string"), F.lit("]\n"), body))
+    held = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct(F.col(order).alias("at"), part.alias("part"))))).alias("parts"))
+    text = normalize_block(F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n"))
+    return held.select(*keys, F.coalesce(F.nullif(text, F.lit("")), F.lit("[EMPTY PAGE]")).alias("text"))

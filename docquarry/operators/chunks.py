@@ -27,6 +27,22 @@ def page_windows(pages: DataFrame, keys: list[str], size: int, overlap: int, tok
     return cut.select(*keys, "chunk_index", "start", F.slice(tokens, F.col("start") + 1, F.lit(size)).alias(tokens))
 
 
+def before(rows: DataFrame, by: str, order: str, value: str, width: int = 1024) -> DataFrame:
+    """``rows`` with ``before`` and ``total``: the sum of a value over the group's rows of a lesser number, and over all of them.
+
+    Groups may be hot, so no window holds one: rows are numbered within parts of ``width`` consecutive numbers of the
+    order, and the parts' sums run in turn. Equal numbers count as one place.
+    """
+    at = rows.withColumn("part", F.floor(F.col(order) / width))
+    sums = at.groupBy(by, "part").agg(F.sum(value).alias("part_sum"))
+    upto = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(by).alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("part_sum").over(upto), F.lit(0)).alias("base"), F.sum("part_sum").over(Window.partitionBy(by)).alias("total"))
+    within = Window.partitionBy(by, "part").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    inside = at.withColumn("inside", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    joined = inside.join(sums, (F.col(by) == F.col("of")) & (F.col("part") == F.col("of_part")))
+    return joined.select(*rows.columns, (F.col("base") + F.col("inside")).alias("before"), "total")
+
+
 def cross_page_windows(pages: DataFrame, doc: str, page: str, n_tokens: str, size: int, overlap: int, max_pages: int | None = None) -> DataFrame:
     """``(doc, chunk_index, page, first, last)``: the tokens of each page that a window of the whole document covers.
 
@@ -34,9 +50,7 @@ def cross_page_windows(pages: DataFrame, doc: str, page: str, n_tokens: str, siz
     pages; the next still starts a step on, so tokens between may be in no chunk. Only page sizes are shuffled.
     """
     step = check_window(size, overlap)
-    order = Window.partitionBy(doc).orderBy(page)
-    at = pages.select(doc, page, F.col(n_tokens).alias("n")).withColumn("off", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
-    at = at.withColumn("total", F.sum("n").over(Window.partitionBy(doc))).where("n > 0")
+    at = before(pages.select(doc, page, F.col(n_tokens).alias("n")), doc, page, "n").withColumnRenamed("before", "off").where("n > 0")
     last = F.greatest(F.lit(0), F.ceil((F.col("total") - size) / step))
     low = F.greatest(F.lit(0), F.floor((F.col("off") - size) / step) + 1)
     high = F.least(last, F.floor((F.col("off") + F.col("n") - 1) / step))
@@ -50,10 +64,9 @@ def cross_page_windows(pages: DataFrame, doc: str, page: str, n_tokens: str, siz
 
 def context_words(items: DataFrame, group: str, order: str, n_words: str, limit: int) -> DataFrame:
     """How many words before and after each item lie within ``limit``, walking outward over its neighbours."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(group).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    some = lambda w: F.least(F.coalesce(F.sum(n_words).over(w), F.lit(0)), F.lit(limit)).cast("long")
-    return items.withColumns({"words_before": some(before), "words_after": some(after)})
+    some = lambda n: F.least(n, F.lit(limit)).cast("long")
+    placed = before(items, group, order, n_words)
+    return placed.withColumns({"words_before": some(F.col("before")), "words_after": some(F.col("total") - F.col("before") - F.col(n_words))}).drop("before", "total")
 
 
 def pages_of_words(words: DataFrame, keys: list[str], block: str, line: str, place: str, word: str) -> DataFrame:
@@ -61,3 +74,24 @@ def pages_of_words(words: DataFrame, keys: list[str], block: str, line: str, pla
     some = words.where(F.btrim(word) != "")
     lines = some.groupBy(*keys, block, line).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, word))), lambda x: x[word]), " ").alias("line_text"))
     return lines.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(block, line, "line_text"))), lambda x: x["line_text"]), "\n").alias("text"))
+
+
+def masked_pages(pages: DataFrame, words: DataFrame, keys: list[str], page: str, limit: int, block: str, line: str, place: str, word: str) -> DataFrame:
+    """``(*keys, page, text)`` of the pages below a limit, from their words; a page without words is ``[EMPTY PAGE]``."""
+    some = pages_of_words(words.where(F.col(page) < limit), [*keys, page], block, line, place, word)
+    return pages.where(F.col(page) < limit).select(*keys, page).join(some, [*keys, page], "left").withColumn("text", F.coalesce(F.nullif(F.btrim("text"), F.lit("")), F.lit("[EMPTY PAGE]")))
+
+
+def page_prompt(pages: DataFrame, keys: list[str], page: str, text: str) -> DataFrame:
+    """``(*keys, prompt, n_pages)``: pages by number, each as its number from 1 and its text."""
+    part = F.concat(F.lit("page_no: "), (F.col(page) + 1).cast("string"), F.lit("\n"), F.col(text), F.lit("\n\n"))
+    held = pages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), part.alias("part")))).alias("parts"))
+    return held.select(*keys, F.concat(F.lit("\n\n"), F.array_join(F.transform("parts", lambda x: x["part"]), "")).alias("prompt"), F.size("parts").cast("long").alias("n_pages"))
+
+
+def token_chunks(pages: DataFrame, doc: str, page: str, size: int, overlap: int, cross: bool, max_pages: int | None = None, tokens: str = "tokens") -> DataFrame:
+    """``(doc, page, chunk_index, first, last)``: windows of tokens within pages, or over the pages of a document."""
+    if cross:
+        return cross_page_windows(pages.select(doc, page, F.size(tokens).alias("n")), doc, page, "n", size, overlap, max_pages)
+    cut = page_windows(pages, [doc, page], size, overlap, tokens)
+    return cut.select(doc, page, "chunk_index", F.col("start").alias("first"), (F.col("start") + F.size(tokens) - 1).alias("last"))

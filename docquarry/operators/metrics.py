@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.results import numbered
+from docquarry.sources.scratch import keep
+
 
 def acc_and_f1(rows: DataFrame, by: list[str] | None = None, score: str = "score", gold: str = "answerable", pred: str = "pred_answerable") -> DataFrame:
     """acc: the mean score. Recall: scores of the answerable over their number; precision: the same sum over the
@@ -26,9 +29,12 @@ def group_advantages(rows: DataFrame, by: str, value: str, eps: float = 1e-6) ->
     return full.withColumns({"z": (x - mean) / (F.col("spread") + eps), "loo": x - (F.col("total") - x) / (F.col("n") - 1), "centred": x - mean}).drop("n", "total", "spread")
 
 
-def first_hits(run: DataFrame, qrels: DataFrame, q: str, d: str, order: list[Column]) -> DataFrame:
-    """``(q, d, rank, rel)``: the run's ranks with the relevance of each (0 without a judgement)."""
-    ranked = run.withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy(*order)))
+def first_hits(run: DataFrame, qrels: DataFrame, q: str, d: str, order: list[Column], k: int) -> DataFrame:
+    """``(q, d, rank, rel)``: the run's first ``k`` with the relevance of each (0 without a judgement).
+
+    Spark cuts each task's rows to k a query before they are shuffled, so a query of very many rows is no load.
+    """
+    ranked = run.withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy(*order))).where(F.col("rank") <= k)
     judged = qrels.select(F.col(q).alias("jq"), F.col(d).alias("jd"), "rel")
     return ranked.join(judged, (F.col(q) == F.col("jq")) & (F.col(d) == F.col("jd")), "left").select(q, d, "rank", F.coalesce("rel", F.lit(0)).alias("rel"))
 
@@ -41,8 +47,9 @@ def ir_metrics(hits: DataFrame, qrels: DataFrame, q: str, k: int) -> DataFrame:
         F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias("dcg"),
         F.sum(F.when((F.col("rank") <= k) & (F.col("rel") > 0), 1).otherwise(0)).alias("found"),
     )
-    best = qrels.where("rel > 0").withColumn("i", F.row_number().over(Window.partitionBy(q).orderBy(F.col("rel").desc())))
-    ideal = best.groupBy(F.col(q).alias("iq")).agg(F.sum(F.when(F.col("i") <= k, F.col("rel") / F.log2(F.col("i") + 1)).otherwise(0.0)).alias("idcg"), F.count("*").alias("relevant"))
+    best = qrels.where("rel > 0").withColumn("i", F.row_number().over(Window.partitionBy(q).orderBy(F.col("rel").desc()))).where(F.col("i") <= k)
+    ideal = best.groupBy(F.col(q).alias("iq")).agg(F.sum(F.col("rel") / F.log2(F.col("i") + 1)).alias("idcg"))
+    ideal = ideal.join(qrels.where("rel > 0").groupBy(F.col(q).alias("rq")).agg(F.count("*").alias("relevant")), F.col("iq") == F.col("rq"))
     return top.join(ideal, F.col(q) == F.col("iq"), "left").select(
         q, "rr", F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0)).alias("ndcg"), F.coalesce(F.try_divide("found", "relevant"), F.lit(0.0)).alias("recall")
     )
@@ -59,6 +66,27 @@ def overlapping_groups(rows: DataFrame, group: Column, values: dict[str, Column]
 
 def balanced(rows: DataFrame, size: str, key: str, bins: int) -> DataFrame:
     """A bin for each row, in descending size back and forth over the bins."""
-    place = F.row_number().over(Window.orderBy(F.col(size).desc(), F.col(key))) - 1
+    ordered = numbered(rows.withColumn("order", F.struct((-F.col(size)).alias("size"), F.col(key).alias("key"))), "order", "place")
+    place = F.col("place") - 1
     lap, at = F.floor(place / bins), place % bins
-    return rows.withColumn("bin", F.when(lap % 2 == 0, at).otherwise(bins - 1 - at).cast("int"))
+    return ordered.withColumn("bin", F.when(lap % 2 == 0, at).otherwise(bins - 1 - at).cast("int")).select(*rows.columns, "bin")
+
+
+def flat_metrics(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, path, category, name, value, n)`` of the numbers in nested JSON objects; n is the "count" of the nearest level that has one.
+
+    One pass a level of nesting: objects inside objects go on to the next.
+    """
+    level = rows.select(key, F.lit("").alias("path"), F.col(text).alias("body"), F.lit(None).cast("bigint").alias("n"))
+    found = None
+    while True:
+        parsed = level.withColumn("fields", F.from_json("body", "map<string,string>")).withColumn("n", F.coalesce(F.try_element_at("fields", F.lit("count")).try_cast("bigint"), "n"))
+        fields = parsed.select(key, "path", "n", F.explode("fields").alias("name", "value"))
+        path = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name"))
+        fields = keep(fields.select(key, path.alias("path"), "name", "value", "n"), "metrics")
+        number = F.col("value").try_cast("double")
+        leaves = fields.where((F.col("name") != "count") & number.isNotNull()).select(key, "path", F.substring_index("path", ".", 1).alias("category"), "name", number.alias("value"), "n")
+        found = leaves if found is None else found.unionByName(leaves)
+        level = fields.where(F.startswith("value", F.lit("{"))).select(key, "path", F.col("value").alias("body"), "n")
+        if level.isEmpty():
+            return found

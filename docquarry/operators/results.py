@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.sources.scratch import keep
+
 
 def compact(records: DataFrame, key: str, line: str, good: Column) -> DataFrame:
     """Successful records only; of a key the last one, in the place of its first."""
@@ -66,19 +70,17 @@ def breakdown(rows: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     """Consecutive numbers from 1 in the order of a column: places within range partitions, after the sizes of those before.
 
-    A window over all rows would put them in one task; here the driver gets one size per partition.
+    A window over all rows would put them in one task. The partitions are written once with their number and the
+    places of their rows, so that sizes and places belong to the same cut; the driver gets one size per partition.
     """
+    part, place = f"part_{name}", f"place_{name}"
     parts = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    parts = parts.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1})
-    sizes = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p] = total
-        total += sizes[p]
-    if not before:
-        return rows.withColumn(name, F.lit(0).cast("bigint"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__part"))
-    return parts.withColumn(name, offset + F.col("__place")).drop("__part", "__place")
+    parts = keep(parts.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1}), "numbered")
+    sizes = sorted((r[part], r["count"]) for r in parts.groupBy(part).count().collect())
+    before = list(accumulate((n for _, n in sizes), initial=0))
+    starts = rows.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(sizes, before, strict=False)], f"of_{name} int, before_{name} bigint")
+    joined = parts.join(F.broadcast(starts), F.col(part) == F.col(f"of_{name}"))  # a row a partition
+    return joined.withColumn(name, F.col(f"before_{name}") + F.col(place)).select(*rows.columns, name)
 
 
 def allocate_ids(rows: DataFrame, order: str, name: str, prefix: str, width: int) -> DataFrame:
@@ -92,3 +94,49 @@ def allocate_ids(rows: DataFrame, order: str, name: str, prefix: str, width: int
     free = free.join(have.select(F.col(name).alias("used")), F.col("free_id") == F.col("used"), "left_anti")
     given = numbered(lack.drop(name), order, "place").join(numbered(free, "number", "slot"), F.col("place") == F.col("slot"))
     return have.unionByName(given.select(*[F.col("free_id").alias(name) if c == name else F.col(c) for c in rows.columns]))
+
+
+def sweep(rows: DataFrame, by: str, parameters: dict[str, Column]) -> DataFrame:
+    """Every combination of the distinct values that the rows of an experiment list for each parameter."""
+    lists = rows.groupBy(by).agg(*[F.collect_set(v).alias(k) for k, v in parameters.items()])
+    for k in parameters:
+        lists = lists.withColumn(k, F.explode(k))
+    return lists
+
+
+def official_runs(runs: DataFrame, by: str) -> DataFrame:
+    """The run to report for each group of ``runs(by, run, total, completed, metric)``: complete before partial, then by score, where 0
+    counts as no score, by completed samples, and by name."""
+    score = F.when(F.col("metric") == 0, -1.0).otherwise(F.round("metric", 9))
+    order = [(F.col("completed") == F.col("total")).cast("int").desc(), score.desc(), F.col("completed").desc(), F.col("run").desc()]
+    return best_runs(runs.where("metric is not null and completed > 0"), [by], order)
+
+
+def main_table(runs: DataFrame, methods: tuple[tuple[str, str, str], ...], benchmarks: dict[str, object], literal: list[tuple]) -> DataFrame:
+    """A row for each of the few named methods (run, shown name, kind), beside its best run on each benchmark, and literal rows."""
+    spark = runs.sparkSession
+    out = spark.createDataFrame(list(methods), "run string, method string, kind string")
+    best = best_runs(runs, ["benchmark", "run"], [F.round("metric", 9).desc_nulls_last()])
+    for name, value in benchmarks.items():
+        own = best.where(F.col("benchmark") == value).select(F.col("run").alias(f"{name}_run"), F.col("metric").alias(f"{name}_score"), F.concat_ws("/", "completed", "total").alias(f"{name}_done"))
+        out = out.join(own, F.col("run") == F.col(f"{name}_run"), "left").drop(f"{name}_run").withColumn(f"{name}_done", F.coalesce(f"{name}_done", F.lit("--")))
+    shape = "method string, kind string, " + ", ".join(f"{name}_score double" for name in benchmarks)
+    said = spark.createDataFrame(literal, shape).withColumns({f"{name}_done": F.lit("--") for name in benchmarks})
+    return out.drop("run").unionByName(said)
+
+
+def custom_order(value: Column, first: tuple[str, ...], rest: int = 10) -> Column:
+    """The place of a value in a given order; ``rest`` for others."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, v in enumerate(first) for x in (v, i)]), value), F.lit(rest))
+
+
+def report(rows: DataFrame, name: str, order: list[Column], limit: int) -> DataFrame:
+    """The first lines of a table in an order, numbered. Spark cuts each task's rows to the limit first."""
+    return rows.withColumns({"part": F.lit(name), "line": F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))}).where(F.col("line") <= limit)
+
+
+def case_selection(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """The richest case of each group: decisions count five, opened nodes' actions three, activations one, searches four, and each opened
+    node one. Answerable questions come first; ties go by opened nodes, searches, steps and the key."""
+    rich = rows.withColumn("richness", 5 * F.col("n_decisions") + 3 * F.col("n_open") + F.col("n_activate") + 4 * F.col("n_search") + F.col("opened")).where("richness > 0")
+    return best_runs(rich, by, [F.col(c).desc() for c in ("answerable", "richness", "opened", "n_search", "steps", key)])

@@ -1,19 +1,21 @@
 """Ranking: BM25, dense and multi-vector search, phrase and keyword ranks, packing.
 
-Scores are joined on terms or made by blocked products; no operator forms the product of questions and corpus rows.
+Scores are joined on terms, or made by products of a block of queries and a block of rows, from which the best rows leave.
 All rankings end with a unique key, so results don't depend on the order of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.sources.scratch import keep
+
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group, ranked from 1. Spark cuts each map task's rows to k per group first."""
@@ -25,19 +27,28 @@ def term_counts(chunks: DataFrame, keys: list[str], tokens: str = "tokens") -> D
     return chunks.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def counted_terms(questions: DataFrame, chunks: DataFrame, extra: list[str]) -> DataFrame:
+    """``(corpus, chunk_id, *extra, size, term, tf)`` of the asked terms of each chunk, and a row of term "" for every chunk.
+
+    Written once, so that texts are cut into tokens once: sizes, counts of documents and weights all come from it.
+    """
+    vocabulary = questions.select("corpus", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("term")).distinct()
+    words = chunks.select("corpus", "chunk_id", *extra, F.size("tokens").alias("size"), F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
+    held = words.join(vocabulary, ["corpus", "term"], "left_semi").groupBy("corpus", "chunk_id", *extra, "size", "term").agg(F.count("*").alias("tf"))
+    return keep(held, "terms")
+
+
+def bm25(questions: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``(question_id, corpus, chunk_id, score)`` of the chunks that share a term with a question to their corpus.
 
-    ``questions(question_id, corpus, tokens)``, ``chunks(corpus, chunk_id, tokens)``; a corpus has its own statistics.
-    Terms no question to the corpus has are dropped before they are counted. Repeated question tokens count again.
+    ``questions(question_id, corpus, tokens)``, ``terms`` as ``counted_terms`` gives them; a corpus has its own
+    statistics. Repeated question tokens count again.
     """
     asked = term_counts(questions, ["question_id", "corpus"]).withColumnRenamed("tf", "qtf")
-    vocabulary = asked.select("corpus", "term").distinct()
-    stats = chunks.groupBy("corpus").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_size"))
-    words = chunks.select("corpus", "chunk_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
-    tf = words.join(vocabulary, ["corpus", "term"], "left_semi").groupBy("corpus", "chunk_id", "size", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("corpus", "term").agg(F.count("*").alias("df"))
-    weighed = tf.join(stats, "corpus").join(df, ["corpus", "term"])
+    stats = terms.where("term = ''").groupBy("corpus").agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
+    tf = terms.where("term <> ''")
+    df = tf.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(stats, "corpus")
+    weighed = tf.join(df, ["corpus", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
     weighed = weighed.select("corpus", "chunk_id", "term", part.alias("part"))
@@ -47,107 +58,111 @@ def bm25(questions: DataFrame, chunks: DataFrame, k1: float = 1.5, b: float = 0.
 def bm25_top(questions: DataFrame, chunks: DataFrame, k: int, page_cap: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The ``k`` best chunks of each question's corpus, zero scores kept, at most ``page_cap`` of a page.
 
-    Chunks without a shared term all score zero and go by chunk_id, so a corpus' first k (under a cap: the first
-    ``page_cap`` of each of its first k pages) hold all of them that can be among the best.
-    ``chunks`` has page_index too where a cap is given.
+    ``chunks(corpus, chunk_id, tokens)``, with page_index too where a cap is given. Chunks without a shared term all
+    score zero and go by chunk_id, so a corpus' first k (under a cap: the first ``page_cap`` of each of its first k
+    pages) hold all of them that can be among the best.
     """
-    scored = bm25(questions, chunks, k1, b)
     keys = ["corpus", "chunk_id", *(["page_index"] if page_cap else [])]
-    first = chunks.select(*keys)
+    terms = counted_terms(questions, chunks, keys[2:])
+    scored, first = bm25(questions, terms, k1, b), terms.where("term = ''").select(*keys)
     if page_cap:
+        scored = scored.join(first, ["corpus", "chunk_id"]).select("question_id", *keys, "score")
         first = top_k(first, ["corpus", "page_index"], [F.col("chunk_id").asc()], page_cap, "in_page")
     # a scored chunk may stand in the way of an unscored one, at most k times
     first = top_k(first, ["corpus"], [F.col("chunk_id").asc()], 2 * k, "place").select(*keys)
     filled = questions.select("question_id", "corpus").distinct().join(first, "corpus").select("question_id", *keys, F.lit(0.0).alias("score"))
-    if page_cap:
-        scored = scored.join(chunks.select(*keys), ["corpus", "chunk_id"]).select("question_id", *keys, "score")
-    rows = scored.unionByName(filled).groupBy("question_id", *keys).agg(F.max("score").alias("score"))
+    rows = scored.select("question_id", *keys, "score").unionByName(filled).groupBy("question_id", *keys).agg(F.max("score").alias("score"))
     order = [F.round("score", 9).desc(), F.col("chunk_id").asc()]
     if page_cap:
         rows = top_k(rows, ["question_id", "corpus", "page_index"], order, page_cap, "of_page")
     return top_k(rows, ["question_id", "corpus"], order, k).select("question_id", "corpus", "rank", "chunk_id", "score")
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(ids, vectors, first row of each id) of ``queries(query_id, vecs)`` in blocks, one partition at a time."""
-    ids, rows = [], []
-    for r in queries.select("query_id", "vecs").toLocalIterator():
-        ids.append(r.query_id)
-        rows.append(np.array(r.vecs, np.float64))
-        if len(ids) == size:
-            yield ids, np.concatenate(rows), np.cumsum([0, *map(len, rows[:-1])])
-            ids, rows = [], []
-    if ids:
-        yield ids, np.concatenate(rows), np.cumsum([0, *map(len, rows[:-1])])
-
-
-def vector_top_k(queries: DataFrame, pages: DataFrame, k: int, mean: bool = False, same_group: bool = False, skip_self: bool = False, per_group: bool = False, block: int = 512) -> DataFrame:
-    """``(query_id, page_id, score)``: the ``k`` best pages of each query by late interaction, with their rank.
+def vector_top_k(
+    queries: DataFrame, pages: DataFrame, k: int, mean: bool = False, same_group: bool = False, skip_self: bool = False, per_group: bool = False, query_block: int = 2048, page_block: int = 4096
+) -> DataFrame:
+    """``(query_id, page_id, score, rank)``: the ``k`` best pages of each query by late interaction.
 
     ``queries(query_id, vecs[, grp])`` and ``pages(page_id, vecs[, grp])`` hold arrays of vectors; one vector makes it a
     dense search. The score is the sum over query vectors of the largest product with a page vector (``mean``: the
-    mean of cosines). Queries go in blocks against all pages; each batch of pages keeps k rows a query, so what
-    is shuffled is k rows a query and task. ``same_group`` compares equal ``grp`` only, ``skip_self`` leaves out a page of
-    the query's id, and ``per_group`` ranks the pages of each ``grp`` apart and returns it too.
+    mean of cosines). ``same_group`` compares equal ``grp`` only, ``skip_self`` leaves out a page of the query's id, and
+    ``per_group`` ranks the pages of each ``grp`` apart and returns it too.
+
+    Queries and pages are dealt by a hash into blocks of about ``query_block`` and ``page_block`` rows, within their group
+    under ``same_group``; each pair of blocks is one task's matrix product, from which k rows a query leave. So a
+    task's memory is bounded, no vector passes the driver, and other groups' products are never formed. Queries are
+    read once for each block of pages and pages once for each block of queries.
     """
-    names, out = pages.columns, None
     keys = ["query_id", "grp"] if per_group else ["query_id"]
+    of = F.col("grp").cast("string") if same_group else F.lit("")
+    blocks = lambda rows, size, name: rows.groupBy(of.alias("of")).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    shape = blocks(queries, query_block, "nq").join(blocks(pages, page_block, "np"), "of")
+    page_columns = ["page_id", "vecs", *(["grp"] if per_group else [])]
+    dealt = lambda rows, columns, id_, own, n_own, other, n_other: (
+        rows.select(*columns, of.alias("of")).join(shape, "of")
+        .withColumn(own, F.pmod(F.xxhash64(id_), F.col(n_own)).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+        .select("of", "qb", "pb", *columns)
+    )
+    left = dealt(queries.select("query_id", F.col("vecs").alias("query_vecs"), *(["grp"] if same_group else [])), ["query_id", "query_vecs"], "query_id", "qb", "nq", "pb", "np")
+    right = dealt(pages, page_columns, "page_id", "pb", "np", "qb", "nq")
     kinds = T.StructType([queries.schema["query_id"], pages.schema["page_id"], T.StructField("score", T.DoubleType()), *([pages.schema["grp"]] if per_group else [])])
-    groups = {r.query_id: r.grp for r in queries.select("query_id", "grp").toLocalIterator()} if same_group else {}
-    for ids, vectors, starts in _blocks(queries, block):
-        shared = pages.sparkSession.sparkContext.broadcast((ids, vectors, starts, {i: groups.get(i) for i in ids}))
-        part = pages.mapInArrow(_scorer(shared, k, mean, same_group, skip_self, per_group, names.index("page_id"), names.index("vecs"), names.index("grp") if same_group or per_group else -1), kinds)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = pages.sparkSession.createDataFrame([], kinds)
-    return top_k(out, keys, [F.round("score", 9).desc(), F.col("page_id").asc()], k)
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
-def _scorer(shared, k: int, mean: bool, same_group: bool, skip_self: bool, per_group: bool, at_id: int, at_vecs: int, at_group: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, starts, groups = shared.value
-        if mean:
-            vectors = _unit(vectors)
-        counts = np.diff([*starts, len(vectors)])
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                kept = [(i, np.array(v, np.float64)) for i, v in zip(part.column(at_id).to_pylist(), part.column(at_vecs).to_pylist(), strict=True)]
-                group = part.column(at_group).to_pylist() if at_group >= 0 else None
-                some = [j for j, (_, v) in enumerate(kept) if v.size]
-                if not some:
-                    continue
-                pages = np.concatenate([kept[j][1] for j in some])
-                firsts = np.cumsum([0, *(len(kept[j][1]) for j in some[:-1])])
-                dots = vectors @ (_unit(pages) if mean else pages).T
-                best = np.maximum.reduceat(dots, firsts, axis=1)
-                score = np.add.reduceat(best, starts, axis=0)
-                if mean:
-                    score /= counts[:, None]
-                page_ids = [kept[j][0] for j in some]
-                out_q, out_p, out_s, out_g = [], [], [], []
-                for qi, q in enumerate(ids):
-                    row = np.round(score[qi], 9)
-                    ok = np.array([(not same_group or group[j] == groups[q]) and (not skip_self or kept[j][0] != q) for j in some])
-                    at = np.flatnonzero(ok)
-                    at = at[np.lexsort((np.array(page_ids)[at], -row[at]))]
-                    if per_group:
-                        place: dict = {}
-                        at = np.array([x for x in at if place.setdefault(group[some[x]], []).append(x) or len(place[group[some[x]]]) <= k], np.int64)
-                        out_g += [group[some[x]] for x in at]
-                    else:
-                        at = at[:k]
-                    out_q += [q] * len(at)
-                    out_p += [page_ids[x] for x in at]
-                    out_s += score[qi][at].tolist()
-                grp = [pa.array(out_g, batch.schema.field(at_group).type)] if per_group else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_q), pa.array(out_p, batch.schema.field(at_id).type), pa.array(out_s, pa.float64()), *grp], names=["query_id", "page_id", "score", *(["grp"] if per_group else [])]
-                )
+    pair = ["of", "qb", "pb"]
+    found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(_scorer(k, mean, skip_self, per_group), kinds)
+    return top_k(found, keys, [F.round("score", 9).desc(), F.col("page_id").asc()], k)
+
+
+def _matrix(column: pa.ChunkedArray, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All vectors of a column of arrays of vectors, and how many each row has."""
+    vecs = column.combine_chunks()
+    counts = pa.compute.fill_null(pa.compute.list_value_length(vecs), 0).to_numpy(zero_copy_only=False)
+    flat = vecs.flatten()
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if unit else x), counts
+
+
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` largest values of each row; of equal ones the first columns."""
+    s = -np.round(score, 9)
+    if k < s.shape[1]:
+        row, col = np.nonzero(s <= np.partition(s, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, col = np.divmod(np.arange(s.size), s.shape[1])
+    order = np.lexsort((col, s[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    fits = (place < k) & np.isfinite(s[row, col])
+    return row[fits], col[fits]
+
+
+def _scorer(k: int, mean: bool, skip_self: bool, per_group: bool):
+    def run(queries: pa.Table, pages: pa.Table) -> pa.Table:
+        names = ["query_id", "page_id", "score", *(["grp"] if per_group else [])]
+        empty = pa.table([queries["query_id"].slice(0, 0), pages["page_id"].slice(0, 0), pa.array([], pa.float64()), *([pages["grp"].slice(0, 0)] if per_group else [])], names=names)
+        pages = pages.filter(pa.compute.fill_null(pa.compute.greater(pa.compute.list_value_length(pages["vecs"]), 0), False)).sort_by("page_id")
+        queries = queries.filter(pa.compute.fill_null(pa.compute.greater(pa.compute.list_value_length(queries["query_vecs"]), 0), False))
+        if not len(pages) or not len(queries):
+            return empty
+        (q, n_q), (p, n_p) = _matrix(queries["query_vecs"], mean), _matrix(pages["vecs"], mean)
+        starts, firsts = np.cumsum(n_q) - n_q, np.cumsum(n_p) - n_p
+        page_ids, query_ids = pages["page_id"].to_numpy(), queries["query_id"].to_numpy()
+        groups = pages["grp"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if per_group else np.zeros(len(pages), np.int64)
+        out = []
+        for a in range(0, len(queries), 256):  # a few queries at a time: products of all vectors aren't held at once
+            b = min(len(queries), a + 256)
+            dots = q[starts[a] : starts[b - 1] + n_q[b - 1]] @ p.T
+            score = np.add.reduceat(np.maximum.reduceat(dots, firsts, axis=1), starts[a:b] - starts[a], axis=0)
+            if mean:
+                score /= n_q[a:b, None]
+            if skip_self:
+                score[query_ids[a:b, None] == page_ids[None, :]] = -np.inf
+            for g in np.unique(groups):
+                at = np.flatnonzero(groups == g)
+                row, col = _best(score[:, at], k)
+                out.append((a + row, at[col], score[row, at[col]]))
+        row, col, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        columns = [queries["query_id"].take(pa.array(row)), pages["page_id"].take(pa.array(col)), pa.array(score), *([pages["grp"].take(pa.array(col))] if per_group else [])]
+        return pa.table(columns, names=names)
 
     return run
 
@@ -206,3 +221,37 @@ def mean_vector(vectors: DataFrame, by: list[str], vector: str, weight: Column |
     parts = vectors.withColumn("w", w).select(*by, "w", F.posexplode(vector).alias("dim", "v"))
     sums = parts.groupBy(*by, "dim").agg((F.sum(F.col("w") * F.col("v").cast("double")) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("v"))
     return sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("vec"))
+
+
+def cell_search(queries: DataFrame, pages: DataFrame, k: int, cells: int, probes: int, sample: int = 20_000) -> DataFrame:
+    """``(query_id, page_id, score, rank)``: the best of the pages in the ``probes`` cells nearest to each query: an approximate ranking.
+
+    Cells are the nearest of ``cells`` centroids, fitted by k-means to about ``sample`` pages; every page is in the index. One vector a
+    row, as ``vector_top_k`` takes it; a query meets the pages of its cells by an equi-join, in blocks.
+    """
+    centroids = _fit_cells(pages, cells, sample)
+    near = lambda rows, id_, n: rows.select(id_, "vecs", F.explode(_nearest_cells(centroids, n)("vecs")).alias("grp"))
+    found = vector_top_k(near(queries, "query_id", probes), near(pages, "page_id", 1), k, same_group=True)
+    return top_k(found.drop("rank"), ["query_id"], [F.round("score", 9).desc(), F.col("page_id").asc()], k)
+
+
+def _fit_cells(pages: DataFrame, cells: int, sample: int) -> np.ndarray:
+    share = min(1.0, sample / max(1, pages.count()))
+    drawn = pages.where(F.shiftrightunsigned(F.xxhash64("page_id"), 11) / F.lit(float(1 << 53)) < share).orderBy("page_id").select(F.col("vecs")[0].alias("v")).toArrow()["v"]
+    x = np.array(drawn.to_pylist(), np.float64)
+    c = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy() if len(x) else np.zeros((1, 1))
+    for _ in range(10 if len(x) else 0):
+        home = (x @ c.T).argmax(1)
+        for j in np.unique(home):
+            mean = x[home == j].mean(0)
+            c[j] = mean / max(np.linalg.norm(mean), 1e-12)
+    return c
+
+
+def _nearest_cells(centroids: np.ndarray, n: int):
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def nearest(vecs: pd.Series) -> pd.Series:
+        x = np.array([v[0] for v in vecs], np.float64)
+        return pd.Series(list(np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+    return nearest

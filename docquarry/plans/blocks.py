@@ -42,29 +42,6 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", show(op.allowed_pages(n, 12)).alias("allowed"), show(op.clipped_pages(numbers, n)).alias("clipped"), op.in_mask(covered, mask).alias("as_set"), op.in_mask(covered, mask, True).alias("as_range"))
 
 
-@R.add(
-    "r22_r23_node_relevance",
-    f"""WITH {SQL_BLOCKS}, r AS (SELECT doc_key, id, CASE WHEN type IN ('title', 'paragraph') THEN 3 ELSE 0 END + least(10, len(list_filter(['that', 'with', 'from', 'the'], lambda t: length(t) >= 4 AND contains(lower(tag), t)))) AS score FROM nodes),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY score DESC, id) AS rank FROM r) SELECT doc_key, id, score::INT AS score, rank::INT AS rank FROM k WHERE rank <= 5""",
-)
-def node_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = F.array(*map(F.lit, ("that", "with", "from", "the", "that")))
-    scored = nodes(spark, sf_dir).select("doc_key", "id", op.relevance(F.col("type"), F.lower("tag"), terms).alias("score"))
-    return retrieval.top_k(scored, ["doc_key"], [F.col("score").desc(), F.col("id")], 5)
-
-
-@R.add("p16_seeded_subset")
-def subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five documents of each source, the same on every run: sampling is the operator."""
-    return op.seeded_subset(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 7, 5)
-
-
-@R.add("t17_t20_split_pieces")
-def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = op.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", 1000, 100)
-    return cut.select("doc_id", "piece", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
-
-
 @R.add("t27_templates", "SELECT c_custkey, 'Dear ' || c_name || ', you owe ' || c_nationkey || '.' AS letter FROM customer")
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", op.fill_template("Dear <who>, you owe <sum>.", {"who": F.col("c_name"), "sum": F.col("c_nationkey")}).alias("letter"))
@@ -118,9 +95,9 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.contains(F.lower(F.concat_ws(" ", "source", "lang", "text")), F.lit("the "))).select("doc_id")
 
 
-@R.add("a12_extraction", """SELECT conv_id, turn, trim(regexp_extract('Answer: ' || substr(text, 1, 30) || chr(10) || 'Format: ' || role, 'Answer:\\s*([^\\n]*)', 1)) AS answer, trim(regexp_extract('Answer: ' || substr(text, 1, 30) || chr(10) || 'Format: ' || role, 'Format:\\s*([^\\n]*)', 1)) AS format FROM conversations""")
+@R.add("a12_extraction", """SELECT conv_id, turn, trim(regexp_extract('Answer: ' || text || chr(10) || 'Format: ' || role, 'Answer:\\s*([^\\n]*)', 1)) AS answer, trim(regexp_extract('Answer: ' || text || chr(10) || 'Format: ' || role, 'Format:\\s*([^\\n]*)', 1)) AS format FROM conversations""")
 def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer and format of an extraction's text."""
-    said = F.concat(F.lit("Answer: "), F.substring("text", 1, 30), F.lit("\nFormat: "), "role")
+    said = F.concat(F.lit("Answer: "), "text", F.lit("\nFormat: "), "role")
     part = lambda name: F.btrim(F.regexp_extract(said, rf"{name}:\s*([^\n]*)", 1))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", part("Answer").alias("answer"), part("Format").alias("format"))

@@ -83,12 +83,6 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.add("t01_unescaped_text")
-def unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised text with entities resolved; SQL has no function for these."""
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.normalize_text(F.col("html"))).alias("text_md5"))
-
-
 @R.add(
     "t25_t26_keys_and_markup",
     """SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(url, '(?i)\\.pdf$', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'document') AS doc_key,
@@ -248,7 +242,7 @@ def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    "j12_c10_neighbour_expansion",
+    "j12_followed_edges",
     f"""WITH {SQL_EDGES}, f AS (SELECT doc_key, id FROM nodes WHERE type = 'title'), s AS (SELECT source AS s, target AS t, relation FROM edges UNION ALL SELECT target, source, relation FROM edges),
 e AS (SELECT f.doc_key, s AS from_node, t AS id, relation FROM f JOIN s ON f.id = s.s), r AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY relation, from_node, id) AS rank FROM (SELECT DISTINCT * FROM e))
 SELECT doc_key, from_node, id, relation, rank::INT AS rank FROM r WHERE rank <= 6""",

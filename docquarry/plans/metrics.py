@@ -97,7 +97,7 @@ def ir(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     qrels = events.where("event_id % 5 = 0").select(F.col("event_type").alias("q"), F.col("event_id").alias("d"), (F.col("event_id") % 3).cast("int").alias("rel"))
     run = events.select(F.col("event_type").alias("q"), F.col("event_id").alias("d"), "value")
-    hits = op.first_hits(run, qrels, "q", "d", [F.col("value").desc(), F.col("d").asc()])
+    hits = op.first_hits(run, qrels, "q", "d", [F.col("value").desc(), F.col("d").asc()], 10)
     return _rounded(op.ir_metrics(hits, qrels, "q", 10), "rr", "ndcg", "recall")
 
 
@@ -138,51 +138,6 @@ def stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy((F.col("score") >= 0.999).alias("correct"), "reason").agg(F.count("*").alias("n"))
 
 
-@R.add(
-    "m16_c18_trace_rows",
-    """SELECT user_id, count(*) AS steps, count_if(event_type = 'click') AS clicks, count_if(event_type = 'view') AS views, count(DISTINCT CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS INT) > 0 THEN TRY_CAST(json_extract_string(props, '$.k') AS INT) END) AS iterations FROM events GROUP BY user_id""",
-)
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.count("*").alias("steps"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("views"), F.countDistinct(F.when(k > 0, k)).alias("iterations")
-    )
-
-
-@R.add(
-    "m20_case_selection",
-    f"""WITH {SQL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type, score >= 0.999 ORDER BY score DESC, value DESC, event_id) AS r FROM s) SELECT event_type, score >= 0.999 AS success, event_id, round(score, 6) AS score FROM r WHERE r = 1""",
-)
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scores(spark, sf_dir).withColumn("success", F.col("score") >= 0.999)
-    return rs.best_runs(rows, ["event_type", "success"], [F.col("score").desc(), F.col("value").desc(), F.col("event_id").asc()]).select("event_type", "success", "event_id", F.round("score", 6).alias("score"))
-
-
-@R.add(
-    "m22_m25_trace_deltas",
-    """WITH t AS (SELECT user_id, event_id, event_type, row_number() OVER w - 1 AS step, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, event_id, step::INT AS step, event_type, coalesce(before, '') AS before, before IS NULL OR before <> event_type AS changed FROM t""",
-)
-def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").withColumns({"step": F.row_number().over(w) - 1, "b": F.lag("event_type").over(w)})
-    return rows.select("user_id", "event_id", "step", "event_type", F.coalesce("b", F.lit("")).alias("before"), (F.col("b").isNull() | (F.col("b") != F.col("event_type"))).alias("changed"))
-
-
-#: State of a (question, node) pair from its events; later states in this order win on equal counts.
-STATES = ("view", "click", "add_to_cart", "purchase")
-
-
-@R.add(
-    "m23_m24_state_boards",
-    """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type DESC) AS r, sum(n) OVER (PARTITION BY user_id) AS total FROM c)
-SELECT user_id, event_type AS dominant, n, total::BIGINT AS total FROM r WHERE r = 1""",
-)
-def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return counts.groupBy("user_id").agg(F.max(F.struct("n", F.col("event_type").alias("dominant"))).alias("top"), F.sum("n").alias("total")).select("user_id", "top.dominant", "top.n", "total")
-
-
 @R.add("m26_pivot", "SELECT event_type, max(value) FILTER (event_id % 4 = 0) AS m0, max(value) FILTER (event_id % 4 = 1) AS m1, max(value) FILTER (event_id % 4 = 2) AS m2, max(value) FILTER (event_id % 4 = 3) AS m3 FROM events GROUP BY event_type")
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("col", F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string")))
@@ -264,7 +219,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).groupBy(F.col("c_nationkey").alias("benchmark"), "run").agg(F.count("*").alias("total"), F.count_if(done).alias("completed"), F.avg(F.when(done, F.col("score"))).alias("metric"))
 
 
-@R.add("m10_m11_leaderboard", f"WITH {SQL_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY round(metric, 9) DESC NULLS LAST, completed DESC, run) AS r FROM runs) SELECT benchmark, run, completed, round(metric, 6) AS metric FROM r WHERE r = 1")
+@R.add("m10_leaderboard", f"WITH {SQL_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY round(metric, 9) DESC NULLS LAST, completed DESC, run) AS r FROM runs) SELECT benchmark, run, completed, round(metric, 6) AS metric FROM r WHERE r = 1")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.best_runs(runs(spark, sf_dir), ["benchmark"], [F.round("metric", 9).desc_nulls_last(), F.col("completed").desc(), F.col("run")]).select("benchmark", "run", "completed", F.round("metric", 6).alias("metric"))
 

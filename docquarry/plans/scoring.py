@@ -96,12 +96,12 @@ def set_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "a19_a20_rewards",
-    """WITH c AS (SELECT conv_id, turn, '<think>' || role || '</think> Answer: ' || substr(text, 1, 40) AS r, length(text) AS n FROM conversations)
+    """WITH c AS (SELECT conv_id, turn, '<think>' || role || '</think> Answer: ' || text AS r, length(text) AS n FROM conversations)
 SELECT conv_id, turn, trim(regexp_extract(r, '(?s)<think>(.*?)</think>', 1)) AS think, trim(regexp_extract(r, '(?is)^.*\\banswer\\s*:\\s*([^\\n]*)', 1)) AS answer,
 round(CASE WHEN n <= 200 THEN 0.0::DOUBLE WHEN n >= 800 THEN -1 ELSE (200 - n) / 600.0::DOUBLE END, 6) AS penalty FROM c""",
 )
 def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.concat(F.lit("<think>"), "role", F.lit("</think> Answer: "), F.substring("text", 1, 40))
+    r = F.concat(F.lit("<think>"), "role", F.lit("</think> Answer: "), "text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.tagged(r, "think").alias("think"), fn.last_answer(r).alias("answer"), F.round(fn.length_penalty(F.length("text"), 200, 800), 6).alias("penalty"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import controller as ctl
+from docquarry.operators import results as rs
 from docquarry.plans.common import Registry, table
 from docquarry.plans.graph import SQL_BLOCKS, SQL_SECTIONS, edges, nodes
 from docquarry.sources import files
@@ -30,10 +31,15 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", files.short_path("img", F.col("url")).alias("image"))
 
 
-@R.add("s08_until_first_gap", "WITH p AS (SELECT source, doc_id // 20 AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id // 20) - 1 AS place FROM documents WHERE doc_id % 317 <> 311) SELECT source, page FROM p WHERE page = place")
+@R.add(
+    "s08_until_first_gap",
+    """WITH p AS (SELECT lang, doc_id // 20 AS page, doc_id FROM documents JOIN labels USING (doc_id)), d AS (SELECT DISTINCT lang, page FROM p),
+g AS (SELECT lang, page, dense_rank() OVER (PARTITION BY lang ORDER BY page) - 1 AS place FROM d) SELECT lang, page, doc_id FROM p JOIN g USING (lang, page) WHERE page = place""",
+)
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").where("doc_id % 317 <> 311").select("source", F.floor(F.col("doc_id") / 20).alias("page"))
-    return files.until_first_gap(pages, "source", "page")
+    """Labelled documents as pages, 20 ids a page: each language's up to its first page without one."""
+    pages = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("lang", F.floor(F.col("doc_id") / 20).alias("page"), "doc_id")
+    return files.until_first_gap(pages, "lang", "page")
 
 
 @R.add("s10_s18_first_source", "SELECT user_id, coalesce(max(CASE WHEN event_type = 'purchase' THEN 'a' END), max(CASE WHEN event_type = 'click' THEN 'b' END), max(CASE WHEN event_type = 'view' THEN 'c' END)) AS source FROM events WHERE event_type IN ('purchase', 'click', 'view') GROUP BY user_id")
@@ -77,47 +83,16 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.element_at(found, "b").alias("b"), F.element_at(found, "k").alias("k0")).select("p_partkey", F.substring_index("k0", ".", 1).alias("k"), "b")
 
 
-@R.add("j19_parameter_sweep", "SELECT k.v AS k, s.v AS size, o.v AS overlap FROM (VALUES (1), (3), (5)) k(v), (VALUES (128), (256), (512)) s(v), (VALUES (0), (32), (128), (256)) o(v), (SELECT 1 FROM region LIMIT 1) WHERE o.v < s.v")
-def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parameter rows with a valid overlap; one run each."""
-    one = table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(*map(F.lit, (1, 3, 5)))).alias("k"))
-    return one.withColumn("size", F.explode(F.array(*map(F.lit, (128, 256, 512))))).withColumn("overlap", F.explode(F.array(*map(F.lit, (0, 32, 128, 256))))).where("overlap < size")
-
-
-SQL_REPLAY = """a AS (SELECT user_id, event_id % 5 AS node, ts, event_id, CASE event_type WHEN 'click' THEN 'open' WHEN 'purchase' THEN 'prune' WHEN 'view' THEN 'activate' WHEN 'login' THEN 'activate' ELSE 'look' END AS action FROM events),
-o AS (SELECT *, row_number() OVER (PARTITION BY user_id, node ORDER BY ts, event_id) AS i FROM a),
-r AS (WITH RECURSIVE f AS (SELECT user_id, node, 0::BIGINT AS i, 'Inactive' AS state, 0 AS refused FROM (SELECT DISTINCT user_id, node FROM o)
-  UNION ALL SELECT f.user_id, f.node, f.i + 1, CASE WHEN action = 'activate' THEN 'Active' WHEN action = 'open' AND state = 'Active' THEN 'Opened' WHEN action = 'prune' THEN 'Pruned' ELSE state END,
-    refused + CASE WHEN (action = 'open' AND state <> 'Active') OR (action = 'prune' AND state = 'Pruned') THEN 1 ELSE 0 END FROM f JOIN o ON o.user_id = f.user_id AND o.node = f.node AND o.i = f.i + 1)
-  SELECT user_id, node, arg_max(state, i) AS state, max(i)::INT AS n_actions, max(refused)::INT AS n_refused FROM f GROUP BY ALL)"""
-
-
-def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    action = F.when(kind == "click", "open").when(kind == "purchase", "prune").when(kind.isin("view", "login"), "activate").otherwise("look")
-    actions = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 5).alias("node"), "ts", "event_id", action.alias("action"))
-    return ctl.replay(actions, ["user_id", "node"], ["ts", "event_id"])
-
-
-@R.add("c01_c04_state_replay", f"WITH {SQL_REPLAY} SELECT user_id, node, state, n_actions, n_refused FROM r")
-def state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replayed(spark, sf_dir)
-
-
-@R.add("c06_snapshot", f"WITH {SQL_REPLAY} SELECT user_id, coalesce(string_agg(node, ',' ORDER BY node) FILTER (state = 'Active'), '') AS active, count_if(state = 'Opened')::INT AS n_opened, count_if(state = 'Pruned')::INT AS n_pruned FROM r GROUP BY user_id")
-def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctl.snapshot(replayed(spark, sf_dir), "user_id", "node").select("user_id", F.array_join(F.transform("active", lambda x: x.cast("string")), ",").alias("active"), "n_opened", "n_pruned")
-
-
 @R.add(
-    "c07_c08_candidates",
-    f"""WITH {SQL_BLOCKS}, {SQL_SECTIONS} SELECT DISTINCT 'read' AS kind, id AS node, 'related' AS hint FROM nodes WHERE type = 'paragraph' UNION ALL SELECT DISTINCT 'follow', target, 'parent or child' FROM sections""",
+    "j19_parameter_sweep",
+    """WITH k AS (SELECT DISTINCT p_brand, p_size % 7 AS k FROM part), s AS (SELECT DISTINCT p_brand, 64 * (1 + p_partkey % 5) AS size FROM part), o AS (SELECT DISTINCT p_brand, 32 * (p_size % 6) AS overlap FROM part)
+SELECT p_brand, k, size, overlap FROM k JOIN s USING (p_brand) JOIN o USING (p_brand) WHERE overlap < size""",
 )
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unread paragraphs, and ends of section edges to follow."""
-    unread = nodes(spark, sf_dir).where("type = 'paragraph'").select(F.col("id").alias("node"), ctl.traversal_hint(F.lit("")).alias("hint"))
-    follow = edges(spark, sf_dir).where("relation = 'section'").select(F.col("target").alias("node"), ctl.traversal_hint(F.col("relation")).alias("hint"))
-    return ctl.candidates(unread, follow, ["node", "hint"])
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as experiments: every combination of the values each lists for its three parameters, if the overlap is valid."""
+    size = F.col("p_size")
+    lists = {"k": size % 7, "size": 64 * (1 + F.col("p_partkey") % 5), "overlap": 32 * (size % 6)}
+    return rs.sweep(table(spark, sf_dir, "part"), "p_brand", lists).where("overlap < size")
 
 
 @R.add("c19_dag_depths", "WITH RECURSIVE t AS (SELECT 1::BIGINT AS node, 0 AS depth UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 2 = node AND p_partkey > 1) SELECT node, max(depth)::INT AS depth FROM t GROUP BY node")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docquarry.plans import blocks, graph, metrics, retrieval, scoring, store
+from docquarry.plans import agent, answers, blocks, graph, ingest, metrics, reports, retrieval, scoring, store
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (retrieval, graph, blocks, scoring, metrics, store):
+for module in (retrieval, graph, agent, blocks, scoring, answers, metrics, reports, store, ingest):
     QUERIES |= module.R.queries
     ORACLE_SQL |= module.R.sql

@@ -52,9 +52,16 @@ def write_trec(run: DataFrame, path: str, tag: str = "run") -> None:
 
 
 def until_first_gap(pages: DataFrame, doc: str, page: str) -> DataFrame:
-    """Pages of each document from 0 on, up to the first that is missing."""
-    place = F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1
-    return pages.withColumn("__place", place).where(F.col("__place") == F.col(page)).drop("__place")
+    """Pages of each document from 0 on, up to the first that is missing; repeats of a page stay.
+
+    The first gap is the least page that follows none or a page, and isn't there: joins and sums by document, no sort of it.
+    """
+    there = pages.select(F.col(doc).alias("there_doc"), F.col(page).cast("bigint").alias("there_page")).distinct()
+    after = there.select("there_doc", F.explode(F.array(F.lit(0).cast("bigint"), F.col("there_page") + 1)).alias("after")).distinct()
+    known = there.select(F.col("there_doc").alias("known_doc"), F.col("there_page").alias("known_page"))
+    missing = after.join(known, (F.col("there_doc") == F.col("known_doc")) & (F.col("after") == F.col("known_page")), "left_anti")
+    gaps = missing.groupBy(F.col("there_doc").alias("gap_doc")).agg(F.min("after").alias("gap"))
+    return pages.join(gaps, (F.col(doc) == F.col("gap_doc")) & (F.col(page) < F.col("gap"))).select(*pages.columns)
 
 
 def first_source(sources: list[DataFrame], keys: list[str], value: str) -> DataFrame:
@@ -67,22 +74,30 @@ def first_source(sources: list[DataFrame], keys: list[str], value: str) -> DataF
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Node and edge tables by document; a failed write leaves no half of a table."""
-    nodes.write.mode("overwrite").partitionBy("doc_key").parquet(f"{folder}/nodes")
-    edges.write.mode("overwrite").partitionBy("doc_key").parquet(f"{folder}/edges")
+    """Node and edge tables, rows of a document together and sorted, so that a document is read from few row groups.
+
+    Spark's committer makes a table's files appear together at the end of its job.
+    """
+    for name, rows in (("nodes", nodes), ("edges", edges)):
+        rows.repartition(F.col("doc_key")).sortWithinPartitions("doc_key").write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
 
 
-def results_name(params: dict[str, object], model: str) -> str:
-    """File name of a run from its parameters, each part of plain characters."""
-    plain = lambda x: re.sub(r"[^A-Za-z0-9.-]+", "_", str(x)).strip("_")
-    return "_".join(["res", *(f"{plain(k)}_{plain(v)}" for k, v in params.items()), plain(model)]) + ".jsonl"
-
-
 def run_parameters(name: Column, keys: list[str]) -> Column:
     """Parameters of a run's name as a map; a number's point may be written as an underscore."""
     found = [F.regexp_replace(F.nullif(F.regexp_extract(name, rf"_{re.escape(k)}_(\d+(?:_\d+)?)", 1), F.lit("")), "_", ".") for k in keys]
     return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*found)), lambda _, v: v.isNotNull())
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Tab-separated records with a header."""
+    return spark.read.schema(schema).csv(path, sep="\t", header=True)
+
+
+def result_name(params: dict[str, Column], model: Column) -> Column:
+    """File name of a run from its parameters and model, values as runs of plain characters; ``unknown`` for none."""
+    plain = lambda v: F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.replace(v.cast("string"), F.lit(":free"), F.lit("")), "[^A-Za-z0-9]+", "_"), F.lit("_")), F.lit("")), F.lit("unknown"))
+    return F.concat(F.concat_ws("_", F.lit("res"), *[x for k, v in params.items() for x in (F.lit(k), plain(v))], plain(model)), F.lit(".jsonl"))

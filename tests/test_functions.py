@@ -1,11 +1,17 @@
 """Edge cases of the scalar functions and operators, by hand."""
 
+import itertools
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.functions import literals
 from docquarry.functions import scoring as fn
 from docquarry.functions import text as tx
-from docquarry.operators import chunks, controller, graph, metrics, results, retrieval
+from docquarry.operators import chunks, controller, graph, metrics, results, retrieval, samples
+from docquarry.plans.common import asked, single_vectors
 from docquarry.sources import files
 
 
@@ -80,9 +86,16 @@ def test_section_parents(spark):
 
 
 def test_controller_rules(spark):
-    rows = [("q", 1, i, a) for i, a in enumerate(["open", "activate", "open", "activate"])] + [("q", 2, i, a) for i, a in enumerate(["prune", "prune"])]
-    got = {r.n: (r.state, r.n_refused) for r in controller.replay(spark.createDataFrame(rows, "q string, n int, i int, action string"), ["q", "n"], ["i"]).collect()}
-    assert got == {1: ("Active", 1), 2: ("Pruned", 1)}
+    said = {
+        0: ("open 1, activate 1, open 1, open 1, activate 1", ["Active", "Active", "Inactive"], 2),  # opened once, then active again
+        1: ("prune 0, activate 1, open 1, activate 0, activate 2", ["Active", "Inactive", "Active"], 2),  # nothing under a pruned page
+        2: ("activate 0, open 0, prune 2, prune 2, look 1", ["Active", "Inactive", "Pruned"], 2),  # pages aren't opened
+        3: ("activate 0, activate 1", ["Inactive", "Inactive", "Inactive"], 2),  # outside the mask
+    }
+    rows = [(p, i, s.split()[0], int(s.split()[1]), p < 3) for p, (text, _, _) in said.items() for i, s in enumerate(text.split(", "))]
+    df = spark.createDataFrame(rows, "page int, i int, action string, node int, allowed boolean")
+    got = {r.page: (r.states, r.n_refused) for r in controller.replay(df, ["page"], ["i"], 3).collect()}
+    assert got == {p: (states, refused) for p, (_, states, refused) in said.items()}
 
 
 def test_dag_cycles_are_refused(spark):
@@ -109,4 +122,88 @@ def test_files(spark, tmp_path):
     assert sorted(r.a for r in files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").collect()) == [1, 2]
     with pytest.raises(Exception):
         files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int", strict=True).collect()
-    assert files.results_name({"k": 3, "size": "a b"}, "m/x") == "res_k_3_size_a_b_m_x.jsonl"
+    name = files.result_name({"k": F.lit(3), "size": F.lit("a b:free")}, F.lit("m/x"))
+    assert spark.range(1).select(name).first()[0] == "res_k_3_size_a_b_m_x.jsonl"
+
+
+def test_gaps_and_repeated_pages(spark):
+    rows = [("a", 0), ("a", 0), ("a", 1), ("a", 3), ("b", 1), ("c", 0), ("c", 1), ("c", 1)]
+    got = files.until_first_gap(spark.createDataFrame(rows, "doc string, page int"), "doc", "page").collect()
+    assert sorted((r.doc, r.page) for r in got) == [("a", 0), ("a", 0), ("a", 1), ("c", 0), ("c", 1), ("c", 1)]
+
+
+def test_numbers_are_consecutive_whatever_the_size(spark):
+    n = 5_000_000
+    got = results.numbered(spark.range(n).select((F.col("id") * 7919 % n).alias("x")), "x", "number").agg(F.countDistinct("number"), F.min("number"), F.max("number"), F.count_if(F.col("number") != F.col("x") + 1)).first()
+    assert tuple(got) == (n, 1, n, 0)
+
+
+def test_running_sums_by_parts(spark):
+    rng = random.Random(2)
+    rows = [(g, o, rng.randrange(9)) for g in ("hot", "b") for o in rng.sample(range(5000), 700 if g == "hot" else 5)] + [("hot", 9000, 1), ("hot", 9000, 2)]
+    got = {(r.g, r.o, r.v): (r.before, r.total) for r in chunks.before(spark.createDataFrame(rows, "g string, o int, v int"), "g", "o", "v", 64).collect()}
+    for g, o, v in rows:
+        assert got[g, o, v] == (sum(x for h, p, x in rows if h == g and p < o), sum(x for h, _, x in rows if h == g))
+
+
+def test_vectors_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    pages = [(i, i % 3, rng.normal(size=(1 + i % 4, 5)).tolist()) for i in range(60)] + [(60, 0, [])]
+    df = spark.createDataFrame(pages, "page_id int, grp int, vecs array<array<double>>")
+    score = lambda q, p: round(sum(max(np.dot(a, b) for b in p) for a in q), 9)
+    queries = df.where("page_id % 7 = 0 and page_id < 60").withColumnRenamed("page_id", "query_id")
+    for options in ({}, {"query_block": 3, "page_block": 7}):
+        for masked in (False, True):
+            got = {}
+            for r in retrieval.vector_top_k(queries, df, 4, same_group=masked, skip_self=True, **options).collect():
+                got.setdefault(r.query_id, []).append((r["rank"], r.page_id))
+            for q, g, v in pages[::7][:9]:
+                want = sorted((-score(v, x), p) for p, h, x in pages if x and p != q and (not masked or h == g))[:4]
+                assert sorted(got[q]) == [(i, p) for i, (_, p) in enumerate(want, 1)]
+
+
+def test_cell_search_recall(spark):
+    d = "/root/testdata/sf0.1"
+    pages = single_vectors(spark, d)
+    exact = {(r.query_id, r.page_id) for r in retrieval.vector_top_k(asked(pages), pages, 5).collect()}
+    found = {(r.query_id, r.page_id) for r in retrieval.cell_search(asked(pages), pages, 5, cells=16, probes=8).collect()}
+    print(f"recall of the cell index: {len(exact & found) / len(exact):.3f}")
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_list_scores_against_all_assignments():
+    rng = random.Random(5)
+    for _ in range(300):
+        n, m = rng.randrange(1, 6), rng.randrange(1, 6)
+        s = [[rng.choice([0, 0.25, 0.5, rng.random()]) for _ in range(m)] for _ in range(n)]
+        small, large = (n, m) if n <= m else (m, n)
+        best = max(sum(s[i][j] if n <= m else s[j][i] for i, j in enumerate(p)) for p in itertools.permutations(range(large), small))
+        pairs = literals.best_assignment(s)
+        assert len(pairs) == small and len({r for r, _ in pairs}) == len({c for _, c in pairs}) == small
+        assert sum(s[r][c] for r, c in pairs) == pytest.approx(best)
+    assert literals.list_f1(["The 12 cats"], ["twelve cat", "12"]) == 0.33 and literals.list_em(["Twenty one"], ["20.0 1"]) == 1.0
+    assert literals.list_f1(["year 1999"], ["year 2000"]) == 0.0 and literals.parse_items("{'a'}") == ["a"] and literals.parse_items(None) == []
+
+
+def test_vectors_of_wrong_size_fail(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id int, v array<double>")
+    assert samples.checked_vectors(df.where("id = 1"), "v", 2).count() == 1
+    with pytest.raises(Exception, match="2 values is expected"):
+        samples.checked_vectors(df, "v", 2).collect()
+
+
+def test_sample_lists(spark):
+    s = spark.createDataFrame([("a.pdf", "1"), ("b", "2"), ("c", "3")], "doc_id string, question_id string")
+    ids = lambda *x: spark.createDataFrame([(v,) for v in x], "id string")
+    pick = lambda *a, **k: sorted(r.question_id for r in samples.select_samples(s, *a, **k).collect())
+    assert pick(None, None) == ["1", "2", "3"] and pick(ids("a"), None) == ["1"] and pick(ids("a.pdf", "b"), ids("2", "3")) == ["2"]
+    assert pick(ids("a"), ids("3"), either=True) == ["1", "3"] and pick(None, None, either=True) == []
+    assert samples.first_samples(s, "question_id", -1).count() == 0 and samples.first_samples(s, "question_id", None).count() == 3
+    with pytest.raises(ValueError):
+        samples.first_pages(s, "question_id", 0)
+
+
+def test_broken_decisions(spark):
+    text = "x <agent_decision><selected_actions><action index='2' utility=\"a>b\"><action index=3/></selected_actions><stop>yes</stop><query>q"
+    r = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(controller.decision(F.col("t")).alias("d")).collect()
+    assert r[0].d.stop and [x.candidate for x in r[0].d.selected] == [2, None] and r[0].d.query == "" and not r[1].d.stop and r[1].d.selected == []
