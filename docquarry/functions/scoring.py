@@ -201,22 +201,29 @@ def display_score(corrected: Column, metadata: Column, score: Column) -> Column:
     return F.coalesce(corrected.try_cast("double"), metadata.try_cast("double"), score.try_cast("double"), F.lit(0.0))
 
 
+#: What a correction from one bucket to another is called, by the direction of its score.
+OUTCOMES = {
+    ("wrong", "up", "correct"): "wrong_to_correct",
+    ("wrong", "up", "wrong"): "wrong_to_wrong",
+    ("wrong", "down", "wrong"): "wrong_to_wrong",
+    ("wrong", "same", "wrong"): "wrong_to_wrong",
+    ("wrong", "up", "partial"): "improved_partial",
+    ("partial", "up", "partial"): "improved_partial",
+    ("partial", "down", "partial"): "regressed",
+    ("partial", "down", "wrong"): "regressed",
+}
+
+
 def correction_outcome(tried: Column, error: Column, before: Column, after: Column, final: Column) -> Column:
-    """What a correction did; the first case that holds."""
-    wrong, right = (lambda x: x <= 0.001), (lambda x: x >= 0.999)
-    return (
-        F.when(~F.coalesce(tried, F.lit(False)), "not_run")
-        .when(error.isNotNull(), "correction_error")
-        .when(right(before), "skipped_initial_correct")
-        .when(before.isNull(), "not_run")
-        .when(after.isNull(), "correction_error")
-        .when(wrong(before) & right(after), "wrong_to_correct")
-        .when(wrong(before) & wrong(after), "wrong_to_wrong")
-        .when((after > before) & ~right(after), "improved_partial")
-        .when(after < before, "regressed")
-        .when(final.isNotNull() & (after != final), "not_applied")
-        .otherwise("unchanged")
-    )
+    """What a correction did, by ``OUTCOMES``; one without a score failed, one that changes nothing isn't applied or leaves
+    the answer unchanged, and right answers are not corrected."""
+    way = F.when(after > before, "up").when(after < before, "down").otherwise("same")
+    told = F.create_map(*[F.lit(x) for (b, w, a), name in OUTCOMES.items() for x in (f"{b} {w} {a}", name)])
+    changed = F.try_element_at(told, F.concat_ws(" ", score_bucket(before), way, score_bucket(after)))
+    none = F.when(final.isNotNull() & (after != final), "not_applied").otherwise("unchanged")
+    failed = F.when(error.isNotNull() | (before.isNotNull() & after.isNull()), "correction_error")
+    early = F.when(~F.coalesce(tried, F.lit(False)), "not_run").when(error.isNull() & (before >= 0.999), "skipped_initial_correct").when(error.isNull() & before.isNull(), "not_run")
+    return F.coalesce(early, failed, changed, none)
 
 
 def crop_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:

@@ -22,7 +22,7 @@ def tokens(text: Column, least: int = 1) -> Column:
 @F.pandas_udf(T.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """HTML entities as characters: Spark has no function for it."""
-    return text.map(html.unescape, na_action="ignore")
+    return text.map(lambda t: html.unescape(t) if "&" in t else t, na_action="ignore")
 
 
 def normalize_block(text: Column) -> Column:
@@ -34,7 +34,7 @@ def normalize_block(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """``normalize_block`` after HTML entities are resolved; texts without an ampersand skip the Python worker's part."""
+    """``normalize_block`` after HTML entities are resolved."""
     return normalize_block(unescape_html(text))
 
 

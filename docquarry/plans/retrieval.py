@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
+from docquarry.operators import contexts
 from docquarry.operators import retrieval as op
 from docquarry.plans.common import SQL_CHUNKS, SQL_PAGES, SQL_QUESTIONS, Registry, asked, documents_as_chunks, page_vectors, questions, single_vectors, sql_tokens, table
 
@@ -177,6 +178,17 @@ one AS (SELECT question_id, note_id, min(list * 100 + ordinal) AS spot FROM both
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY spot, note_id)::INT AS rank, note_id, (spot // 100)::INT AS list FROM one"""
 
 
+SQL_BUILDERS = f"""{SQL_HYBRID[: SQL_HYBRID.index(",\nboth_lists AS")]} SELECT 'bm25' AS builder, question_id, brank::INT AS rank, chunk_id FROM b WHERE brank <= 3 UNION ALL SELECT 'phrase', question_id, prank::INT, note_id FROM phrase WHERE prank <= 3"""
+
+
+@R.add("x_context_builders", SQL_BUILDERS)
+def context_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension surface: two builders run by name."""
+    asks, docs = questions(spark, sf_dir), documents_as_chunks(spark, sf_dir)
+    one = contexts.build("bm25", asks, docs, 3).select(F.lit("bm25").alias("builder"), "*")
+    return one.unionByName(contexts.build("phrase", asks, docs, 3, stop=tuple(STOP)).select(F.lit("phrase").alias("builder"), "*"))
+
+
 @R.add("r19_hybrid_merge", SQL_HYBRID)
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25's five best of the question's source, then the phrase rank's three best of all; repeats go."""
