@@ -68,10 +68,20 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _place(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = self._place(name)
+        store.delete(path, True)
+
+    def leave(self, *names: str) -> None:
+        """Drops all tables but these, which what is returned still reads."""
+        root, store = self._place("")
+        for status in store.listStatus(root) if store.exists(root) else ():
+            if status.getPath().getName() not in names:
+                store.delete(status.getPath(), True)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 50) -> DataFrame:

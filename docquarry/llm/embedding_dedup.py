@@ -196,6 +196,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, cell: int =
         .select("of_h", "of_g", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     classes = scratch.keep(classes, "classes")
+    scratch.leave("classes")
     out = rows.select("vec_id", "h", "g").join(classes, (F.col("h") == F.col("of_h")) & (F.col("g") == F.col("of_g")), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn(
         "kept", F.col("vec_id") == F.col("component_id")

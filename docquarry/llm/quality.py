@@ -181,9 +181,9 @@ def _strength(sites: DataFrame) -> float:
     return float(min(max(within / between - 1, 0.5), 10_000))
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.3, max_labels: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.3, max_labels: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id, host, path, p_doc, host_posterior, path_posterior, quality, keep."""
-    scratch = Scratch(docs.sparkSession, "quality")
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
     model = fit(docs, labels, max_labels)
     own = log_odds(docs, model, host, path)
     known = mean_labels(labels)
@@ -214,6 +214,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thresh
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rejected; same columns. Rows of equal doc_id go if any of them is rejected."""
-    scratch = Scratch(docs.sparkSession, "rejected")
-    bad = scratch.keep(score(docs, labels, host, path, threshold).where(~F.col("keep")).select(F.col("doc_id").alias("bad_id")).distinct(), "ids")
+    scratch = Scratch(docs.sparkSession, "quality")
+    bad = scratch.keep(score(docs, labels, host, path, threshold, scratch=scratch).where(~F.col("keep")).select(F.col("doc_id").alias("bad_id")).distinct(), "ids")
+    scratch.leave("ids")
     return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")

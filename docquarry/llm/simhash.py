@@ -99,6 +99,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, shingle), "fps")
     found = components(fps, scratch).withColumnRenamed("fp", "of")
+    scratch.leave("fps", "components")
     return fps.join(found, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -218,4 +219,5 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similar: float = 0.8) -> Data
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     away = scratch.keep(near_copies(docs, scratch, shingle, similar).where("doc_id <> component_id").select(F.col("doc_id").alias("away_id")).distinct(), "away")
+    scratch.leave("away")
     return docs.join(away, docs["doc_id"] == away["away_id"], "left_anti")
