@@ -288,8 +288,8 @@ def test_crowded_blocks(spark):
     lines = [" ".join(w if rng.random() < 0.97 else word() for w in hot) for _ in range(300)] + [" ".join([*hot[:10], *(word() for _ in range(20 + i % 7))]) for i in range(300)]
     forms = [line_dedup.normalised(x)[0] for x in lines]
     sizes, parity, _, _ = line_dedup.sketches(forms)
-    rows = spark.createDataFrame([(5 << 16 | int(n), i, int(p), int(q)) for i, (n, (p, q)) in enumerate(zip(sizes, parity, strict=True))] * 2, "block long, id long, fp long, fq long")
-    fits = lambda i, j: (int(parity[i, 0] ^ parity[j, 0]) & (1 << 64) - 1).bit_count() + (int(parity[i, 1] ^ parity[j, 1]) & (1 << 64) - 1).bit_count() <= 2 * int(0.2 * max(sizes[i], sizes[j]) + 1e-9)
+    rows = spark.createDataFrame([(5 << 16 | int(n), i, *map(int, p)) for i, (n, p) in enumerate(zip(sizes, parity, strict=True))] * 2, "block long, id long, p0 long, p1 long, p2 long, p3 long")
+    fits = lambda i, j: sum((int(x) & (1 << 64) - 1).bit_count() for x in parity[i] ^ parity[j]) <= 2 * int(0.2 * max(sizes[i], sizes[j]) + 1e-9)
     for options in ({}, {"ranged": False}, {"ranged": False, "chunk": 50}):
         got = [r for r in line_dedup.representatives(rows, **options).collect() if r.b is not None and r.a != r.b]
         near = sum(r.a < 300 and r.b < 300 for r in got)
