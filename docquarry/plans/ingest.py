@@ -308,5 +308,5 @@ def token_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cell_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate search through cells: a test holds its recall to the exact ranking."""
     pages = single_vectors(spark, sf_dir)
-    found = retrieval.cell_search(asked(pages), pages, 5, cells=16, probes=8)
+    found = retrieval.cell_search(asked(pages), pages, 5, cells=16, probes=12)
     return found.select("query_id", "rank", "page_id", F.round("score", 6).alias("score"))
