@@ -79,7 +79,7 @@ def bm25_top(questions: DataFrame, chunks: DataFrame, k: int, page_cap: int | No
 
 
 def vector_top_k(
-    queries: DataFrame, pages: DataFrame, k: int, mean: bool = False, same_group: bool = False, skip_self: bool = False, per_group: bool = False, query_block: int = 2048, page_block: int = 4096
+    queries: DataFrame, pages: DataFrame, k: int, mean: bool = False, same_group: bool = False, skip_self: bool = False, per_group: bool = False, query_block: int = 16_384, page_block: int = 16_384
 ) -> DataFrame:
     """``(query_id, page_id, score, rank)``: the ``k`` best pages of each query by late interaction.
 
@@ -88,14 +88,14 @@ def vector_top_k(
     mean of cosines). ``same_group`` compares equal ``grp`` only, ``skip_self`` leaves out a page of the query's id, and
     ``per_group`` ranks the pages of each ``grp`` apart and returns it too.
 
-    Queries and pages are dealt by a hash into blocks of about ``query_block`` and ``page_block`` rows, within their group
-    under ``same_group``; each pair of blocks is one task's matrix product, from which k rows a query leave. So a
-    task's memory is bounded, no vector passes the driver, and other groups' products are never formed. Queries are
-    read once for each block of pages and pages once for each block of queries.
+    Queries and pages are dealt by a hash into blocks of about ``query_block`` and ``page_block`` vectors, within their
+    group under ``same_group``; each pair of blocks is one group of a task, whose products are formed some queries at a
+    time and from which k rows a query leave. So a task's memory is bounded, no vector passes the driver, and other
+    groups' products are never formed. Queries are read once for each block of pages and pages once for each block of queries.
     """
     keys = ["query_id", "grp"] if per_group else ["query_id"]
     of = F.col("grp").cast("string") if same_group else F.lit("")
-    blocks = lambda rows, size, name: rows.groupBy(of.alias("of")).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = lambda rows, size, name: rows.groupBy(of.alias("of")).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("vecs")) / size)).cast("int").alias(name))
     shape = blocks(queries, query_block, "nq").join(blocks(pages, page_block, "np"), "of")
     page_columns = ["page_id", "vecs", *(["grp"] if per_group else [])]
     dealt = lambda rows, columns, id_, own, n_own, other, n_other: (
@@ -147,9 +147,9 @@ def _scorer(k: int, mean: bool, skip_self: bool, per_group: bool):
         starts, firsts = np.cumsum(n_q) - n_q, np.cumsum(n_p) - n_p
         page_ids, query_ids = pages["page_id"].to_numpy(), queries["query_id"].to_numpy()
         groups = pages["grp"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if per_group else np.zeros(len(pages), np.int64)
-        out = []
-        for a in range(0, len(queries), 256):  # a few queries at a time: products of all vectors aren't held at once
-            b = min(len(queries), a + 256)
+        out, step = [], max(1, 4_000_000 * len(queries) // (len(q) * len(p)))
+        for a in range(0, len(queries), step):  # some queries at a time: products of all vectors aren't held at once
+            b = min(len(queries), a + step)
             dots = q[starts[a] : starts[b - 1] + n_q[b - 1]] @ p.T
             score = np.add.reduceat(np.maximum.reduceat(dots, firsts, axis=1), starts[a:b] - starts[a], axis=0)
             if mean:
