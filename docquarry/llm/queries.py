@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, chat, decontaminate, embedding_dedup, langid, line_dedup, quality, simhash, token_store, url_filter
+from docquarry.llm import bpe, chat, decontaminate, embedding_dedup, langid, line_dedup, periodic, quality, simhash, token_store, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -73,7 +73,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_store, op4_simhash, op5_langid, op6_quality, op7_embedding_dedup, op8_url_filter, op9_chat, op10_line_dedup)}
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)``; with h = crc32 of the decimal doc_id, each tenth text (h % 10 = 0) goes on periodically from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    some = docs.withColumn("h", h).withColumn("w", F.when(F.col("h") % 10 == 0, F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')")))
+    some = some.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)")))
+    some = some.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    # the first a words, then the next p again and again
+    period = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), period), " ")
+    return some.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    better = "r.length * m.period > m.length * r.period"
+    best = F.expr(f"aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (m, r) -> if(m is null or {better}, r, m))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}") for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_store, op4_simhash, op5_langid, op6_quality, op7_embedding_dedup, op8_url_filter, op9_chat, op10_line_dedup, op12_periodic_runs)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
