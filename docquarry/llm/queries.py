@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, chat, decontaminate, embedding_dedup, langid, line_dedup, periodic, quality, simhash, token_store, url_filter
+from docquarry.llm import ann, bpe, chat, decontaminate, embedding_dedup, langid, line_dedup, periodic, quality, simhash, token_store, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -100,7 +100,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_store, op4_simhash, op5_langid, op6_quality, op7_embedding_dedup, op8_url_filter, op9_chat, op10_line_dedup, op12_periodic_runs)}
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_store, op4_simhash, op5_langid, op6_quality, op7_embedding_dedup, op8_url_filter, op9_chat, op10_line_dedup, op12_periodic_runs, op13_nearest_neighbours)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -131,6 +135,13 @@ c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, vec_id = component_id AS kept
 FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op13_nearest_neighbours": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+  FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op8_url_filter": f"""
 WITH p AS (SELECT page_id, coalesce({_LOWER.format("regexp_extract(url, '://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{n}', '{n.partition('/')[0]}', '/{n.partition('/')[2]}')" for v, n in URL_RULES)}) t(verdict, rule, rule_host, rule_path)),
