@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import ann, bpe, chat, decontaminate, embedding_dedup, langid, line_dedup, periodic, quality, simhash, token_store, url_filter
+from docquarry.llm import ann, bpe, chat, decontaminate, embedding_dedup, langid, line_dedup, periodic, quality, simhash, token_store, url_filter, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -73,6 +73,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``; with h = crc32 of the decimal doc_id, each tenth text (h % 10 = 0) goes on periodically from some word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -104,7 +108,7 @@ def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_store, op4_simhash, op5_langid, op6_quality, op7_embedding_dedup, op8_url_filter, op9_chat, op10_line_dedup, op12_periodic_runs, op13_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_store, op4_simhash, op5_langid, op6_quality, op7_embedding_dedup, op8_url_filter, op9_chat, op10_line_dedup, op11_whitening, op12_periodic_runs, op13_nearest_neighbours)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -5,7 +5,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import functions as F
 
-from docquarry.llm import ann
+from docquarry.llm import ann, whitening
 
 VECTORS = "vec_id bigint, embedding array<double>"
 
@@ -66,3 +66,58 @@ def test_recall_of_many_cells(spark):
     score[np.arange(len(score)), np.arange(len(score)) * 20] = -np.inf
     want = {(20 * i, int(j)) for i, row in enumerate(score) for j in np.argsort(-row)[:20]}
     assert len(got & want) >= 0.99 * len(want) and len(got) == len(want)
+
+
+def plain_whitening(vectors, k=8):
+    """Eigenvectors of the covariance of centred whole numbers; deviations in whole numbers."""
+    x = [[int(np.floor(1024.0 * c)) + 100_000 for c in v] for v in vectors]
+    n, sums = len(x), [sum(c) for c in zip(*x, strict=True)]
+    centred = np.array([[n * c - s for c, s in zip(r, sums, strict=True)] for r in x], np.float64) / n
+    e, v = np.linalg.eigh(centred.T @ centred / n)
+    e, v = e[::-1], v[:, ::-1]
+    keep = min(k, int((e > 1e-12 * e[0]).sum()))
+    return [sum((n * c - s) ** 2 for c, s in zip(r, sums, strict=True)) for r in x], e[:keep], centred @ v[:, :keep] / np.sqrt(e[:keep]), e[:keep] / e.sum()
+
+
+def whitened(df, **options):
+    rows = whitening.whiten(df, **options).collect()
+    assert len({r.identity_error for r in rows}) <= 1
+    return {(r.vec_id, r.component): r for r in rows}
+
+
+def test_whitening_equals_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "BLOCK", 1000)
+    rng = np.random.default_rng(8)
+    for dim, scales in ((12, np.geomspace(3, 0.05, 12)), (40, np.r_[np.geomspace(5, 0.5, 30), np.full(10, 0.4)]), (5, np.ones(5))):
+        vectors = (rng.normal(size=(300, dim)) * scales) @ np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        df = spark.createDataFrame(list(enumerate(vectors.tolist())), VECTORS).repartition(4)
+        got = whitened(df)
+        deviation, e, y, explained = plain_whitening(vectors)
+        assert len(got) == len(vectors) * len(e)
+        for c in range(len(e)):
+            mine = np.array([got[i, c + 1].whitened for i in range(len(vectors))])
+            assert np.abs(mine * np.sign(mine @ y[:, c]) - y[:, c]).max() < 1e-8
+        r = got[17, 1]
+        assert (r.n, r.deviation) == (300, deviation[17]) and r.identity_error < 1e-10
+        np.testing.assert_allclose([got[0, c + 1].explained for c in range(len(e))], explained, rtol=1e-10)
+
+
+def test_whitening_of_equal_and_missing_variances(spark):
+    corners = [[float(s * (i == j)) for j in range(10)] for i in range(10) for s in (-1, 1)]  # one variance ten times
+    got = whitened(spark.createDataFrame(list(enumerate(corners)), VECTORS))
+    assert len(got) == 20 * 8 and got[0, 1].identity_error < 1e-10
+    twice = np.random.default_rng(9).normal(size=(50, 3))
+    flat = np.c_[twice, twice, np.ones(50)]  # three dimensions of seven
+    got = whitened(spark.createDataFrame(list(enumerate(flat.tolist())), VECTORS))
+    assert len(got) == 50 * 3 and got[0, 1].identity_error < 1e-10 and abs(sum(got[0, c].explained for c in (1, 2, 3)) - 1) < 1e-10
+
+
+def test_whitening_edge_cases(spark):
+    rows = [(1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.25, 1.0]), (6, [0.5, -1.0]), (None, [0.5, 3.0]), (7, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, VECTORS).withColumn("N", F.lit(1)).withColumn("component", F.lit("x"))
+    rows = sorted((r.vec_id or 0, r.component, r.n, r.deviation) for r in whitening.whiten(df).collect())
+    want = plain_whitening([[0.25, 1.0], [0.5, -1.0], [0.5, 3.0]])[0]
+    assert rows == sorted((i, c, 3, d) for i, d in zip((6, 6, 0), want, strict=True) for c in (1, 2))
+    assert whitening.whiten(df.limit(0)).count() == 0 and whitening.whiten(df.where("vec_id = 7")).count() == 0
+    huge = spark.createDataFrame([(1, [1e15, 0.0]), (2, [-1e15, 0.0]), (3, [0.0, 1.0])], VECTORS)
+    assert {r.deviation for r in whitening.whiten(huge).collect()} == {None, 2048**2}
