@@ -153,19 +153,23 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("set long, n long, keys array<long>").fields]))
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int, similar: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs ``(a, b)`` of sets whose exact similarity, shared shingles / all shingles, is enough."""
-    wanted = scratch.keep(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct().join(distinct.select("set", "first_doc"), "set"), f"wanted-{name}")
-    rows = docs.select("doc_id", "text").join(wanted.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+def _hashes(docs: DataFrame, distinct: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``(set, hashes)``: the shingles of the sets of ``wanted(set)``, from the first document of each."""
+    first = distinct.join(wanted, "set", "left_semi").select("set", "first_doc")
+    rows = docs.select("doc_id", "text").join(first.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingles(t, shingle) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["set", "hashes"])
 
     # rows of an equal doc_id may have other texts
-    held = scratch.keep(rows.mapInArrow(hashes, "set long, hashes binary").join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes")), f"hashes-{name}")
-    end = lambda x: held.select(F.col("set").alias(f"set_{x}"), F.col("hashes").alias(f"hashes_{x}"))
+    return rows.mapInArrow(run, "set long, hashes binary").join(first.select("set"), "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes"))
+
+
+def _alike(pairs: DataFrame, hashes: DataFrame, similar: float) -> DataFrame:
+    """The pairs ``(a, b)`` of sets whose exact similarity, shared shingles / all shingles, is enough."""
+    end = lambda x: hashes.select(F.col("set").alias(f"set_{x}"), F.col("hashes").alias(f"hashes_{x}"))
     joined = pairs.join(end("a"), F.col("a") == F.col("set_a")).join(end("b"), F.col("b") == F.col("set_b")).select("a", "b", "hashes_a", "hashes_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,35 +181,84 @@ def _alike(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, shingle: int,
                 ok.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return scratch.keep(joined.mapInArrow(run, "a long, b long"), f"alike-{name}")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def rare_shingles(hashes: DataFrame, similar: float, scratch: Scratch) -> DataFrame:
+    """``(hash, set, n, place, indexed)``: the shingles by which two sets of ``hashes(set, hashes)`` can find each other.
+
+    Shingles are ordered by the number of sets that have them, so those of one set only come first. Two sets of that similarity share
+    one of the first n - ceil(similar * n) + 1 of the larger, which is ``indexed`` (among the first
+    n - ceil(2 * similar / (1 + similar) * n) + 1) in the smaller. What many sets share is seldom among them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            found = [np.frombuffer(h, np.int64) for h in batch.column(1).to_pylist()]
+            sizes = np.array([len(h) for h in found])
+            sets = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(sets), pa.array(np.repeat(sizes, sizes))], names=["hash", "set", "n"])
+
+    rows = scratch.keep(hashes.mapInArrow(run, "hash long, set long, n long"), "shingles")
+    several = scratch.keep(rows.groupBy(F.col("hash").alias("of")).agg(F.count("*").alias("times")).where("times > 1"), "several")
+    shared = rows.join(several, F.col("hash") == F.col("of")).groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("times", "hash"))).alias("shared"))
+    probe = F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1
+    index = F.col("n") - F.ceil(2 * similar / (1 + similar) * F.col("n") - 1e-9) + 1
+    alone = F.col("n") - F.size("shared")
+    first = shared.where(probe > alone).select("set", "n", alone.alias("alone"), index.alias("index"), F.posexplode(F.slice("shared", F.lit(1), (probe - alone).cast("int"))).alias("pos", "s"))
+    first = first.select("set", "n", "index", (F.col("alone") + F.col("pos")).alias("place"), F.col("s.hash").alias("hash"))
+    return scratch.keep(first.select("hash", "set", "n", "place", (F.col("place") < F.col("index")).alias("indexed")), "rare")
+
+
+def _meeting(rare: DataFrame, labels: DataFrame, similar: float, turn: int | None) -> DataFrame:
+    """Pairs ``(a, b)`` of sets of two components that share a rare shingle and may be similar; with a turn, one set a component and shingle."""
+    held = rare.join(labels, F.col("set") == F.col("node"), "left").select("hash", "set", "n", "place", "indexed", F.coalesce("component", "set").alias("component"))
+    if turn is not None:
+        # the same for both ends: whether a component's set is the indexed one matters, so each kind has its own
+        pick = F.struct(F.xxhash64("set", F.lit(turn)), "set", "n", "place")
+        held = held.groupBy("hash", "component", "indexed").agg(F.min(pick).alias("p")).select("hash", "p.set", "p.n", "p.place", "indexed", "component")
+    small = held.where("indexed").select("hash", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("component").alias("component_a"))
+    large = held.select("hash", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
+    fits = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= similar * F.col("n_b") - 1e-9) & (F.col("a") != F.col("b")) & (F.col("component_a") != F.col("component_b"))
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # if it is the first shared one
+    fits &= room >= similar / (1 + similar) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    met = small.join(large, "hash").where(fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of documents linked by sets of shingles of at least that similarity.
 
     A few bits of a 64-bit fingerprint don't reach such pairs (their median is about 10 bits), so candidates share one
-    of the MinHash bands. Each set is compared with the first one of its bands; then those of a band that aren't in
-    one component yet are compared with each other. So no candidate is lost, and a large group of near copies costs
-    rows in proportion to its members.
+    of the MinHash bands. Each set is compared with the first one of its bands, which joins near copies at a cost
+    in proportion to their number. Sets of bands that aren't one component then meet by their rare shingles: first one set a
+    component and shingle, in two turns, then all that are still apart. That loses no pair, and documents that
+    share much without being copies (boilerplate of one site) have only shingles of their own there.
     """
     sets = scratch.keep(_sets(docs, shingle), "sets")
     distinct = scratch.keep(sets.groupBy("set").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-sets")
     members = distinct.select("set", "n", F.explode("keys").alias("key"))
     first = members.groupBy(F.col("key").alias("bucket")).agg(F.count("*").alias("size"), F.min(F.struct("set", "n")).alias("first")).where("size > 1")
     members = scratch.keep(members.join(first, F.col("key") == F.col("bucket")).select("key", "set", "n", F.col("first.set").alias("lead"), F.col("first.n").alias("lead_n")), "band-members")
-    fits = lambda m, n: F.least(m, n) >= similar * F.greatest(m, n) - 1e-9
-    pairs = scratch.keep(members.where((F.col("set") != F.col("lead")) & fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("set").alias("b")).distinct(), "lead-pairs")
-    found = _alike(pairs, docs, distinct, shingle, similar, scratch, "leads")
+    hashes = scratch.keep(_hashes(docs, distinct, members.select("set").distinct(), shingle), "hashes")
+    fits = F.least("n", "lead_n") >= similar * F.greatest("n", "lead_n") - 1e-9
+    pairs = scratch.keep(members.where((F.col("set") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("set").alias("b")).distinct(), "lead-pairs")
+    found = scratch.keep(_alike(pairs, hashes, similar), "alike-leads")
     labels = scratch.keep(connected_components(found, scratch, "lead-cc"), "lead-labels")
-    held = scratch.keep(members.join(labels, F.col("set") == F.col("node"), "left").select("key", "set", "n", F.coalesce("component", "set").alias("component")), "labelled")
+    held = members.join(labels, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("component", "set").alias("component"))
     mixed = held.groupBy(F.col("key").alias("bucket")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    held = scratch.keep(held.join(mixed, F.col("key") == F.col("bucket"), "left_semi"), "mixed")
-    other = held.select(F.col("key").alias("key_b"), F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    apart = (F.col("key") == F.col("key_b")) & (F.col("set") < F.col("b")) & (F.col("component") != F.col("component_b")) & fits("n", "n_b")
-    rest = held.join(other, apart).select(F.col("set").alias("a"), "b").distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = scratch.keep(rest, "rest-pairs")
-    found = found.unionByName(_alike(rest, docs, distinct, shingle, similar, scratch, "rest"))
-    labels = scratch.keep(connected_components(found, scratch), "labels")
+    apart = scratch.keep(held.join(mixed, F.col("key") == F.col("bucket"), "left_semi").select("set").distinct(), "apart")
+    rare = rare_shingles(hashes.join(apart, "set", "left_semi"), similar, scratch)
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in (0, 1, None):
+        rest = scratch.keep(_meeting(rare, labels, similar, turn).join(done, ["a", "b"], "left_anti"), f"met-{turn}")
+        if rest.isEmpty():
+            if turn is None:
+                break
+            continue
+        more = scratch.keep(_alike(rest, hashes, similar), f"alike-{turn}")
+        done, found = done.unionByName(rest), found.unionByName(more)
+        labels = scratch.keep(connected_components(found, scratch, f"cc-{turn}"), f"labels-{turn}")
     grouped = scratch.keep(distinct.join(labels, F.col("set") == F.col("node"), "left").select("set", "first_doc", F.coalesce("component", "set").alias("component")), "grouped")
     least = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     of = scratch.keep(grouped.join(least, "component").select(F.col("set").alias("of"), "component_id"), "of")

@@ -110,6 +110,31 @@ def test_near_copies_of_one_replaced_word_leave(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unlike", [60, 30])
+def test_near_copies_among_boilerplate(spark, unlike):
+    """Documents that share most of their words and are no copies: what is compared grows with them, not with their square."""
+    counts = {}
+    for n in (100, 200, 400):
+        rng = random.Random(n)
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+        shared = [word() for _ in range(180 - unlike)]
+        texts = []
+        for _ in range(n):
+            at = rng.randrange(len(shared))
+            texts.append(shared[:at] + [word() for _ in range(unlike)] + shared[at:])
+        for t in texts[:5]:  # a near copy of each that no lead shows
+            texts.append([*t])
+            texts[-1][rng.randrange(len(t))] = word()
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+        scratch = Scratch(spark, "boilerplate")
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, scratch).collect()}
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+        want = union(range(len(texts)), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)])
+        assert got == want
+        counts[n] = sum(spark.read.parquet(f"{scratch.root}/{t}").count() for t in ("met-0", "met-1", "met-None"))
+    assert counts[400] <= 3 * counts[200] + 100 and counts[400] < 4000, counts
+
+
 def vectors(seed=1, families=12):
     rng = np.random.default_rng(seed)
     rows = []
