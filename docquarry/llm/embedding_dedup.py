@@ -6,9 +6,11 @@ so that a pair near a border meets in one of them. Products within a cell are fo
 precision; a pair counts in the first cell it shares. With no more cells than probes every pair of a label is
 compared; beyond that a partner can be missed, a test holds the recall against all pairs.
 
-Two levels: a label of more than ``part`` vectors is first cut into parts by k-means, whose centroids (one for ``part`` / 2
-vectors, at most ``max_parts`` a label) are fitted to a bounded sample and broadcast; a vector goes to the parts of its
-``probes`` largest cosines. Cells are made inside a part. So what is shuffled is in proportion to the vectors.
+Parts: a label of more than ``part`` vectors is first cut into parts by k-means, one for ``part`` / 2 vectors, at most
+``max_parts`` at a time; a vector goes to the parts of its ``probes`` largest cosines. What that many parts leave too large
+is cut again, up to ``LEVELS`` times. A fit sees 16 vectors a part (16,384 at most) and gives a row of a table, which meets the vectors
+of its label in blocks: no centroids pass the driver or are broadcast. Cells are made inside a part. So what is shuffled is in
+proportion to the vectors.
 A part of more than 2 * ``part`` vectors, as a very crowded cluster makes one, is dealt into blocks whose pairs are tasks.
 From a task leave, for each vector, its number of links and one edge to the smallest vector of its component, never
 the pairs.
@@ -21,17 +23,19 @@ tables give empty results. Extra columns are of no account, and pass through ``d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.llm._shared import Scratch, connected_components
 
 
+#: How often parts are cut into parts.
+LEVELS = 3
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(1, keepdims=True)  # huge components don't overflow
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
@@ -41,7 +45,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Centroids of unit vectors; starts from evenly spread rows, so it is deterministic."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        home = (x @ c.T).argmax(1)
+        home = np.concatenate([(x[a : a + 4096] @ c.T).argmax(1) for a in range(0, len(x), 4096)])
         order = np.argsort(home, kind="stable")
         there, starts = np.unique(home[order], return_index=True)
         sums = np.add.reduceat(x[order], starts, axis=0)
@@ -62,49 +66,57 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _sizes(vectors: DataFrame, part: int, max_parts: int) -> DataFrame:
-    """``(of_label, of_dim, k, share)`` of each label: number of parts, and the share of its vectors in the sample."""
-    k = F.when(F.col("count") > part, F.least(F.lit(max_parts), F.ceil(2 * F.col("count") / part))).otherwise(1).cast("int")
-    sizes = vectors.groupBy(F.col("label").alias("of_label"), F.col("dim").alias("of_dim")).count()
-    return sizes.select("of_label", "of_dim", k.alias("k"), (16 * k / F.col("count")).alias("share"))
+_KEY = ("label", "dim", "path")
 
 
-def _centroids(vectors: DataFrame, sizes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Of labels of more than one part; a label's sample is 16 vectors a part."""
-    large = sizes.where("k > 1")
-    drawn = vectors.join(large, (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim")))
-    drawn = drawn.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) < F.col("share")).select("id", "label", "dim", "embedding", "k")
+def _same(sizes: DataFrame) -> Column:
+    return (F.col("label") == sizes["of_label"]) & (F.col("dim") == sizes["of_dim"]) & (F.col("path") == sizes["of_path"])
 
-    def fit(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("id")
-        x = _unit(_matrix(rows["embedding"].combine_chunks()))
-        c = spherical_kmeans(x, min(rows["k"][0].as_py(), len(x)))
-        return pa.table({"label": rows["label"].take([0]), "dim": rows["dim"].take([0]), "c": pa.array([c.tobytes()], pa.binary())})
 
-    got = drawn.groupBy("label", "dim").applyInArrow(fit, T.StructType([vectors.schema["label"], T.StructField("dim", T.IntegerType()), T.StructField("c", T.BinaryType())])).collect()
-    return {(r.label, r.dim): np.frombuffer(r.c).reshape(-1, r.dim) for r in got}
+def _of_key(rows: DataFrame, *values: Column) -> DataFrame:
+    return rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in _KEY]).agg(*values)
 
 
-def _parts(vectors: DataFrame, centroids: dict, probes: int) -> DataFrame:
-    """``vectors`` with the array of the parts each goes to."""
-    if not centroids:
-        return vectors.withColumn("parts", F.array(F.lit(0)))
-    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
+def _split(members: DataFrame, part: int, max_parts: int, probes: int, scratch: Scratch, name: str) -> DataFrame | None:
+    """``members`` with what is ``open`` and too large cut into parts; None if nothing is.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts: list = [[0]] * batch.num_rows
-            by: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
-                by.setdefault(key, []).append(i)
-            for key, at in by.items():
-                if (c := shared.value.get(key)) is not None:
-                    x = _unit(_matrix(batch.column("embedding").take(pa.array(at))))
-                    for i, near in zip(at, _nearest(x, c, probes).tolist(), strict=True):
-                        parts[i] = near
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
+    ``path`` has the parts a row lies in, level by level, and ``homes`` those its vector goes to on each level.
+    """
+    wanted = F.ceil(2 * F.col("count") / part)
+    sizes = _of_key(members.where("open"), F.count("*").alias("count")).where(F.col("count") > part)
+    sizes = sizes.select("of_label", "of_dim", "of_path", F.least(F.lit(max_parts), wanted).cast("int").alias("k"), (wanted > max_parts).alias("capped"), "count")
+    sizes = scratch.keep(sizes.withColumn("blocks", F.ceil(F.col("count") / 8192).cast("int")), f"sizes-{name}")
+    if sizes.isEmpty():
+        return None
+    met = members.where("open").join(sizes, _same(sizes))
+    drawn = met.where(F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53)) < 16 * F.col("k") / F.col("count")).select("id", *_KEY, "embedding", "k", "blocks", "capped")
 
-    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("parts", T.ArrayType(T.IntegerType()))]))
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        x = _unit(_matrix(rows["embedding"].combine_chunks()))
+        c = spherical_kmeans(x, min(rows["k"][0].as_py(), len(x)))
+        return rows.select([*_KEY, "blocks"]).slice(0, 1).append_column("c", pa.array([c.tobytes()], pa.binary()))
+
+    kinds = [members.schema[c] for c in _KEY]
+    centroids = scratch.keep(drawn.groupBy(*_KEY).applyInArrow(fit, T.StructType([*kinds, T.StructField("blocks", T.IntegerType()), T.StructField("c", T.BinaryType())])), f"centroids-{name}")
+    centroids = centroids.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*_KEY, "block", "c")
+    rows = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(*members.columns, "block", "capped")
+    out = T.StructType([*rows.drop("block", "open").schema.fields, T.StructField("near", T.ArrayType(T.IntegerType()))])
+
+    def run(held: pa.Table, fitted: pa.Table) -> pa.Table:
+        kept = held.select([f.name for f in out.fields[:-1]])
+        if not held.num_rows:
+            return kept.append_column("near", pa.array([], pa.list_(pa.int32())))
+        # a label whose sample came out empty stays one part
+        c = np.frombuffer(fitted["c"][0].as_py()).reshape(-1, held["dim"][0].as_py()) if fitted.num_rows else np.zeros((1, held["dim"][0].as_py()))
+        near = _nearest(_unit(_matrix(held["embedding"].combine_chunks())), c, probes)
+        return kept.append_column("near", pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())))
+
+    keys = (*_KEY, "block")
+    cut = rows.groupBy(*keys).cogroup(centroids.groupBy(*keys)).applyInArrow(run, out).withColumn("part", F.explode("near"))
+    cut = cut.withColumns({"path": F.concat("path", F.array("part")), "homes": F.concat("homes", F.array("near")), "open": F.col("capped")}).select(*members.columns)
+    rest = members.join(sizes, _same(sizes) & F.col("open"), "left_anti")
+    return scratch.keep(cut.unionByName(rest), f"members-{name}")
 
 
 def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -128,8 +140,10 @@ def _compare(threshold: float, cell: int, probes: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
         ids, times, block = (rows[c].to_numpy() for c in ("id", "n", "block"))
-        part, bi, bj = (rows[c][0].as_py() for c in ("part", "bi", "bj"))
-        parts = _matrix(rows["parts"].combine_chunks()).astype(np.int64)
+        path, bi, bj = (rows[c][0].as_py() for c in ("path", "bi", "bj"))
+        homes = rows["homes"].combine_chunks()
+        ends = np.cumsum([len(near) for near in homes[0].as_py()])
+        levels = np.split(homes.flatten().flatten().to_numpy().astype(np.int64).reshape(len(rows), -1), ends[:-1], axis=1) if path else []
         x = _unit(_matrix(rows["embedding"].combine_chunks()))
         k = min(len(x), max(2, -(-len(x) // cell)))
         cells = _nearest(x, spherical_kmeans(x[np.linspace(0, len(x) - 1, min(len(x), 16 * k)).astype(int)], k), probes)
@@ -140,8 +154,8 @@ def _compare(threshold: float, cell: int, probes: int):
                 i, j = np.nonzero(x[at[a : a + 512]] @ x[at[a:]].T >= threshold)
                 i, j = at[a + i[j > i]], at[a + j[j > i]]
                 here = _first_shared(cells[i], cells[j]) == c
-                if parts.shape[1] > 1:
-                    here &= _first_shared(parts[i], parts[j]) == part
+                for near, part in zip(levels, path, strict=True):
+                    here &= _first_shared(near[i], near[j]) == part
                 if bi != bj:
                     here &= block[i] != block[j]
                 i, j = i[here], j[here]
@@ -156,23 +170,24 @@ def _compare(threshold: float, cell: int, probes: int):
 
 def links(vectors: DataFrame, threshold: float, cell: int, probes: int, part: int, max_parts: int, scratch: Scratch) -> DataFrame:
     """``(h, id, root, links)`` parts of every distinct vector's links; ``vectors`` is (h, id, label, dim, embedding, n)."""
-    sizes = scratch.keep(_sizes(vectors, part, max_parts), "sizes")
-    centroids = _centroids(vectors, sizes) if sizes.where("k > 1").count() else {}
-    members = _parts(vectors, centroids, probes).withColumn("part", F.explode("parts"))
-    if centroids:
-        members = scratch.keep(members, "members")
-        crowded = members.groupBy("label", "dim", "part").count().where(F.col("count") > 2 * part)
-        crowded = crowded.select(F.col("label").alias("of_label"), F.col("dim").alias("of_dim"), F.col("part").alias("of_part"), F.ceil(F.col("count") / part).cast("int").alias("blocks"))
-        same = (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim")) & (F.col("part") == F.col("of_part"))
-        members = members.join(crowded, same, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = vectors.withColumns({"path": F.array().cast("array<int>"), "homes": F.array().cast("array<array<int>>"), "open": F.lit(True)})
+    split = False
+    for level in range(LEVELS):
+        cut = _split(members, part, max_parts, probes, scratch, str(level))
+        if cut is None:
+            break
+        members, split = cut, True
+    if split:
+        crowded = _of_key(members, F.ceil(F.count("*") / part).cast("int").alias("blocks"), F.count("*").alias("count")).where(F.col("count") > 2 * part).drop("count")
+        members = members.join(crowded, _same(crowded), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     else:
         members = members.withColumn("blocks", F.lit(1))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = members.select("h", "id", "n", "embedding", "parts", "label", "dim", "part", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    return pairs.groupBy("label", "dim", "part", "bi", "bj").applyInArrow(_compare(threshold, cell, probes), "h long, id long, root long, links long")
+    pairs = members.select("h", "id", "n", "embedding", "homes", *_KEY, "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    return pairs.groupBy(*_KEY, "bi", "bj").applyInArrow(_compare(threshold, cell, probes), "h long, id long, root long, links long")
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, cell: int = 512, probes: int = 3, part: int = 32_768, max_parts: int = 8192) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, cell: int = 512, probes: int = 3, part: int = 32_768, max_parts: int = 1024) -> DataFrame:
     """Per row of ``embeddings(vec_id, embedding, label)``: vec_id, n_links, component_id, kept."""
     scratch = Scratch(embeddings.sparkSession, "embeddings")
     rows = embeddings.select("vec_id", "embedding", "label")

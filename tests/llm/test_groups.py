@@ -174,11 +174,24 @@ def test_embedding_cells_find_pairs(spark):
     x = np.array(rows)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     true = int((np.triu(x @ x.T, 1) >= 0.98).sum())
-    for options in ({"cell": 40}, {"cell": 40, "part": 200}):
+    for options in ({"cell": 40}, {"cell": 40, "part": 200}, {"cell": 40, "part": 100, "max_parts": 6}):
         found = sum(r.n_links for r in embedding_dedup.near_duplicates(df, **options).collect()) / 2
         assert 0.97 * true <= found <= true
 
 
+def test_embeddings_of_many_labels(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(2500, 8))
+    rows = [(2 * i + j, (v + j * 0.01).tolist(), i % 1250) for i, v in enumerate(base) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df, part=2, probes=8).collect()}
+    by: dict = {}
+    for i, v, label in rows:
+        by.setdefault(label, []).append((i, np.array(v) / np.linalg.norm(v)))
+    pairs = [(a, b) for held in by.values() for a, u in held for b, v in held if a < b and u @ v >= 0.98]
+    assert got == union([r[0] for r in rows], pairs) and len(pairs) > 2000
+
+
 def test_vectors_of_equal_id(spark):
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     df = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, a, 0), (3, a, 0), (None, a, 0)], "vec_id bigint, embedding array<double>, label int")
