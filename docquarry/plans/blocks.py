@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import blocks as op
-from docquarry.operators import retrieval
+from docquarry.operators import indexes, retrieval
 from docquarry.plans.common import Registry, table
 from docquarry.plans.graph import SQL_BLOCKS, nodes
 
@@ -101,3 +101,15 @@ def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Answer: "), "text", F.lit("\nFormat: "), "role")
     part = lambda name: F.btrim(F.regexp_extract(said, rf"{name}:\s*([^\n]*)", 1))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", part("Answer").alias("answer"), part("Format").alias("format"))
+
+
+@R.add(
+    "p12_text_search",
+    """WITH n AS (SELECT item_id, lower(left(text, 20)) AS needle FROM benchmark WHERE text <> ''), h AS (SELECT doc_id, lower(text) AS h FROM documents)
+SELECT item_id, doc_id, ((length(h) - length(replace(h, needle, ''))) // length(needle))::BIGINT AS n FROM n JOIN h ON contains(h, needle)""",
+)
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search box for each benchmark item: the documents that hold its first twenty characters, in any case."""
+    needles = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.lit("").alias("corpus"), F.lower(F.substring("text", 1, 20)).alias("term"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("").alias("corpus"), "doc_id", F.lower("text").alias("h"))
+    return needles.join(indexes.substring_counts(docs, needles.select("corpus", "term"), "doc_id"), ["corpus", "term"]).select("item_id", "doc_id", "n")

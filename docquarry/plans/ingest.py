@@ -9,7 +9,7 @@ from docquarry.functions import literals as lt
 from docquarry.functions import text as tx
 from docquarry.operators import blocks as bl
 from docquarry.operators import chunks as ck
-from docquarry.operators import retrieval
+from docquarry.operators import indexes, retrieval
 from docquarry.operators import samples as op
 from docquarry.plans.agent import SQL_STATED, stated, structure
 from docquarry.plans.common import Registry, asked, single_vectors, sql_tokens, table
@@ -310,3 +310,13 @@ def cell_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = single_vectors(spark, sf_dir)
     found = retrieval.cell_search(asked(pages), pages, 5, cells=16, probes=12)
     return found.select("query_id", "rank", "page_id", F.round("score", 6).alias("score"))
+
+
+@R.add("r10_pq_index")
+def pq_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted lists of product codes with exact re-ranking: a test holds its recall to the exact ranking."""
+    pages = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), F.col("embedding").alias("vec"))
+    quantiser = indexes.fit_quantiser(pages, cells=16, parts=16)
+    queries = pages.where("page_id % 50 = 0").withColumnRenamed("page_id", "query_id")
+    found = indexes.pq_search(queries, indexes.pq_index(pages, quantiser), pages, quantiser, 5, probes=12)
+    return found.select("query_id", "rank", "page_id", F.round("score", 6).alias("score"))

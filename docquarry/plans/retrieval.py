@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
-from docquarry.operators import contexts
+from docquarry.operators import contexts, indexes
 from docquarry.operators import retrieval as op
 from docquarry.plans.common import SQL_CHUNKS, SQL_PAGES, SQL_QUESTIONS, Registry, asked, documents_as_chunks, page_vectors, questions, single_vectors, sql_tokens, table
 
@@ -94,6 +94,13 @@ def token_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(op.top_k(pages, ["query_id"], [F.round("score", 9).desc(), F.col("page_id").asc()], 5))
 
 
+@R.add("r07_pruned_maxsim")
+def pruned_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by late interaction, full scores for candidates of token centroids only: a test holds it to the exact ranking."""
+    pages = page_vectors(spark, sf_dir)
+    return _shown(indexes.pruned_maxsim(asked(pages).select("query_id", "vecs"), pages.select("page_id", "vecs"), 5, cells=64, probes=24, candidates=100))
+
+
 @R.add("r08_r12_dense_global_top10", f"WITH {SQL_DENSE}, {_ranked('SELECT query_id, page_id, list_dot_product(q, v) AS score FROM qv, pv', 10)}")
 def dense_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every task keeps its best rows, and a final cut follows: shards' rankings merged."""
@@ -222,11 +229,10 @@ SELECT question_id, rank::INT AS rank, doc_id, score::BIGINT AS score FROM r WHE
 )
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of the question's terms as substrings of the documents of its source."""
-    terms = op.keywords(questions(spark, sf_dir), STOP).groupBy("question_id").agg(F.collect_list("term").alias("terms"))
-    terms = terms.withColumn("source", F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")))
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.lower("text").alias("h"))
-    score = F.aggregate("terms", F.lit(0), lambda acc, t: acc + tx.occurrences(F.col("h"), t)).cast("long")
-    scored = docs.join(terms, "source").select("question_id", "doc_id", score.alias("score")).where("score > 0")
+    terms = op.keywords(questions(spark, sf_dir), STOP).select("question_id", "term", F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")).alias("corpus"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus"), "doc_id", F.lower("text").alias("h"))
+    counts = indexes.substring_counts(docs, terms.select("corpus", "term"), "doc_id")
+    scored = terms.join(counts, ["corpus", "term"]).groupBy("question_id", "doc_id").agg(F.sum("n").alias("score"))
     return op.top_k(scored, ["question_id"], [F.col("score").desc(), F.col("doc_id").asc()], 8).select("question_id", "rank", "doc_id", "score")
 
 

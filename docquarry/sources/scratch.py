@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 _OWN: dict[str, str] = {}  # by application
@@ -27,8 +28,13 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/docquarry/{what}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
-    """The rows, written as Parquet and read again: cuts the lineage."""
+def keep(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """The rows, written as Parquet (partitioned by a column, if given) and read again: cuts the lineage."""
     path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write
+    if by:
+        writer = writer.partitionBy(by)
+    writer.parquet(path)
+    # a column of partitions comes last when read
+    schema = df.schema if not by else StructType([*[f for f in df.schema if f.name != by], df.schema[by]])
+    return df.sparkSession.read.schema(schema).parquet(path)
