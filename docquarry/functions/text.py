@@ -95,3 +95,62 @@ def page_numbers(names: Column) -> Column:
     """Numbers of ``..._<n>.<ext>`` image names, distinct, in the order first seen; others are skipped."""
     found = F.transform(names, lambda n: F.regexp_extract(n, r"_(\d+)\.[A-Za-z0-9]+$", 1))
     return F.array_distinct(F.transform(F.filter(found, lambda s: s != ""), lambda s: s.cast("int")))
+
+
+#: Fixed value: what stands for the middle that was cut out of a prompt.
+PROMPT_MARKER = "\n...[truncated to fit context window]...\n"
+
+
+def cut_middle(text: str, limit: int, marker: str = PROMPT_MARKER) -> str:
+    """At most ``limit`` characters: 70 % of what the marker leaves from the start and the rest from the end; a limit
+    that has no room for the marker gives the start alone."""
+    if limit >= len(text):
+        return text
+    if limit <= len(marker) + 2:
+        return text[: max(0, limit)]
+    room = limit - len(marker)
+    head = max(1, int(room * 0.7))
+    return text[:head].rstrip() + marker + text[-max(1, room - head) :].lstrip()
+
+
+def longest_fit(text: str, budget: int, pattern: str = r"\w+|[^\w\s]", marker: str = PROMPT_MARKER) -> tuple[str, int]:
+    """The longest cut of a text with at most ``budget`` tokens (matches of the pattern), and its number of tokens.
+
+    The text is cut into tokens once; the tokens of a head or a tail are known from the places where tokens start and end, so a step of the
+    search takes two lookups instead of a count of the whole text.
+    """
+    import re
+    from bisect import bisect_left, bisect_right
+
+    found = [m.span() for m in re.finditer(pattern, text)]
+    if len(found) <= budget:
+        return text, len(found)
+    starts, ends = [a for a, _ in found], [b for _, b in found]
+    between = len(re.findall(pattern, marker))
+
+    def tokens(limit: int) -> int:
+        if limit >= len(text):
+            return len(found)
+        if limit <= len(marker) + 2:
+            return bisect_left(starts, max(0, limit))
+        room = limit - len(marker)
+        head = max(1, int(room * 0.7))
+        return bisect_left(starts, head) + between + len(ends) - bisect_right(ends, len(text) - max(1, room - head))
+
+    low, high, best = 0, len(text), 0
+    while low <= high:
+        middle = (low + high) // 2
+        if tokens(middle) <= budget:
+            best, low = middle, middle + 1
+        else:
+            high = middle - 1
+    return cut_middle(text, best, marker), tokens(best)
+
+
+@F.pandas_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("truncated", T.BooleanType())]))
+def fitted_prompt(text: pd.Series, budget: pd.Series) -> pd.DataFrame:
+    """``longest_fit`` of each text to its budget; null stays null."""
+    rows = [(None, None, None) if t is None or b != b else (*longest_fit(t, max(0, int(b))), None) for t, b in zip(text, budget, strict=True)]
+    out = pd.DataFrame(rows, columns=["content", "n_tokens", "truncated"])
+    out["truncated"] = [None if t is None else c != t for t, c in zip(text, out["content"], strict=True)]
+    return out
