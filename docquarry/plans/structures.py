@@ -8,7 +8,11 @@ from pyspark.sql.window import Window
 
 from docquarry.functions import text as tx
 from docquarry.operators import balance, dags, notes
+from docquarry.plans.agent import SQL_REPLAY, trace
 from docquarry.plans.common import Registry, table
+from docquarry.plans.metrics import SQL_COMPACT, records
+from docquarry.sources.scratch import scratch_path
+from docquarry.streaming import keyed
 
 R = Registry()
 
@@ -54,3 +58,30 @@ def fitted_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     budget = 40 + F.col("doc_id") % 200
     got = table(spark, sf_dir, "documents").select("doc_id", budget.alias("budget"), tx.fitted_prompt("text", budget).alias("p"))
     return got.select("doc_id", "budget", "p.n_tokens", "p.truncated", F.md5("p.content").alias("content_md5"))
+
+
+def _arriving(rows: DataFrame, last: dict, path: str) -> DataFrame:
+    """The rows as a stream of files, and after them one row that takes the watermark past all of them."""
+    rows.write.parquet(f"{path}/in/rows")
+    rows.sparkSession.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.parquet(f"{path}/in/last")
+    return rows.sparkSession.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+
+
+@R.add("x_stream_compact", f"WITH {SQL_COMPACT} SELECT question, line, first_line, round(score, 6) AS score FROM k WHERE r = 1")
+def stream_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: the last good record of each question from a stream of records."""
+    path = scratch_path(spark, "stream-compact")
+    rows = records(spark, sf_dir).select("question", "line", "status", "score", F.timestamp_seconds(F.col("line") % 86_400).alias("at"))
+    stream = _arriving(rows, {"question": -1, "line": 0, "status": "O", "at": "2100-01-01"}, path)
+    found = keyed.drain_appends(spark, keyed.last_good(stream, "question", "line", F.col("status") != "F", "at", late="2 days"), path)
+    return found.where("question >= 0").select("question", "line", "first_line", F.round("score", 6).alias("score"))
+
+
+@R.add("x_stream_state_machine", f"WITH RECURSIVE {SQL_REPLAY} SELECT user_id, page, array_to_string(states, ',') AS states, n_actions, n_refused FROM r")
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: traces replayed from a stream of actions, one at a time against the state held for their page."""
+    path = scratch_path(spark, "stream-states")
+    stream = _arriving(trace(spark, sf_dir), {"user_id": -1, "page": 0, "node": 0, "ts": "2100-01-01", "event_id": -1, "action": "look", "allowed": True}, path)
+    found = keyed.drain_appends(spark, keyed.state_machine(stream, ["user_id", "page"], ["ts", "event_id"], 5, late="3650 days"), path)
+    last = found.where("user_id >= 0").groupBy("user_id", "page").agg(F.max_by(F.struct("states", "n_actions", "n_refused"), "n_actions").alias("x"))
+    return last.select("user_id", "page", F.array_join("x.states", ",").alias("states"), "x.n_actions", "x.n_refused")
