@@ -71,7 +71,7 @@ def _arriving(rows: DataFrame, last: dict, path: str) -> DataFrame:
 def stream_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: the last good record of each question from a stream of records."""
     path = scratch_path(spark, "stream-compact")
-    rows = records(spark, sf_dir).select("question", "line", "status", "score", F.timestamp_seconds(F.col("line") % 86_400).alias("at"))
+    rows = records(spark, sf_dir).select("question", "line", "status", "score", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("line") % 86_400).alias("at"))
     stream = _arriving(rows, {"question": -1, "line": 0, "status": "O", "at": "2100-01-01"}, path)
     found = keyed.drain_appends(spark, keyed.last_good(stream, "question", "line", F.col("status") != "F", "at", late="2 days"), path)
     return found.where("question >= 0").select("question", "line", "first_line", F.round("score", 6).alias("score"))
