@@ -4,10 +4,10 @@ Each language has a codeword; one binary classifier over hashed character trigra
 language whose codeword loses least, bits weighted by how well they did in training, is the answer. A small lead
 over the second is flagged as ambiguous.
 
-Training: at most about ``per_language`` documents of each of the ``max_languages`` languages with most documents, drawn by a
-hash of doc_id (a bounded sample, two parameters). The trigram counts of four fifths are summed in Spark; the rest tells
-how far each bit can be trusted. All bits come from one table of counts per language, of ``BUCKETS`` entries each, so
-the model's size has a bound.
+Training: at most about ``per_language`` documents of each language, drawn by a hash of doc_id (a bounded sample of labelled
+rows, a parameter). The trigram counts of four fifths are summed in Spark, by language and then by bit: each language counts with
+its shares on its side of a bit. So every language of the table is learned, and what reaches the driver is ``BUCKETS`` numbers a
+bit, of which there are about 15 log2 of the number of languages. The rest of the sample tells how far each bit can be trusted.
 
 Scale: training reads a sample, prediction is a map without a shuffle over whole texts.
 
@@ -47,10 +47,14 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         cuts = np.arange(1, 2 ** (n - 1))
         return np.where((cuts[None, :] >> np.arange(n)[:, None]) & 1, 1.0, -1.0)
     rng, bits, best, most = np.random.default_rng(seed), 15 * int(np.ceil(np.log2(n))), None, -1
-    for _ in range(200):
+    for _ in range(max(1, min(200, 200 * 512**2 // n**2))):
         code = np.where(rng.permuted(np.tile(np.arange(n) < n // 2, (bits, 1)), axis=1).T, 1.0, -1.0)
-        apart = (code[:, None, :] != code[None, :, :]).sum(2)
-        if (least := int(apart[~np.eye(n, dtype=bool)].min())) > most:
+        least = bits
+        for a in range(0, n, 1024):
+            apart = (bits - code[a : a + 1024] @ code.T) / 2
+            apart[np.arange(len(apart)), np.arange(a, a + len(apart))] = bits
+            least = min(least, int(apart.min()))
+        if least > most:
             best, most = code, least
     return best
 
@@ -58,15 +62,14 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 class Model:
     """Languages, codewords (languages x bits), weights (buckets x bits), and weights of the bits."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, smooth: float = 0.5):
+    def __init__(self, languages: list[str], shares: np.ndarray | None = None):
+        """``shares`` (bits x 2 x buckets): mean share of each bucket in the languages of either side of a bit."""
         self.languages, self.code = languages, codewords(len(languages))
-        share = (counts + smooth) / (counts.sum(1, keepdims=True) + smooth * BUCKETS)
         bits = self.code.shape[1]
         self.weights = np.zeros((BUCKETS, bits), np.float32)
-        for k in range(bits):
-            one, two = share[self.code[:, k] > 0], share[self.code[:, k] < 0]
-            if len(one) and len(two):
-                self.weights[:, k] = np.log(one.mean(0)) - np.log(two.mean(0))
+        if shares is not None:
+            two_sided = (self.code > 0).any(0) & (self.code < 0).any(0)
+            self.weights[:, two_sided] = (np.log(shares[two_sided, 0]) - np.log(shares[two_sided, 1])).T
         self.trust = np.ones(bits)
 
     def margins(self, text: str) -> np.ndarray:
@@ -79,36 +82,70 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
-        loss = (np.logaddexp(0, -self.code * self.margins(text)) * self.trust).sum(1) / self.trust.sum()
+        m = self.margins(text)
+        right, wrong = np.logaddexp(0, -m) * self.trust, np.logaddexp(0, m) * self.trust
+        loss = (np.where(self.code > 0, right, wrong)).sum(1) / self.trust.sum()
         order = np.argsort(loss, kind="stable")
         lead = loss[order[1]] - loss[order[0]] if len(order) > 1 else 50.0
         return self.languages[order[0]], float(1 / (1 + np.exp(-lead)))
 
 
-def fit(docs: DataFrame, usable: Column, per_language: int = 3000, max_languages: int = 512) -> Model:
+def fit(docs: DataFrame, usable: Column, per_language: int = 3000, smooth: float = 0.5) -> Model:
     """Learns from text and lang of the rows of ``docs`` where ``usable`` holds and lang is not null."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    languages = sorted(sizes)
+    sizes = rows.groupBy(F.col("lang").alias("of_lang")).agg((per_language / F.count("*")).alias("share"))
+    languages = sorted(r.of_lang for r in sizes.collect())
     if not languages:
-        return Model([], np.zeros((0, BUCKETS)))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
-    drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)) < F.element_at(share, F.col("lang"))
+        return Model([])
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)) < F.col("share")
     place, last = {x: i for i, x in enumerate(languages)}, F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 4
-    sample = rows.where(drawn)
+    sample = rows.join(sizes, F.col("lang") == F.col("of_lang")).where(drawn)
+    code = codewords(len(languages))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(place), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            found = [(i, np.flatnonzero(c)) for i, c in counts.items()]
+            lang = np.concatenate([np.full(len(g), i, np.int32) for i, g in found])
+            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(np.concatenate([g for _, g in found]).astype(np.int32)), pa.array(np.concatenate([counts[i][g] for i, g in found]))], names=["l", "g", "n"])
+
         for batch in slices(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts[place[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
-        lang, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[lang, bucket])], names=["l", "g", "n"])
-
-    found = sample.where(~last).select("lang", "text").mapInArrow(count, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[found["l"], found["g"]] = found["n"]
-    model = Model(languages, counts)
+                held = counts.setdefault(place[lang], np.zeros(BUCKETS, np.int64))
+                held += np.bincount(trigrams(text), minlength=BUCKETS)
+            if len(counts) > 512:  # so many tables at a time
+                yield out()
+                counts.clear()
+        if counts:
+            yield out()
+
+    found = sample.where(~last).select("lang", "text").mapInArrow(count, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    totals = found.groupBy(F.col("l").alias("of")).agg(F.sum("n").alias("total"))
+    weighed = found.join(totals, F.col("l") == F.col("of")).select("l", "g", (F.col("n") / (F.col("total") + smooth * BUCKETS)).alias("part"))
+
+    def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((code.shape[1], 2, BUCKETS))
+        for batch in slices(batches, 8192):
+            lang, g, part = (c.to_numpy() for c in batch.columns)
+            for bit in range(len(sums)):
+                one = code[lang, bit] > 0
+                sums[bit, 0] += np.bincount(g[one], part[one], BUCKETS)
+                sums[bit, 1] += np.bincount(g[~one], part[~one], BUCKETS)
+        for bit in range(len(sums)):
+            for s in (0, 1):
+                g = np.flatnonzero(sums[bit, s])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), bit, np.int32)), pa.array(np.full(len(g), s, np.int32)), pa.array(g.astype(np.int32)), pa.array(sums[bit, s, g])], names=["bit", "side", "g", "part"])
+
+    got = weighed.mapInArrow(side, "bit int, side int, g int, part double").groupBy("bit", "side", "g").agg(F.sum("part").alias("part")).toArrow()
+    # a bucket that a language doesn't have counts with the smoothing's share
+    base = np.full(len(languages), smooth / (smooth * BUCKETS))
+    for r in totals.collect():
+        base[r.of] = smooth / (r.total + smooth * BUCKETS)
+    shares = np.stack([np.where(code > 0, base[:, None], 0).sum(0), np.where(code < 0, base[:, None], 0).sum(0)], axis=1)[:, :, None] * np.ones(BUCKETS)
+    np.add.at(shares, tuple(got[c].to_numpy() for c in ("bit", "side", "g")), got["part"].to_numpy())
+    shares /= np.maximum(1, np.stack([(code > 0).sum(0), (code < 0).sum(0)], axis=1))[:, :, None]
+    model = Model(languages, shares)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, n = np.zeros(model.code.shape[1], np.int64), 0

@@ -210,8 +210,17 @@ def test_language_id_equals_plain_version(spark):
 def test_language_id_without_labels(spark):
     docs = spark.createDataFrame([(1, "text here", None), (2, "more", None)], "doc_id bigint, text string, lang string")
     assert {(r.lang_pred, r.score) for r in langid.identify(docs).collect()} == {("und", 0.0)}
-    some = spark.createDataFrame([(i, f"w{i} text", f"l{i % 4}" if i < 40 else "l0") for i in range(60)], "doc_id bigint, text string, lang string")
-    assert langid.fit(some, F.lit(True), max_languages=2).languages == ["l0", "l1"]
+
+
+def test_every_language_is_learned(spark):
+    """Many more languages than any real table has rows for: none is left out."""
+    rng = random.Random(4)
+    spell = lambda i: "".join(chr(97 + int(d) + 10 * (k % 2)) for k, d in enumerate(f"{i:03d}{i * 7 % 1000:03d}"))
+    rows = [(i * 10 + k, " ".join(spell(i) + rng.choice("xyz") for _ in range(8)), f"l{i}") for i in range(700) for k in range(8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4), F.lit(True))
+    assert len(model.languages) == 700 and len(model.code) == 700
+    asked = [(f"l{i}", " ".join(spell(i) + rng.choice("xyz") for _ in range(8))) for i in range(0, 700, 7)]
+    assert sum(model.predict(text)[0] == lang for lang, text in asked) >= 0.95 * len(asked)
 
 
 def test_codewords_are_apart():
