@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators import blocks as bl
 from docquarry.operators import controller as op
+from docquarry.operators import shown
 from docquarry.operators import graph as gr
 from docquarry.operators import retrieval
 from docquarry.plans.common import SQL_PAGES, Registry, asked, page_vectors, table
@@ -282,3 +283,62 @@ def graph_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with both ends among the nodes that an iteration (here a page's) shows."""
     seen = stated(spark, sf_dir).where(F.col("state") != op.INACTIVE).select(F.col("page_index").alias("iteration"), "id")
     return op.visible_edges(seen, structure(spark, sf_dir), "iteration").select("iteration", "edge", "type")
+
+
+@R.add(
+    "c16_reader_layout",
+    """WITH p AS (SELECT user_id, (event_id % 7)::INT AS page_index, min(event_id) FILTER (event_type = 'view') AS step, arg_min(CASE WHEN event_id % 3 = 0 THEN 'question_page_scope' ELSE 'search' END, event_id) FILTER (event_type = 'view') AS source
+  FROM events WHERE event_id % 7 <> 6 GROUP BY ALL),
+n AS (SELECT user_id, (event_id % 35)::INT AS id, (event_id % 7)::INT AS page_index, arg_max(CASE event_type WHEN 'click' THEN 'Opened' WHEN 'view' THEN 'Active' WHEN 'purchase' THEN 'Pruned' ELSE 'Inactive' END, event_id) AS state FROM events WHERE event_id % 7 <> 6 GROUP BY ALL),
+h AS (SELECT * FROM n WHERE state IN ('Active', 'Opened')),
+l AS (SELECT user_id, page_index, min(CASE state WHEN 'Active' THEN id ELSE 100 + id END) AS least FROM h GROUP BY ALL),
+o AS (SELECT user_id, page_index, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN step IS NULL THEN 2 WHEN source = 'question_page_scope' THEN 0 ELSE 1 END, step, least, page_index) AS place FROM p LEFT JOIN l USING (user_id, page_index) WHERE step IS NOT NULL OR least IS NOT NULL),
+x AS (SELECT user_id, place, 0 AS position, page_index, NULL::INT AS id, CASE WHEN page_index % 2 = 0 THEN 'page' END AS kind FROM o
+  UNION ALL SELECT user_id, place, row_number() OVER (PARTITION BY user_id, page_index ORDER BY state <> 'Opened', id), page_index, id, CASE WHEN id % 3 = 0 THEN 'opened_node_image' WHEN id % 5 = 0 AND page_index % 2 = 0 THEN 'opened_node_crop' END FROM h JOIN o USING (user_id, page_index)),
+y AS (SELECT *, count(kind) OVER (PARTITION BY user_id ORDER BY place, position) AS n FROM x)
+SELECT user_id, place::INT AS place, position::INT AS position, page_index, id, kind, CASE kind WHEN 'page' THEN 'page_image_' || n ELSE 'node_image_' || n END || left(kind, 0) AS ref, CASE WHEN kind IS NOT NULL THEN n - 1 END::INT AS image_index FROM y""",
+)
+def reader_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as questions: pages by their first view, nodes in the state of their last event, images of some."""
+    at, kind = F.col("event_id"), F.col("event_type")
+    rows = table(spark, sf_dir, "events").where(at % 7 != 6).select("user_id", at, kind, (at % 7).cast("int").alias("page_index"), (at % 35).cast("int").alias("id"))
+    seen = F.when(kind == "view", F.struct(at, F.when(at % 3 == 0, "question_page_scope").otherwise("search").alias("source")))
+    pages = rows.groupBy("user_id", "page_index").agg(F.min(seen).alias("s")).select("user_id", "page_index", F.lit(False).alias("pruned"), F.col("s.event_id").alias("step"), "s.source", (F.col("page_index") % 2 == 0).alias("has_image"))
+    state = F.when(kind == "click", "Opened").when(kind == "view", "Active").when(kind == "purchase", "Pruned").otherwise("Inactive")
+    nodes = rows.groupBy("user_id", "page_index", "id").agg(F.max_by(state, at).alias("state")).withColumns({"has_image": F.col("id") % 3 == 0, "can_crop": F.col("id") % 5 == 0})
+    return shown.reader_layout(pages, nodes, "user_id")
+
+
+@R.add(
+    "c15_trace_steps",
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, event_id % 4 AS k, event_id % 9 AS pg FROM events),
+l AS (SELECT user_id, back, '    <step iteration="' || event_id % 5 || '" action="' || CASE event_type WHEN 'view' THEN 'ActivatePage' WHEN 'click' THEN 'OpenNode' WHEN 'purchase' THEN 'PruneNode' WHEN 'signup' THEN 'EvaluatorDecision' ELSE 'InvalidCandidate' END
+  || '" ok="' || CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END || '"' || CASE event_type
+  WHEN 'view' THEN ' page_index="' || pg || '" page_node="page:' || pg || '" source="view" previous_state="Inactive"/>'
+  WHEN 'click' THEN ' target="n' || event_id || '" selection="' || k || '" candidate="c&lt;' || k || '"/>'
+  WHEN 'purchase' THEN ' target="n' || event_id || '">' || chr(10) || '      <reason>r&amp;' || event_id || '</reason>' || chr(10) || '    </step>'
+  WHEN 'signup' THEN ' stop="' || CASE WHEN event_id % 3 = 0 THEN 'True' ELSE 'False' END || '" selected_actions="2" open_requests="0" prune_requests="0"' || CASE WHEN k = 1 THEN ' query="find ' || event_id || '"' ELSE '' END || '>' || chr(10)
+    || '      <selected_actions>' || chr(10) || '        <action index="' || k || '" candidate="cand" utility="high"/>' || chr(10) || '        <action index="99"/>' || chr(10) || '      </selected_actions>'
+    || CASE WHEN k = 1 THEN chr(10) || '      <search_request>find ' || event_id || '</search_request>' ELSE '' END || chr(10) || '    </step>'
+  ELSE ' candidate_index="' || k || '">' || chr(10) || '      <message>bad &quot;' || event_id || '&quot;</message>' || chr(10) || '    </step>' END AS line FROM t WHERE back <= 25)
+SELECT user_id, md5('  <recent_trace>' || chr(10) || string_agg(line, chr(10) ORDER BY back DESC) || chr(10) || '  </recent_trace>') AS xml_md5 FROM l GROUP BY user_id""",
+)
+def trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as recorded steps of five kinds, each with its attributes and body."""
+    at, kind, k = F.col("event_id"), F.col("event_type"), (F.col("event_id") % 4).cast("int")
+    name = lambda prefix: F.concat(F.lit(prefix), at.cast("string"))
+    action = F.when(kind == "view", "ActivatePage").when(kind == "click", "OpenNode").when(kind == "purchase", "PruneNode").when(kind == "signup", "EvaluatorDecision").otherwise("InvalidCandidate")
+    payload = F.struct(
+        F.when(kind == "view", (at % 9).cast("int")).alias("page_index"), F.when(kind == "view", kind).alias("source"), F.when(kind == "view", "Inactive").alias("previous_state"),
+        F.when(kind.isin("click", "purchase"), name("n")).alias("node_id"), F.when(kind == "purchase", name("r&")).alias("reason"),
+    )
+    selection = F.when(kind == "click", F.struct(k.alias("candidate_index"), F.concat(F.lit("c<"), k.cast("string")).alias("candidate_id")))
+    picks = F.array(F.struct(k.alias("candidate_index"), F.lit("high").alias("utility")), F.struct(F.lit(99).alias("candidate_index"), F.lit(None).cast("string").alias("utility")))
+    decision = F.when(kind == "signup", F.struct((at % 3 == 0).alias("stop"), picks.alias("selected_actions"), F.when(k == 1, name("find ")).alias("search_query")))
+    item = F.struct(
+        (at % 5).cast("int").alias("iteration"), action.alias("action"), (at % 2 == 0).alias("ok"), payload.alias("payload"), selection.alias("selection"), decision.alias("decision"), F.create_map(k.cast("string"), F.lit("cand")).alias("candidate_index_map"),
+        F.when(kind == "error", k).alias("candidate_index"), F.when(kind == "error", F.concat(name('bad "'), F.lit('"'))).alias("message"),
+    )
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.to_json(item).alias("item"))
+    page_node = lambda i: F.concat(F.lit("page:"), i.cast("string"))
+    return shown.recent_steps(rows, "user_id", ["ts", "event_id"], "item", page_node).select("user_id", F.md5("xml").alias("xml_md5"))
