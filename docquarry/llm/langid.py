@@ -99,7 +99,8 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 3000, smooth: float
         return Model([])
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)) < F.col("share")
     place, last = {x: i for i, x in enumerate(languages)}, F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 4
-    sample = rows.join(sizes, F.col("lang") == F.col("of_lang")).where(drawn)
+    # a row a language, as the model has, so that no text is shuffled
+    sample = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of_lang")).where(drawn)
     code = codewords(len(languages))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
