@@ -6,6 +6,7 @@ import ast
 import math
 import re
 import string
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -122,14 +123,21 @@ def list_f1(gold: list[str], pred: list[str]) -> float:
     return round(sum(scores[r][c] for r, c in best_assignment(scores)) / max(len(g), len(p)), 2)
 
 
+def _of_lists(score: Callable[[list[str], list[str]], float], gold: pd.Series, pred: pd.Series) -> pd.Series:
+    spans = lambda x: ["" if s is None else s for s in x]
+    return pd.Series([None if g is None or p is None else score(spans(g), spans(p)) for g, p in zip(gold, pred, strict=True)], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def list_em_score(gold: pd.Series, pred: pd.Series) -> pd.Series:
-    return pd.Series([list_em(list(g), list(p)) for g, p in zip(gold, pred, strict=True)], dtype=float)
+    """``list_em``; null if either list is null. A null span is an empty one."""
+    return _of_lists(list_em, gold, pred)
 
 
 @F.pandas_udf(T.DoubleType())
 def list_f1_score(gold: pd.Series, pred: pd.Series) -> pd.Series:
-    return pd.Series([list_f1(list(g), list(p)) for g, p in zip(gold, pred, strict=True)], dtype=float)
+    """``list_f1``; null if either list is null. A null span is an empty one."""
+    return _of_lists(list_f1, gold, pred)
 
 
 @F.pandas_udf(T.StringType())

@@ -130,8 +130,12 @@ def custom_order(value: Column, first: tuple[str, ...], rest: int = 10) -> Colum
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, v in enumerate(first) for x in (v, i)]), value), F.lit(rest))
 
 
-def report(rows: DataFrame, name: str, order: list[Column], limit: int) -> DataFrame:
-    """The first lines of a table in an order, numbered. Spark cuts each task's rows to the limit first."""
+def report(rows: DataFrame, name: str, order: list[Column], limit: int | None = None) -> DataFrame:
+    """The lines of a table in an order, numbered from 1: all of them by range partitions, or the first ``limit``, to which Spark cuts
+    each task's rows before it shuffles."""
+    if limit is None:
+        keyed = rows.withColumn("line_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+        return numbered(keyed, "line_order", "line").withColumn("part", F.lit(name)).select(*rows.columns, "part", "line")
     return rows.withColumns({"part": F.lit(name), "line": F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))}).where(F.col("line") <= limit)
 
 

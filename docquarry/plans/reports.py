@@ -14,9 +14,10 @@ from docquarry.plans.scoring import SQL_SCORES, scores
 
 R = Registry()
 
-SQL_OUTCOME = """CASE WHEN corrected IS NULL THEN 'not_run' WHEN score >= 0.999 THEN 'skipped_initial_correct' WHEN score <= 0.001 AND corrected >= 0.999 THEN 'wrong_to_correct' WHEN score <= 0.001 AND corrected <= 0.001 THEN 'wrong_to_wrong'
+#: Every third answer has a corrected score; of the others every seventh was tried without getting one.
+SQL_OUTCOME = """CASE WHEN event_id % 3 <> 0 AND event_id % 7 <> 0 THEN 'not_run' WHEN score >= 0.999 THEN 'skipped_initial_correct' WHEN corrected IS NULL THEN 'correction_error' WHEN score <= 0.001 AND corrected >= 0.999 THEN 'wrong_to_correct' WHEN score <= 0.001 AND corrected <= 0.001 THEN 'wrong_to_wrong'
   WHEN corrected > score AND corrected < 0.999 THEN 'improved_partial' WHEN corrected < score THEN 'regressed' ELSE 'unchanged' END"""
-SQL_CORRECTIONS = f"""{SQL_SCORES}, cr AS (SELECT event_id, user_id, event_type, score, corrected IS NOT NULL AS ran, corrected >= score AS applied, {SQL_OUTCOME} AS outcome, round(corrected - score, 6) AS delta,
+SQL_CORRECTIONS = f"""{SQL_SCORES}, cr AS (SELECT event_id, user_id, event_type, score, event_id % 3 = 0 OR event_id % 7 = 0 AS ran, corrected >= score AS applied, {SQL_OUTCOME} AS outcome, round(corrected - score, 6) AS delta,
   CASE WHEN corrected IS NULL THEN NULL ELSE corrected <> score END AS pred_changed FROM s)"""
 
 
@@ -24,9 +25,10 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide row for each answer: whether it was corrected, with what outcome, and what that changed."""
     score, corrected, none = F.col("score"), F.col("corrected"), F.lit(None).cast("string")
     rows = scores(spark, sf_dir)
-    outcome = fn.correction_outcome(corrected.isNotNull(), none, score, corrected, corrected)
+    ran = (F.col("event_id") % 3 == 0) | (F.col("event_id") % 7 == 0)
+    outcome = fn.correction_outcome(ran, none, score, corrected, corrected)
     return rows.select(
-        "event_id", "user_id", "event_type", "score", corrected.isNotNull().alias("ran"), (corrected >= score).alias("applied"), outcome.alias("outcome"), F.round(corrected - score, 6).alias("delta"), (corrected != score).alias("pred_changed")
+        "event_id", "user_id", "event_type", "score", ran.alias("ran"), (corrected >= score).alias("applied"), outcome.alias("outcome"), F.round(corrected - score, 6).alias("delta"), (corrected != score).alias("pred_changed")
     )
 
 
@@ -81,15 +83,15 @@ SQL_BUDGET = """p AS (SELECT p_partkey, 1 + p_size % 3 AS k, p_size % 2 AS budge
 @R.add(
     "m15_sweep_tables",
     f"""WITH {SQL_BUDGET}, t AS (SELECT 'by_k' AS part, p_partkey, k AS place FROM p WHERE mode = 'full' AND budget = 1 UNION ALL SELECT 'by_mode', p_partkey, CASE mode WHEN 'pages' THEN 0 WHEN 'expansion' THEN 1 WHEN 'full' THEN 2 ELSE 10 END FROM p WHERE k = 3),
-r AS (SELECT part, p_partkey, row_number() OVER (PARTITION BY part ORDER BY place, p_partkey) AS line FROM t) SELECT part, line::INT AS line, p_partkey, score FROM r JOIN p USING (p_partkey) WHERE line <= 500""",
+r AS (SELECT part, p_partkey, row_number() OVER (PARTITION BY part ORDER BY place, p_partkey) AS line FROM t) SELECT part, line, p_partkey, score FROM r JOIN p USING (p_partkey)""",
 )
 def sweep_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first lines of two tables of one sweep: by the number of pages at a fixed budget, and by mode in a given order."""
+    """Two tables of one sweep, whole: by the number of pages at a fixed budget, and by mode in a given order."""
     size = F.col("p_size")
     mode = F.get(F.array(*map(F.lit, ("full", "no_search", "expansion", "pages"))), F.col("p_partkey") % 4)
     rows = table(spark, sf_dir, "part").select("p_partkey", (1 + size % 3).alias("k"), (size % 2).alias("budget"), mode.alias("mode"), F.round(F.col("p_retailprice") / 3000, 6).alias("score"))
-    by_k = rs.report(rows.where("mode = 'full' and budget = 1"), "by_k", [F.col("k"), F.col("p_partkey")], 500)
-    by_mode = rs.report(rows.where("k = 3"), "by_mode", [rs.custom_order(F.col("mode"), ("pages", "expansion", "full")), F.col("p_partkey")], 500)
+    by_k = rs.report(rows.where("mode = 'full' and budget = 1"), "by_k", [F.col("k"), F.col("p_partkey")])
+    by_mode = rs.report(rows.where("k = 3"), "by_mode", [rs.custom_order(F.col("mode"), ("pages", "expansion", "full")), F.col("p_partkey")])
     return by_k.unionByName(by_mode).select("part", "line", "p_partkey", "score")
 
 

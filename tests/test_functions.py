@@ -207,3 +207,23 @@ def test_broken_decisions(spark):
     text = "x <agent_decision><selected_actions><action index='2' utility=\"a>b\"><action index=3/></selected_actions><stop>yes</stop><query>q"
     r = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(controller.decision(F.col("t")).alias("d")).collect()
     assert r[0].d.stop and [x.candidate for x in r[0].d.selected] == [2, None] and r[0].d.query == "" and not r[1].d.stop and r[1].d.selected == []
+
+
+def test_list_scores_of_nulls(spark):
+    rows = [(["a"], None), (None, ["a"]), (None, None), (["a", None], ["a", ""]), ([], ["a"]), (["x y"], ["x"])]
+    df = spark.createDataFrame(rows, "g array<string>, p array<string>")
+    got = [tuple(r) for r in df.select(literals.list_em_score("g", "p"), literals.list_f1_score("g", "p")).collect()]
+    assert got[:3] == [(None, None)] * 3 and got[3] == (1.0, got[3][1]) and got[4] == (0.0, 0.0) and 0 < got[5][1] < 1
+
+
+def test_corrections_that_failed(spark):
+    rows = spark.createDataFrame([(True, None, 0.0, None), (True, "e", 1.0, None), (True, None, 1.0, None), (False, None, 0.0, None), (True, None, None, 0.5), (True, None, 0.0, 0.0)], "ran boolean, error string, before double, after double")
+    got = [r[0] for r in rows.select(fn.correction_outcome(F.col("ran"), F.col("error"), F.col("before"), F.col("after"), F.col("after"))).collect()]
+    assert got == ["correction_error", "correction_error", "skipped_initial_correct", "not_run", "not_run", "wrong_to_wrong"]
+
+
+def test_whole_reports(spark):
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") % 7).alias("k"))
+    got = {r.id: r.line for r in results.report(rows, "t", [F.col("k").desc(), F.col("id").asc()]).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(3000), key=lambda i: (-(i % 7), i)), 1)}
+    assert results.report(rows, "t", [F.col("id").asc()], 5).count() == 5
