@@ -67,14 +67,15 @@ def breakdown(rows: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     return rows.unpivot(ids, columns, "category", "value").where("value is not null").withColumn("value", F.col("value") * 100)
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Consecutive numbers from 1 in the order of a column: places within range partitions, after the sizes of those before.
+def numbered(rows: DataFrame, order: str | list[Column], name: str) -> DataFrame:
+    """Consecutive numbers from 1 in the order of a column, or of several: places within range partitions, after the sizes of those before.
 
     A window over all rows would put them in one task. The partitions are written once with their number and the
     places of their rows, so that sizes and places belong to the same cut; the driver gets one size per partition.
     """
     part, place = f"part_{name}", f"place_{name}"
-    parts = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    by = [F.col(order)] if isinstance(order, str) else order
+    parts = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     parts = keep(parts.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1}), "numbered")
     sizes = sorted((r[part], r["count"]) for r in parts.groupBy(part).count().collect())
     before = list(accumulate((n for _, n in sizes), initial=0))
@@ -134,8 +135,7 @@ def report(rows: DataFrame, name: str, order: list[Column], limit: int | None =
     """The lines of a table in an order, numbered from 1: all of them by range partitions, or the first ``limit``, to which Spark cuts
     each task's rows before it shuffles."""
     if limit is None:
-        keyed = rows.withColumn("line_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-        return numbered(keyed, "line_order", "line").withColumn("part", F.lit(name)).select(*rows.columns, "part", "line")
+        return numbered(rows, order, "line").withColumn("part", F.lit(name)).select(*rows.columns, "part", "line")
     return rows.withColumns({"part": F.lit(name), "line": F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))}).where(F.col("line") <= limit)
 
 
