@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docquarry.functions import tables
 from docquarry.functions import text as tx
 from docquarry.operators import balance, dags, notes
 from docquarry.plans.agent import SQL_REPLAY, trace
 from docquarry.plans.common import Registry, table
+from docquarry.plans.ingest import R as INGEST
 from docquarry.plans.metrics import SQL_COMPACT, records
+from docquarry.sources import datasets
 from docquarry.sources.scratch import scratch_path
 from docquarry.streaming import keyed
 
@@ -85,3 +88,23 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = keyed.drain_appends(spark, keyed.state_machine(stream, ["user_id", "page"], ["ts", "event_id"], 5, late="3650 days"), path)
     last = found.where("user_id >= 0").groupBy("user_id", "page").agg(F.max_by(F.struct("states", "n_actions", "n_refused"), "n_actions").alias("x"))
     return last.select("user_id", "page", F.array_join("x.states", ",").alias("states"), "x.n_actions", "x.n_refused")
+
+
+@R.add("x_sql_text_pieces", INGEST.sql["t17_t20_split_pieces"])
+def sql_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: pieces of texts by a table function in SQL."""
+    tables.register(spark)
+    name = "docquarry_documents"
+    table(spark, sf_dir, "documents").createOrReplaceTempView(name)
+    return spark.sql(f"SELECT doc_id, piece, length(content) AS n_chars, md5(content) AS content_md5 FROM text_pieces(TABLE(SELECT doc_id, text FROM {name}), 'doc_id', 'text', 1000, 100)")
+
+
+@R.add("s14_s15_rankings_format", "SELECT 'q' || (vec_id % 20) AS query, 'd' || vec_id AS doc, (vec_id // 20 + 1)::INT AS rank, vec_id / 8.0::DOUBLE AS score, 'run' AS tag, label::VARCHAR AS label FROM embeddings WHERE label IN (1, 4) AND vec_id % 20 < 10")
+def rankings_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankings written as lines in a folder for each label, and some of them read as a dataset format: other folders aren't opened."""
+    datasets.register(spark)
+    path, i = scratch_path(spark, "rankings"), F.col("vec_id")
+    line = F.concat_ws(" ", F.concat(F.lit("q"), (i % 20).cast("string")), F.lit("Q0"), F.concat(F.lit("d"), i.cast("string")), (F.floor(i / 20) + 1).cast("string"), (i / 8.0).cast("string"), F.lit("run"))
+    table(spark, sf_dir, "embeddings").select(line.alias("value"), "label").write.partitionBy("label").text(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("trec_run").load(path).where(F.col("label").isin("1", "4") & F.col("query").isin(*[f"q{n}" for n in range(10)]))
