@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,22 @@ class Recent:
             self.old, self.now, self.held = self.now, {}, 0
 
 
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def tidy() -> Iterator[None]:
+    """Drops at its end all scratch tables that were begun inside: for results that are written elsewhere by then."""
+    made: list[Scratch] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for scratch in made:
+            scratch.leave()
+
+
 class Scratch:
     """Parquet tables of one operator call, in a folder of their own below the shared root.
 
@@ -62,6 +80,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/docquarry/{what}-{uuid.uuid4().hex}"
+        if (made := _MADE.get()) is not None:
+            made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
