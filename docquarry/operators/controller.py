@@ -163,10 +163,18 @@ def reader_pages(activations: DataFrame, by: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(late, "first.step", "page_index"))).select(by, "page_index", "place")
 
 
+def _inside(text: Column, block: str) -> Column:
+    return F.regexp_extract(text, rf"(?is)<{block}\b[^>]*>(.*?)</{block}>", 1)
+
+
+def _items(text: Column, item: str) -> Column:
+    """Each of these elements with what follows it up to the next one."""
+    return F.regexp_extract_all(text, F.lit(rf"(?is)<(?:{item})\b[^>]*>(?:(?!<(?:{item})\b).)*"), F.lit(0))
+
+
 def _elements(text: Column, block: str, item: str) -> Column:
-    """The attribute texts of the items inside a block."""
-    inside = F.regexp_extract(text, rf"(?is)<{block}\b[^>]*>(.*?)</{block}>", 1)
-    return F.regexp_extract_all(inside, F.lit(rf"(?is)<(?:{item})\b[^>]*>(?:(?!<(?:{item})\b).)*"), F.lit(0))
+    """The items inside a block."""
+    return _items(_inside(text, block), item)
 
 
 def _attribute(text: Column, name: str) -> Column:
@@ -182,8 +190,11 @@ def _inner(text: Column, tag: str) -> Column:
 
 def decision(text: Column) -> Column:
     """A decision read from XML that may lack closing tags or have words around it: stop, selected candidate numbers and
-    their utilities, nodes to open, nodes to prune with reasons, query."""
-    chosen = _elements(text, "selected_actions", "action")
+    their utilities, nodes to open, nodes to prune with reasons, query. Where no block of selected actions is closed and filled, actions
+    count wherever they stand but among the candidates."""
+    offered = F.regexp_replace(text, r"(?is)<candidate_actions\b[^>]*>.*?</candidate_actions>", "")
+    block = _inside(text, "selected_actions")
+    chosen = _items(F.when(block != "", block).otherwise(offered), "action")
     number = lambda a: F.coalesce(F.nullif(_attribute(a, "index"), F.lit("")), _attribute(a, "candidate_index")).try_cast("int")
     return F.struct(
         F.lower(_inner(text, "stop")).isin("true", "1", "yes").alias("stop"),

@@ -342,3 +342,29 @@ def trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.to_json(item).alias("item"))
     page_node = lambda i: F.concat(F.lit("page:"), i.cast("string"))
     return shown.recent_steps(rows, "user_id", ["ts", "event_id"], "item", page_node).select("user_id", F.md5("xml").alias("xml_md5"))
+
+
+@R.add(
+    "c13_decisions_in_texts",
+    r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') || chr(10) || '```xml' || chr(10) || '<Agent_Decision>' || CASE WHEN turn % 3 = 0 THEN '<STOP>' || chr(10) || 'Yes </STOP>' WHEN turn % 3 = 1 THEN '<stop>no</stop>' ELSE '<stop>true' END
+  || '<candidate_actions><action index="77"/></candidate_actions>' || CASE WHEN turn % 2 = 0 THEN '<selected_actions>' ELSE '' END || '<action utility="' || role || '" index="' || turn || '"/><ACTION candidate_index="' || (turn + 1) || '">' || CASE WHEN turn % 4 = 0 THEN '</selected_actions><action index="88"/>' ELSE '' END
+  || '<search_request><query>' || left(coalesce(text, ''), 60) || '</query>' || CASE WHEN turn % 5 = 0 THEN '' ELSE '<prune_requests><node id="n' || turn || '"><reason>' || right(coalesce(text, ''), 30) || '</reason></node></prune_requests>' END AS x FROM conversations),
+u AS (SELECT *, lower(x) AS l, CASE WHEN turn % 4 = 0 THEN regexp_extract(x, '(?s)<selected_actions>(.*)</selected_actions>', 1) ELSE regexp_replace(x, '(?s)<candidate_actions>.*</candidate_actions>', '') END AS region FROM t)
+SELECT conv_id, turn, position('<stop>' IN l) > 0 AND position('</stop>' IN l) > 0 AND trim(split_part(split_part(l, '<stop>', 2), '</stop>', 1), chr(10) || ' ') IN ('yes', 'true', '1') AS stop,
+  array_to_string(list_transform(regexp_extract_all(region, '(?i)<action[^>]*>'), lambda a: regexp_extract(a, 'index="([0-9]+)', 1)), ',') AS selected,
+  trim(regexp_replace(split_part(split_part(x, '<query>', 2), '</query>', 1), '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS query,
+  CASE WHEN position('<reason>' IN x) = 0 THEN '' ELSE trim(regexp_replace(split_part(split_part(x, '<reason>', 2), '</reason>', 1), '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) END AS reason FROM u""",
+)
+def decisions_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken decisions among the words of conversations: tags in any case, left open, without their block, beside offered candidates."""
+    turn, said = F.col("turn"), F.coalesce("text", F.lit(""))
+    stop = F.when(turn % 3 == 0, "<STOP>\nYes </STOP>").when(turn % 3 == 1, "<stop>no</stop>").otherwise("<stop>true")
+    actions = F.concat(
+        F.when(turn % 2 == 0, "<selected_actions>").otherwise(""), F.lit('<action utility="'), "role", F.lit('" index="'), turn.cast("string"), F.lit('"/><ACTION candidate_index="'), (turn + 1).cast("string"), F.lit('">'),
+        F.when(turn % 4 == 0, '</selected_actions><action index="88"/>').otherwise(""),
+    )
+    prune = F.when(turn % 5 == 0, "").otherwise(F.concat(F.lit('<prune_requests><node id="n'), turn.cast("string"), F.lit('"><reason>'), F.right(said, F.lit(30)), F.lit("</reason></node></prune_requests>")))
+    text = F.concat(said, F.lit("\n```xml\n<Agent_Decision>"), stop, F.lit('<candidate_actions><action index="77"/></candidate_actions>'), actions, F.lit("<search_request><query>"), F.left(said, F.lit(60)), F.lit("</query>"), prune)
+    got = table(spark, sf_dir, "conversations").select("conv_id", "turn", op.decision(text).alias("d"))
+    numbers = F.array_join(F.transform("d.selected", lambda x: x["candidate"].cast("string")), ",")
+    return got.select("conv_id", "turn", "d.stop", numbers.alias("selected"), "d.query", F.coalesce(F.get("d.prune", F.lit(0))["reason"], F.lit("")).alias("reason"))
