@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,14 +77,17 @@ def split_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...]
 
 
 def split_texts(rows: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
-    """``(key, piece, content)``."""
+    """``(key, piece, content)``; a null or empty text has no piece. Batches of Arrow come in and go out."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            cut = [(k, i, p) for k, t in zip(f[key], f[text], strict=True) if t for i, p in enumerate(split_pieces(t, size, overlap))]
-            yield pd.DataFrame(cut, columns=[key, "piece", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [split_pieces(t, size, overlap) if t else [] for t in batch.column(1).to_pylist()]
+            counts = [len(c) for c in cut]
+            of = batch.column(0).take(pa.array(np.repeat(np.arange(len(cut)), counts)))
+            places = pa.array([i for n in counts for i in range(n)], pa.int32())
+            yield pa.RecordBatch.from_arrays([of, places, pa.array([p for c in cut for p in c], pa.string())], names=[key, "piece", "content"])
 
-    return rows.select(key, text).mapInPandas(run, T.StructType([rows.schema[key], T.StructField("piece", T.IntegerType()), T.StructField("content", T.StringType())]))
+    return rows.select(key, text).mapInArrow(run, T.StructType([rows.schema[key], T.StructField("piece", T.IntegerType()), T.StructField("content", T.StringType())]))
 
 
 def fill_template(template: str, values: dict[str, Column]) -> Column:

@@ -1,10 +1,10 @@
-"""Notes of a memory: links from each to its nearest earlier ones."""
+"""Notes of a memory: links from each to its nearest earlier ones, and memories saved and loaded as tables."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,3 +50,30 @@ def earlier_links(notes: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     kind = notes.schema["note_id"].dataType
     found = late.groupBy("b", "e").cogroup(early.groupBy("late_b", "early_b")).applyInArrow(run, T.StructType([T.StructField("note_id", kind), T.StructField("earlier", kind), T.StructField("score", T.DoubleType())]))
     return top_k(found, ["note_id"], [F.col("score").desc(), F.col("earlier").asc()], k).select("note_id", "earlier", "rank", "score")
+
+
+#: A saved note: what it says, what it is known by, and its links.
+NOTE = "note_id bigint, content string, summary string, keywords array<string>, links array<bigint>, visual boolean"
+
+
+def save_memory(notes: DataFrame, vectors: DataFrame, path: str) -> None:
+    """Writes ``notes`` (columns of ``NOTE``; missing ones are null) and their ``vectors(note_id, vec)`` as tables below the path, in place of what is
+    there. A memory without notes, or with a note without a vector or the other way, isn't written."""
+    held = notes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in notes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(NOTE)])
+    ids, of = held.select("note_id"), vectors.select("note_id")
+    if held.isEmpty():
+        raise ValueError("a memory without notes isn't saved")
+    if not ids.join(of, "note_id", "left_anti").isEmpty() or not of.join(ids, "note_id", "left_anti").isEmpty():
+        raise ValueError("each note has a vector, and each vector a note")
+    held.write.mode("overwrite").parquet(f"{path}/notes")
+    vectors.select("note_id", F.col("vec").cast("array<double>").alias("vec")).write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def load_memory(spark: SparkSession, path: str) -> DataFrame:
+    """The saved notes with their vectors: columns of ``NOTE``, vec. A memory that has no notes, or other numbers of notes and vectors, is no memory."""
+    held = spark.read.schema(NOTE).parquet(f"{path}/notes")
+    vectors = spark.read.schema("note_id bigint, vec array<double>").parquet(f"{path}/vectors").withColumnRenamed("note_id", "of_note")
+    n, m = held.count(), vectors.count()
+    if not n or n != m:
+        raise ValueError(f"{path} has {n} notes and {m} vectors")
+    return held.join(vectors, F.col("note_id") == F.col("of_note")).drop("of_note")

@@ -108,3 +108,14 @@ def rankings_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "embeddings").select(line.alias("value"), "label").write.partitionBy("label").text(path)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("trec_run").load(path).where(F.col("label").isin("1", "4") & F.col("query").isin(*[f"q{n}" for n in range(10)]))
+
+
+@R.add("k10_memory_round_trip", "SELECT vec_id AS note_id, 'label ' || label AS content, [label::VARCHAR, 'k'] AS keywords, [vec_id - 1] AS links, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def memory_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and their vectors saved as a memory, and read back."""
+    path, rows = scratch_path(spark, "memory"), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "note_id")
+    label = F.col("label").cast("string")
+    made = rows.select("note_id", F.concat(F.lit("label "), label).alias("content"), F.array(label, F.lit("k")).alias("keywords"), F.array(F.col("note_id") - 1).alias("links"))
+    notes.save_memory(made, rows.select("note_id", F.col("embedding").alias("vec")), path)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
+    return notes.load_memory(spark, path).select("note_id", "content", "keywords", "links", F.round(total, 6).alias("total"))

@@ -145,3 +145,18 @@ def test_prompts_fit_their_budget(spark):
     df = spark.createDataFrame([("a b c " * 100, 30), (None, 3), ("", 0), ("a b", 2), ("a b", None)], "t string, n int")
     rows = [tuple(r.p) for r in df.select(tx.fitted_prompt("t", "n").alias("p")).collect()]
     assert rows[0][1] <= 30 and rows[0][2] and rows[1] == (None, None, None) and rows[2] == ("", 0, False) and rows[3] == ("a b", 2, False) and rows[4][0] is None
+
+
+def test_memory_saved_and_loaded(spark, tmp_path):
+    path = str(tmp_path / "m")
+    made = spark.createDataFrame([(1, "a", ["k"]), (2, None, None)], "note_id bigint, content string, keywords array<string>")
+    vectors = spark.createDataFrame([(2, [1.0, 2.0]), (1, [0.5, 0.0])], "note_id bigint, vec array<double>")
+    notes.save_memory(made, vectors, path)
+    got = {r.note_id: (r.content, r.keywords, r.links, r.vec) for r in notes.load_memory(spark, path).collect()}
+    assert got == {1: ("a", ["k"], None, [0.5, 0.0]), 2: (None, None, None, [1.0, 2.0])}
+    for some, of in ((made.limit(0), vectors), (made, vectors.where("note_id = 1")), (made.where("note_id = 1"), vectors)):
+        with pytest.raises(ValueError):
+            notes.save_memory(some, of, path)
+    spark.createDataFrame([(3, [1.0])], "note_id bigint, vec array<double>").write.mode("append").parquet(f"{path}/vectors")
+    with pytest.raises(ValueError):
+        notes.load_memory(spark, path)
