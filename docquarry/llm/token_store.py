@@ -164,12 +164,13 @@ class WordEncoder:
         coded = cut.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         self.pieces.turn()
-        known = set(pieces)
-        known.discard("")
-        if lacking := self.pieces.lacking(known):
-            self._learn(lacking)
-        get = self.pieces.now.get
-        raw = [get(p, b"") for p in pieces]
+        raw = list(map(self.pieces.now.get, pieces))
+        if None in raw:
+            unknown = {p for p, r in zip(pieces, raw, strict=True) if r is None and p}
+            if lacking := self.pieces.lacking(unknown):
+                self._learn(lacking)
+            get = self.pieces.now.get
+            raw = [get(p, b"") if r is None else r for p, r in zip(pieces, raw, strict=True)]
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         ids, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
         at = coded.indices.to_numpy(zero_copy_only=False)
