@@ -162,7 +162,7 @@ class WordEncoder:
             plain = pc.if_else(pa.array(mask), "", plain)
         cut = pc.utf8_split_whitespace(pc.utf8_lower(plain))
         coded = cut.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
         self.pieces.turn()
         raw = list(map(self.pieces.now.get, pieces))
         if None in raw:
