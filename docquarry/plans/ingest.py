@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -270,7 +273,26 @@ def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ck.token_chunks(doc_pages(spark, sf_dir), "doc_key", "page_index", 200, 50, cross=False)
 
 
-@R.add("t01_unescaped_text", r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), chr(160), ' '), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+', ''), '[ \t\r\n]+$', '')) AS text_md5 FROM pages""")
+#: The named references of HTML and what they stand for; those that may lack their semicolon, longest first.
+SQL_NAMED = ", ".join("('{}', '{}')".format(name, chars.replace("'", "''")) for name, chars in html5.items())
+_BARE = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True))
+#: Numbers that stand for another character: none, a carriage return, and those that Windows-1252 has.
+SQL_RENUMBERED = ", ".join(f"({n}, {ord(unescape(f'&#{n};'))})" for n in (0, 13, *range(128, 160)))
+#: ``html.unescape`` step by step: texts are cut into references and what is between them; a reference is a number, a name, or starts with a name that
+#: needs no semicolon; numbers of no character are replaced or go.
+SQL_UNESCAPED = rf"""named(name, chars) AS (VALUES {SQL_NAMED}), renumbered(num, code) AS (VALUES {SQL_RENUMBERED}),
+cut AS (SELECT page_id, regexp_extract_all(html, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{{1,32}};?)|[^&]+|&') AS p FROM pages),
+parts AS (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM cut),
+keyed AS (SELECT *, CASE WHEN part LIKE '&_%' THEN substr(part, 2) END AS ref, CASE WHEN part LIKE '&#%' THEN ltrim(regexp_extract(part, '^&#[xX]?([0-9a-fA-F]+)', 1), '0') END AS digits FROM parts),
+numbered AS (SELECT *, CASE WHEN digits = '' THEN 0 WHEN length(digits) > 8 THEN 99999999 WHEN ref ILIKE '#x%' THEN ('0x' || digits)::BIGINT ELSE digits::BIGINT END AS num, regexp_extract(ref, '^(?:{_BARE})') AS start FROM keyed),
+resolved AS (SELECT page_id, i, CASE WHEN r.code IS NOT NULL THEN chr(r.code::INT) WHEN k.num BETWEEN 55296 AND 57343 OR k.num > 1114111 THEN chr(65533)
+    WHEN k.num BETWEEN 1 AND 8 OR k.num = 11 OR k.num BETWEEN 14 AND 31 OR k.num BETWEEN 127 AND 159 OR k.num BETWEEN 64976 AND 65007 OR k.num % 65536 >= 65534 THEN ''
+    WHEN k.num IS NOT NULL THEN chr(k.num::INT) ELSE coalesce(n.chars, b.chars || substr(part, length(start) + 2), part) END AS t
+  FROM numbered k LEFT JOIN renumbered r ON r.num = k.num LEFT JOIN named n ON n.name = ref LEFT JOIN named b ON b.name = start),
+unescaped AS (SELECT page_id, coalesce(string_agg(t, '' ORDER BY i), '') AS html FROM pages LEFT JOIN resolved USING (page_id) GROUP BY page_id)"""
+
+
+@R.add("t01_unescaped_text", rf"""WITH {SQL_UNESCAPED} SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(160), ' '), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+', ''), '[ \t\r\n]+$', '')) AS text_md5 FROM unescaped""")
 def unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised text with entities resolved."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.normalize_text(F.col("html"))).alias("text_md5"))
