@@ -15,7 +15,8 @@ Edge cases: a text without words, null included, has fingerprint zero and links
 doc_id are one document; a null doc_id is never the smallest of a component unless it holds nothing else (then the
 component_id is null). An empty table gives an empty result.
 
-``deduplicate`` serves the pipeline and has another contract: sets of 5-word shingles of similarity 0.8 or more. Its
+``deduplicate`` serves the pipeline and has another contract: sets of 5-word shingles of similarity 0.8 or more, by fingerprints and
+MinHash bands of these sets, each pair compared exactly. Its
 rows of null doc_id stay and take no part, texts without words are copies of each other, extra columns pass through.
 """
 
@@ -33,6 +34,14 @@ from pyspark.sql import types as T
 from docquarry.llm._shared import Scratch, connected_components, slices
 
 
+def majority(h: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of hashes: the bits set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 200_000):
+        ones += np.unpackbits(h[i : i + 200_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The signed 64-bit fingerprint of one text."""
     from xxhash import xxh64_intdigest
@@ -44,10 +53,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
     ends = starts[min(shingle, len(words)) :]
     h = np.fromiter((xxh64_intdigest(line[a : b - 1], seed) for a, b in zip(starts, ends)), np.uint64, n)  # noqa: B905
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 200_000):
-        ones += np.unpackbits(h[i : i + 200_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -140,17 +146,18 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, set, n, keys)`` per row: id and size of its set of shingles, and the keys of its bands."""
+    """``(doc_id, set, n, print, keys)`` per row: id, size and SimHash fingerprint of its set of shingles, and the keys of its bands."""
     rows = docs.where("doc_id is not null").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
             keys = [band_keys(h) if len(h) else [] for h in found]
-            arrays = [batch.column(0), pa.array([_set_id(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "set", "n", "keys"])
+            arrays = [batch.column(0), pa.array([_set_id(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64())]
+            arrays += [pa.array([majority(h) for h in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "set", "n", "print", "keys"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("set long, n long, keys array<long>").fields]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("set long, n long, print long, keys array<long>").fields]))
 
 
 def _hashes(docs: DataFrame, distinct: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -226,30 +233,44 @@ def _meeting(rare: DataFrame, labels: DataFrame, similar: float, turn: int | Non
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def print_pairs(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidate pairs ``(a, b, n_a, n_b)`` of ``distinct(set, n, print)``: the first sets of fingerprints that ``links`` finds at most 2 bits apart, and the first
+    set of a fingerprint with each other one of it."""
+    firsts = scratch.keep(distinct.groupBy(F.col("print").alias("fp")).agg(F.min(F.struct("set", "n")).alias("first")), "prints")
+    near = scratch.keep(links(firsts.select("fp"), scratch), "print-links")
+    end = lambda x: firsts.select(F.col("fp").alias(f"fp_{x}"), F.col("first").alias(f"first_{x}"))
+    apart = near.join(end("a"), F.col("a") == F.col("fp_a")).join(end("b"), F.col("b") == F.col("fp_b")).select("first_a", F.col("first_b.set").alias("b"), F.col("first_b.n").alias("n_b"))
+    same = distinct.join(firsts, F.col("print") == F.col("fp")).select(F.col("first").alias("first_a"), F.col("set").alias("b"), F.col("n").alias("n_b"))
+    return apart.unionByName(same).select(F.col("first_a.set").alias("a"), "b", F.col("first_a.n").alias("n_a"), "n_b")
+
+
 def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of documents linked by sets of shingles of at least that similarity.
 
-    A few bits of a 64-bit fingerprint don't reach such pairs (their median is about 10 bits), so candidates share one
-    of the MinHash bands. Each set is compared with the first one of its bands, which joins near copies at a cost
-    in proportion to their number. Sets of bands that aren't one component then meet by their rare shingles: first one set a
+    Candidates are sets whose SimHash fingerprints differ by at most 2 bits, found through deletion variants as ``near_duplicates``
+    finds them, and an exact comparison follows. A few bits of a 64-bit fingerprint don't reach all such pairs (their median is about
+    10 bits), so sets that share one of the MinHash bands are candidates too: each set is compared with the first one of its bands, which
+    joins near copies at a cost in proportion to their number. Sets of bands that aren't one component then meet by their rare shingles: first one set a
     component and shingle, in two turns, then all that are still apart. That loses no pair, and documents that
     share much without being copies (boilerplate of one site) have only shingles of their own there.
     """
     sets = scratch.keep(_sets(docs, shingle), "sets")
-    distinct = scratch.keep(sets.groupBy("set").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-sets")
+    distinct = scratch.keep(sets.groupBy("set").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys")), "distinct-sets")
     members = distinct.select("set", "n", F.explode("keys").alias("key"))
     first = members.groupBy(F.col("key").alias("bucket")).agg(F.count("*").alias("size"), F.min(F.struct("set", "n")).alias("first")).where("size > 1")
     members = scratch.keep(members.join(first, F.col("key") == F.col("bucket")).select("key", "set", "n", F.col("first.set").alias("lead"), F.col("first.n").alias("lead_n")), "band-members")
-    hashes = scratch.keep(_hashes(docs, distinct, members.select("set").distinct(), shingle), "hashes")
-    fits = F.least("n", "lead_n") >= similar * F.greatest("n", "lead_n") - 1e-9
-    pairs = scratch.keep(members.where((F.col("set") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("set").alias("b")).distinct(), "lead-pairs")
+    near = print_pairs(distinct.select("set", "n", "print"), scratch).unionByName(members.select(F.col("lead").alias("a"), F.col("set").alias("b"), F.col("lead_n").alias("n_a"), F.col("n").alias("n_b")))
+    fits = F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b") - 1e-9
+    pairs = scratch.keep(near.where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lead-pairs")
+    wanted = members.select("set").unionByName(pairs.select(F.col("a").alias("set"))).unionByName(pairs.select(F.col("b").alias("set")))
+    hashes = scratch.keep(_hashes(docs, distinct, wanted.distinct(), shingle), "hashes")
     found = scratch.keep(_alike(pairs, hashes, similar), "alike-leads")
     labels = scratch.keep(connected_components(found, scratch, "lead-cc"), "lead-labels")
     held = members.join(labels, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("component", "set").alias("component"))
     mixed = held.groupBy(F.col("key").alias("bucket")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     apart = scratch.keep(held.join(mixed, F.col("key") == F.col("bucket"), "left_semi").select("set").distinct(), "apart")
     rare = rare_shingles(hashes.join(apart, "set", "left_semi"), similar, scratch)
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = pairs
     for turn in (0, 1, None):
         rest = scratch.keep(_meeting(rare, labels, similar, turn).join(done, ["a", "b"], "left_anti"), f"met-{turn}")
         if rest.isEmpty():

@@ -110,6 +110,21 @@ def test_near_copies_of_one_replaced_word_leave(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """Without any MinHash band the fingerprints' deletion variants find pairs within two bits; unlike sets of one fingerprint stay apart."""
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: [])
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:150], "other", *words[151:]])]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), Scratch(spark, "test")).collect()}
+    prints = [simhash.majority(simhash.shingles(t)) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= 2]
+    like = [(i, j) for i, j in near if len(a := set(simhash.shingles(texts[i])) & set(simhash.shingles(texts[j]))) >= 0.8 * (len(simhash.shingles(texts[i])) + len(simhash.shingles(texts[j])) - len(a))]
+    assert got == union(range(len(texts)), like) and len(like) > 30
+
+
 @pytest.mark.parametrize("unlike", [60, 30])
 def test_near_copies_among_boilerplate(spark, unlike):
     """Documents that share most of their words and are no copies: what is compared grows with them, not with their square."""
