@@ -41,8 +41,8 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int, page_cap: int | None =
 def phrase(questions: DataFrame, chunks: DataFrame, k: int, stop: tuple[str, ...] = ()) -> DataFrame:
     """Over all corpora, by the question's most frequent words."""
     terms = retrieval.keywords(questions, list(stop)).groupBy("question_id").agg(F.collect_list("term").alias("terms"))
-    found = retrieval.phrase_rank(terms, chunks.select(F.col("chunk_id").alias("note_id"), "tokens"))
-    return retrieval.top_k(found, ["question_id"], [F.round("score", 9).desc(), F.col("note_id").asc()], k).withColumnRenamed("note_id", "chunk_id")
+    found = retrieval.phrase_rank(terms, chunks.select(F.col("chunk_id").alias("note_id"), "tokens"), k)
+    return found.withColumnRenamed("note_id", "chunk_id")
 
 
 @builder("hybrid")

@@ -112,16 +112,16 @@ def vector_top_k(
     return top_k(found, keys, [F.round("score", 9).desc(), F.col("page_id").asc()], k)
 
 
-def _matrix(column: pa.ChunkedArray, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+def matrix(column: pa.Array | pa.ChunkedArray, unit: bool) -> tuple[np.ndarray, np.ndarray]:
     """All vectors of a column of arrays of vectors, and how many each row has."""
-    vecs = column.combine_chunks()
+    vecs = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     counts = pa.compute.fill_null(pa.compute.list_value_length(vecs), 0).to_numpy(zero_copy_only=False)
     flat = vecs.flatten()
-    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if unit else x), counts
 
 
-def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the ``k`` largest values of each row; of equal ones the first columns."""
     s = -np.round(score, 9)
     if k < s.shape[1]:
@@ -143,11 +143,11 @@ def _scorer(k: int, mean: bool, skip_self: bool, per_group: bool):
         queries = queries.filter(pa.compute.fill_null(pa.compute.greater(pa.compute.list_value_length(queries["query_vecs"]), 0), False))
         if not len(pages) or not len(queries):
             return empty
-        (q, n_q), (p, n_p) = _matrix(queries["query_vecs"], mean), _matrix(pages["vecs"], mean)
+        (q, n_q), (p, n_p) = matrix(queries["query_vecs"], mean), matrix(pages["vecs"], mean)
         starts, firsts = np.cumsum(n_q) - n_q, np.cumsum(n_p) - n_p
         page_ids, query_ids = pages["page_id"].to_numpy(), queries["query_id"].to_numpy()
         groups = pages["grp"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if per_group else np.zeros(len(pages), np.int64)
-        out, step = [], max(1, 4_000_000 * len(queries) // (len(q) * len(p)))
+        out, step = [], max(1, 1_000_000 * len(queries) // (len(q) * len(p)))
         for a in range(0, len(queries), step):  # some queries at a time: products of all vectors aren't held at once
             b = min(len(queries), a + step)
             dots = q[starts[a] : starts[b - 1] + n_q[b - 1]] @ p.T
@@ -158,7 +158,7 @@ def _scorer(k: int, mean: bool, skip_self: bool, per_group: bool):
                 score[query_ids[a:b, None] == page_ids[None, :]] = -np.inf
             for g in np.unique(groups):
                 at = np.flatnonzero(groups == g)
-                row, col = _best(score[:, at], k)
+                row, col = best_of(score[:, at], k)
                 out.append((a + row, at[col], score[row, at[col]]))
         row, col, score = (np.concatenate(x) for x in zip(*out, strict=True))
         columns = [queries["query_id"].take(pa.array(row)), pages["page_id"].take(pa.array(col)), pa.array(score), *([pages["grp"].take(pa.array(col))] if per_group else [])]
@@ -167,16 +167,55 @@ def _scorer(k: int, mean: bool, skip_self: bool, per_group: bool):
     return run
 
 
-def phrase_rank(questions: DataFrame, notes: DataFrame) -> DataFrame:
-    """``(question_id, note_id, score)``: distinct terms found, plus a hundredth of all their occurrences.
+def phrase_rank(questions: DataFrame, notes: DataFrame, k: int, question_block: int = 512, note_block: int = 20_000) -> DataFrame:
+    """``(question_id, note_id, score, rank)``: the ``k`` best notes of each question that have any of its terms. The score counts distinct terms
+    found, plus a hundredth of all their occurrences.
 
-    ``questions(question_id, terms)`` of single words, ``notes(note_id, tokens)``.
+    ``questions(question_id, terms)`` of single words, ``notes(note_id, tokens)``. Notes are cut to the asked words, one row a note, and
+    dealt into blocks of about ``note_block``, questions into blocks of about ``question_block``; a task counts the words of a block of notes
+    and adds up those of a block of questions, and ``k`` rows a question leave. So no row is made for a question and a note.
     """
-    terms = questions.select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
+    terms = keep(questions.select("question_id", F.explode(F.array_distinct("terms")).alias("term")), "phrase-terms")
     vocabulary = terms.select(F.col("term").alias("asked_term")).distinct()
     words = notes.select("note_id", F.explode("tokens").alias("term")).join(vocabulary, F.col("term") == F.col("asked_term"), "left_semi")
-    found = words.groupBy("note_id", "term").agg(F.count("*").alias("tf"))
-    return terms.join(found, "term").groupBy("question_id", "note_id").agg((F.count("*") + 0.01 * F.sum("tf")).alias("score"))
+    found = keep(words.groupBy("note_id", "term").agg(F.count("*").alias("tf")), "phrase-counts")
+    shape = terms.agg(F.ceil(F.countDistinct("question_id") / question_block).alias("nq")).crossJoin(found.agg(F.ceil(F.approx_count_distinct("note_id") / note_block).alias("nn"))).first()
+    nq, nn = (max(1, int(n or 0)) for n in shape)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = terms.select(F.pmod(F.xxhash64("question_id"), F.lit(nq)).cast("int").alias("qb"), all_of(nn).alias("nb"), "question_id", "term")
+    of = terms.select("term", F.pmod(F.xxhash64("question_id"), F.lit(nq)).cast("int").alias("qb")).distinct()
+    right = found.join(of, "term").select("qb", F.pmod(F.xxhash64("note_id"), F.lit(nn)).cast("int").alias("nb"), "note_id", "term", "tf")
+    kinds = T.StructType([questions.schema["question_id"], notes.schema["note_id"], T.StructField("score", T.DoubleType())])
+    best = left.groupBy("qb", "nb").cogroup(right.groupBy("qb", "nb")).applyInArrow(_phrase_scorer(k), kinds)
+    return top_k(best, ["question_id"], [F.round("score", 9).desc(), F.col("note_id").asc()], k)
+
+
+def _phrase_scorer(k: int):
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        questions, notes = (t[c].combine_chunks().dictionary_encode() for t, c in ((asked, "question_id"), (held.sort_by("note_id"), "note_id")))
+        if asked.num_rows and held.num_rows:
+            held = held.sort_by("note_id")
+            words = asked["term"].combine_chunks().unique()
+            at = pa.compute.index_in(held["term"].combine_chunks(), words).to_numpy(zero_copy_only=False)
+            note, tf = notes.indices.to_numpy(), held["tf"].to_numpy()
+            question = questions.indices.to_numpy()
+            order = np.argsort(question, kind="stable")
+            term = pa.compute.index_in(asked["term"].combine_chunks(), words).to_numpy()[order]
+            first = np.searchsorted(question[order], np.arange(len(questions.dictionary)))
+            step = max(1, 2_000_000 // max(len(words), len(term)))
+            for a in range(0, len(notes.dictionary), step):  # some notes at a time
+                b = min(a + step, len(notes.dictionary))
+                i, j = np.searchsorted(note, (a, b))
+                counts = np.zeros((len(words), b - a), np.int64)
+                counts[at[i:j], note[i:j] - a] = tf[i:j]
+                n, total = (np.add.reduceat(x[term], first, axis=0) for x in ((counts > 0).astype(np.int64), counts))
+                row, col = best_of(np.where(n > 0, n + 0.01 * total, -np.inf), k)
+                out.append((row, a + col, (n + 0.01 * total)[row, col]))
+        row, col, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table([questions.dictionary.take(pa.array(row)), notes.dictionary.take(pa.array(col)), pa.array(score)], names=["question_id", "note_id", "score"])
+
+    return run
 
 
 def keywords(questions: DataFrame, stop: list[str], least: int = 2, k: int = 8) -> DataFrame:

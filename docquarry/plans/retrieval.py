@@ -166,16 +166,15 @@ scored AS (SELECT question_id, note_id, count(*) + 0.01::DOUBLE * sum(tf) AS sco
 phrase AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, note_id) AS prank FROM scored)"""
 
 
-def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def phrases(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     terms = op.keywords(questions(spark, sf_dir), STOP).groupBy("question_id").agg(F.collect_list("term").alias("terms"))
     notes = documents_as_chunks(spark, sf_dir).select(F.col("chunk_id").alias("note_id"), "tokens")
-    return op.phrase_rank(terms, notes)
+    return op.phrase_rank(terms, notes, k)
 
 
 @R.add("r17_r18_phrase_rank", f"WITH {SQL_PHRASE} SELECT question_id, prank::INT AS rank, note_id, round(score, 6) AS score FROM phrase WHERE prank <= 5")
 def phrase_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = op.top_k(phrases(spark, sf_dir), ["question_id"], [F.round("score", 9).desc(), F.col("note_id").asc()], 5)
-    return found.select("question_id", "rank", "note_id", F.round("score", 6).alias("score"))
+    return phrases(spark, sf_dir, 5).select("question_id", "rank", "note_id", F.round("score", 6).alias("score"))
 
 
 SQL_HYBRID = f"""WITH {SQL_PHRASE.replace('scored', 'pscored').replace(' tf AS (', ' ptf AS (').replace('JOIN tf USING', 'JOIN ptf USING')}, {SQL_BM25[SQL_BM25.index('chunks AS'):]},
@@ -200,7 +199,7 @@ def context_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25's five best of the question's source, then the phrase rank's three best of all; repeats go."""
     best = op.bm25_top(questions(spark, sf_dir), documents_as_chunks(spark, sf_dir), 5).select("question_id", F.col("chunk_id").alias("note_id"), "rank")
-    words = op.top_k(phrases(spark, sf_dir), ["question_id"], [F.round("score", 9).desc(), F.col("note_id").asc()], 3).select("question_id", "note_id", "rank")
+    words = phrases(spark, sf_dir, 3).select("question_id", "note_id", "rank")
     return op.hybrid(best, words, "question_id", "note_id")
 
 
