@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.functions import text as tx
-from docquarry.operators.retrieval import top_k
+from docquarry.operators.retrieval import best_of, matrix, top_k
 from docquarry.sources.scratch import keep
 
 _SLICE = 4096
@@ -154,40 +153,81 @@ def fit_quantiser(pages: DataFrame, cells: int, parts: int, sample: int = 20_000
     return Quantiser.fit(x if len(x) else np.zeros((1, 1)), cells, parts if len(x) else 1)
 
 
-def pruned_maxsim(queries: DataFrame, pages: DataFrame, k: int, cells: int, probes: int, candidates: int, sample: int = 20_000) -> DataFrame:
+def pruned_maxsim(queries: DataFrame, pages: DataFrame, k: int, cells: int, probes: int, candidates: int, sample: int = 20_000, block: int = 16_384) -> DataFrame:
     """``(query_id, page_id, score, rank)``: late interaction over candidate pages only.
 
     ``queries(query_id, vecs)`` and ``pages(page_id, vecs)`` hold arrays of vectors. Every token of a page is known by its nearest
     centroid. A query's token asks the ``probes`` centroids of largest product for pages, each page counts with the largest product
-    of the centroids it has, and the ``candidates`` pages of largest sum are scored with all their tokens. So rows
-    and products are in proportion to the pages of the asked centroids, and vectors move for candidates only.
+    of the centroids it has, and the ``candidates`` pages of largest sum are scored with all their tokens.
+
+    Queries and pages are dealt by a hash into blocks of about ``block`` tokens. A task holds the products of a block of queries with the centroids and
+    the centroids of a block of pages, looks up sums some queries at a time, and the ``candidates`` best pages of each query leave: no row
+    is made for a query's token and a page, a common centroid is no hot key, and vectors move for candidates only.
     """
     tokens = lambda rows, key: rows.select(key, F.posexplode("vecs").alias("pos", "vec"))
     x = _sample(tokens(pages, "page_id").withColumn("of", F.struct("page_id", "pos")), "of", "vec", sample)
     shared = queries.sparkSession.sparkContext.broadcast(kmeans(x, cells) if len(x) else np.zeros((1, 1)))
 
-    def near(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v, c = _rows(batch.column(2)), shared.value
-                cell = _nearest(v, c, n, product=n > 1)
-                score = np.concatenate([np.zeros((0, cell.shape[1])), *(np.take_along_axis(v[a : a + _SLICE] @ c.T, cell[a : a + _SLICE], 1) for a in range(0, len(v), _SLICE))])
-                at = pa.array(np.repeat(np.arange(len(v)), cell.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.ravel().astype(np.int32)), pa.array(score.ravel())], names=[batch.schema.names[0], "pos", "cell", "guess"])
-
-        return run
-
-    kinds = T._parse_datatype_string("pos int, cell int, guess double").fields
-    asked = tokens(queries, "query_id").mapInArrow(near(max(2, probes)), T.StructType([queries.schema["query_id"], *kinds]))
-    held = tokens(pages, "page_id").mapInArrow(near(1), T.StructType([pages.schema["page_id"], *kinds])).select("page_id", "cell").distinct()
-    met = asked.join(held, "cell").groupBy("query_id", "page_id", "pos").agg(F.max("guess").alias("guess"))
-    guessed = met.groupBy("query_id", "page_id").agg(F.sum("guess").alias("guess"))
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's products with its tokens' ``probes`` best centroids, minus infinity for the others: tokens by centroids."""
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
+            (v, n), c = matrix(batch.column(1), False), shared.value
+            asks = np.full((len(v), len(c)), -np.inf)
+            near = _nearest(v, c, max(2, probes), product=True)
+            for a in range(0, len(v), _SLICE):
+                np.put_along_axis(asks[a : a + _SLICE], near[a : a + _SLICE], np.take_along_axis(v[a : a + _SLICE] @ c.T, near[a : a + _SLICE], 1), 1)
+            flat = pa.array(asks.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n * len(c))).astype(np.int32)), flat)], names=["query_id", "asks"])
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, n = matrix(batch.column(1), False)
+            cell = pa.array(_nearest(v, shared.value)[:, 0].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), cell)], names=["page_id", "cells"])
+
+    some = lambda rows: rows.where(F.size("vecs") > 0)
+    asked = some(queries.select("query_id", "vecs")).mapInArrow(products, T.StructType([queries.schema["query_id"], T.StructField("asks", T.ArrayType(T.DoubleType()))]))
+    held = some(pages.select("page_id", "vecs")).mapInArrow(homes, T.StructType([pages.schema["page_id"], T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    asked, held = keep(asked, "maxsim-asks"), keep(held, "maxsim-cells")
+    blocks = lambda rows, of, size, name: rows.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size(of)) / size)).cast("int").alias(name))
+    shape = blocks(asked, "asks", block * len(shared.value), "nq").crossJoin(blocks(held, "cells", block, "np")).first() or (1, 1)
+    nq, np_ = (n or 1 for n in shape)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), all_of(np_).alias("pb"), "query_id", "asks")
+    right = held.select(all_of(nq).alias("qb"), F.pmod(F.xxhash64("page_id"), F.lit(np_)).cast("int").alias("pb"), "page_id", "cells")
+
+    def guess(some: pa.Table, there: pa.Table) -> pa.Table:
+        there = there.sort_by("page_id")
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if some.num_rows and there.num_rows:
+            width, asks, cell = len(shared.value), some["asks"].combine_chunks(), there["cells"].combine_chunks()
+            n = pa.compute.list_value_length(asks).to_numpy() // width
+            sums, starts = asks.flatten().to_numpy().reshape(-1, width), np.cumsum(n) - n
+            sizes, flat = pa.compute.list_value_length(cell).to_numpy(), cell.flatten().to_numpy()
+            firsts = np.cumsum(sizes) - sizes
+            step = max(1, 1_000_000 * len(n) // (len(sums) * len(flat)))
+            for a in range(0, len(n), step):
+                b = min(len(n), a + step)
+                best = np.maximum.reduceat(sums[starts[a] : starts[b - 1] + n[b - 1]][:, flat], firsts, axis=1)
+                met = best > -np.inf
+                best[~met] = 0
+                total = np.add.reduceat(best, starts[a:b] - starts[a], axis=0)
+                total[~np.logical_or.reduceat(met, starts[a:b] - starts[a], axis=0)] = -np.inf
+                row, col = best_of(total, candidates)
+                out.append((a + row, col, total[row, col]))
+        row, col, total = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table([some["query_id"].take(pa.array(row)), there["page_id"].take(pa.array(col)), pa.array(total)], names=["query_id", "page_id", "guess"])
+
+    kinds = T.StructType([queries.schema["query_id"], pages.schema["page_id"], T.StructField("guess", T.DoubleType())])
+    guessed = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(guess, kinds)
     best = top_k(guessed, ["query_id"], [F.round("guess", 9).desc(), F.col("page_id").asc()], candidates).select("query_id", "page_id")
     both = best.join(pages.select("page_id", "vecs"), "page_id").join(queries.select("query_id", F.col("vecs").alias("asked")), "query_id").select("query_id", "page_id", "asked", "vecs")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [float((np.array(q) @ np.array(p).T).max(1).sum()) for q, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
+            (q, n_q), (p, n_p) = matrix(batch.column(2), False), matrix(batch.column(3), False)
+            to_q, to_p = np.cumsum(n_q), np.cumsum(n_p)
+            got = [float((q[a - i : a] @ p[b - j : b].T).max(1).sum()) for a, i, b, j in zip(to_q, n_q, to_p, n_p, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=["query_id", "page_id", "score"])
 
     scored = both.mapInArrow(score, T.StructType([queries.schema["query_id"], pages.schema["page_id"], T.StructField("score", T.DoubleType())]))
@@ -199,23 +239,75 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+#: An odd factor that spreads codes of runs over a table of 2 ** _BITS marks.
+_SPREAD, _BITS = 0x9E3779B97F4A7C15, 20
+
+
+def _gram_code(gram: Column) -> Column:
+    """A run of one to three characters as a number, 21 bits a character."""
+    place = lambda i: F.when(F.length(gram) > i, F.ascii(F.substring(gram, i + 1, 1)).cast("long") + 1).otherwise(F.lit(0).cast("long"))
+    return F.shiftleft(place(0), 42).bitwiseOR(F.shiftleft(place(1), 21)).bitwiseOR(place(2))
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (codes.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - _BITS)
+
+
+def _held_grams(docs: DataFrame, corpus: str, key: str, wanted: DataFrame) -> DataFrame:
+    """``(corpus, key, gram)``: the distinct runs of each text whose mark is set; a mark may be that of another run of ``wanted(run)``.
+
+    The marks have one size whatever is wanted, and come from a distinct aggregation over the runs.
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(batch.column(0).to_numpy())).astype(np.int32))], names=["slot"])
+
+    marks = np.zeros(1 << _BITS, bool)
+    marks[wanted.select("run").distinct().mapInArrow(marked, "slot int").distinct().toArrow()["slot"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_wanted = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part, found = batch.slice(a, 500), []
+                for text in part.column(2).to_pylist():
+                    c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+                    one, two = c << 42, (c[:-1] << 42) | (c[1:] << 21)
+                    codes = np.concatenate([one, two, two[:-1] | c[2:]])
+                    found.append(np.unique(codes[is_wanted[_slots(codes)]]))
+                of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate(found))], names=[corpus, key, "gram"])
+
+    return docs.select(corpus, key, "h").mapInArrow(run, T.StructType([docs.schema[corpus], docs.schema[key], T.StructField("gram", T.LongType())]))
+
+
 def substring_counts(docs: DataFrame, terms: DataFrame, key: str, corpus: str = "corpus") -> DataFrame:
     """``(corpus, key, term, n)``: how often each term occurs in the texts of its corpus, for those where it does.
 
     ``docs(corpus, key, h)``, ``terms(corpus, term)``; terms aren't empty. An index of n-grams finds the texts: of the three-character
     runs of a term (a shorter term is its own run) the one that fewest texts of the corpus have fetches them by an equi-join,
-    and the texts themselves decide. Only runs that terms have are indexed.
+    and the texts themselves decide. Only runs that terms have are indexed; a task finds them by their codes, without making all runs of a text rows.
     """
     asked = terms.where("term <> ''").select(corpus, "term").distinct()
     parts = asked.withColumn("gram", F.explode(F.when(F.length("term") >= 3, _grams(F.col("term"), 3)).otherwise(F.array("term"))))
-    parts = keep(parts, "grams")
+    parts = keep(parts.withColumn("gram", _gram_code(F.col("gram"))), "grams")
     wanted = parts.select(F.col(corpus).alias("in"), F.col("gram").alias("run")).distinct()
-    runs = F.concat(*[_grams(F.col("h"), n) for n in (1, 2, 3)])
-    posted = docs.select(corpus, key, F.explode(runs).alias("gram")).join(wanted, (F.col(corpus) == F.col("in")) & (F.col("gram") == F.col("run")), "left_semi")
+    posted = _held_grams(docs, corpus, key, wanted).join(wanted, (F.col(corpus) == F.col("in")) & (F.col("gram") == F.col("run")), "left_semi")
     posted = keep(posted, "postings")
     sizes = posted.groupBy(corpus, "gram").agg(F.count("*").alias("size"))
     # a run that no text has tells that the term is nowhere
     rarest = parts.join(sizes, [corpus, "gram"], "left").groupBy(corpus, "term").agg(F.min_by("gram", F.struct(F.coalesce("size", F.lit(0)).alias("size"), "gram")).alias("gram"))
     fetched = posted.join(rarest, [corpus, "gram"]).groupBy(corpus, key).agg(F.collect_set("term").alias("terms"))
-    counted = docs.select(corpus, key, "h").join(fetched, [corpus, key]).select(corpus, key, F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), tx.occurrences(F.col("h"), t).alias("n")))).alias("x"))
-    return counted.select(corpus, key, "x.term", F.col("x.n").cast("long").alias("n")).where("n > 0")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(a, 200) for b in batches for a in range(0, b.num_rows, 200)):
+            found = [[(t, n) for t in terms if (n := h.count(t))] for h, terms in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            flat = [x for f in found for x in f]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array([t for t, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int64())], names=[corpus, key, "term", "n"])
+
+    both = docs.select(corpus, key, "h").join(fetched, [corpus, key]).select(corpus, key, "h", "terms")
+    return both.mapInArrow(count, T.StructType([docs.schema[corpus], docs.schema[key], T.StructField("term", T.StringType()), T.StructField("n", T.LongType())]))

@@ -82,3 +82,22 @@ def test_substring_plan_joins_on_runs(spark):
     docs, terms = spark.createDataFrame([("x", 1, "abcd")], "corpus string, doc_id bigint, h string"), spark.createDataFrame([("x", "bcd")], "corpus string, term string")
     plan = indexes.substring_counts(docs, terms, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "corpus" in plan and "gram" in plan and not [line for line in plan.splitlines() if "Join" in line and "=" not in line]
+
+
+def test_candidates_make_no_row_for_a_token_and_a_page(spark):
+    """The plan pairs blocks of queries with blocks of pages; several blocks give what one gives."""
+    x = clustered(5, 20, 24, 16, 0.3).reshape(160, 3, 16)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)] + [(900, []), (901, None)], "page_id bigint, vecs array<array<double>>")
+    queries = df.where("page_id % 20 = 0").withColumnRenamed("page_id", "query_id")
+    one, several = (indexes.pruned_maxsim(queries, df, 5, cells=16, probes=4, candidates=20, block=b) for b in (16_384, 10))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not [line for line in plan.splitlines() if "Join" in line and "cell" in line]
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, several.collect())) and one.count() == 40
+
+
+def test_runs_that_nobody_asks_for_are_no_rows(spark):
+    """Before the join with the asked runs there are few rows a text, not one for each of its runs."""
+    docs = spark.createDataFrame([("x", i, "".join(random.Random(i).choices("abcdefghijklmnop ", k=4000))) for i in range(20)], "corpus string, doc_id bigint, h string")
+    wanted = spark.createDataFrame([("abc",), ("b",), ("de",), ("\U0001f600é",)], "gram string").select(indexes._gram_code(F.col("gram")).alias("run"))
+    held = indexes._held_grams(docs, "corpus", "doc_id", wanted)
+    assert 20 * 2 <= held.count() <= 20 * 40
