@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,10 +148,13 @@ def longest_fit(text: str, budget: int, pattern: str = r"\w+|[^\w\s]", marker: s
     return cut_middle(text, best, marker), tokens(best)
 
 
-@F.pandas_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("truncated", T.BooleanType())]))
-def fitted_prompt(text: pd.Series, budget: pd.Series) -> pd.DataFrame:
-    """``longest_fit`` of each text to its budget; null stays null."""
-    rows = [(None, None, None) if t is None or b != b else (*longest_fit(t, max(0, int(b))), None) for t, b in zip(text, budget, strict=True)]
-    out = pd.DataFrame(rows, columns=["content", "n_tokens", "truncated"])
-    out["truncated"] = [None if t is None else c != t for t, c in zip(text, out["content"], strict=True)]
-    return out
+@F.arrow_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("truncated", T.BooleanType())]))
+def fitted_prompt(text: pa.Array, budget: pa.Array) -> pa.Array:
+    """``longest_fit`` of each text to its budget; null stays null. One text at a time is a Python object."""
+    columns: tuple[list, list, list] = ([], [], [])
+    for t, b in zip(text, budget, strict=True):
+        whole, room = t.as_py(), b.as_py()
+        content, n = (None, None) if whole is None or room is None else longest_fit(whole, max(0, int(room)))
+        for column, value in zip(columns, (content, n, None if whole is None else content != whole), strict=True):
+            column.append(value)
+    return pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.bool_())], names=["content", "n_tokens", "truncated"])

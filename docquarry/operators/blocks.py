@@ -76,11 +76,18 @@ def split_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...]
     return out
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in short ones, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def split_texts(rows: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
-    """``(key, piece, content)``; a null or empty text has no piece. Batches of Arrow come in and go out."""
+    """``(key, piece, content)``; a null or empty text has no piece. Batches of Arrow come in and go out, a few texts of one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             cut = [split_pieces(t, size, overlap) if t else [] for t in batch.column(1).to_pylist()]
             counts = [len(c) for c in cut]
             of = batch.column(0).take(pa.array(np.repeat(np.arange(len(cut)), counts)))

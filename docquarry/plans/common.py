@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small file that cost much time each, dealt to all cores: a file's size doesn't tell."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def sql_tokens(column: str) -> str:
     return rf"regexp_extract_all(lower(coalesce({column}, '')), '[\p{{L}}\p{{N}}_]+')"
 
