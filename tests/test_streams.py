@@ -62,3 +62,14 @@ def test_state_machine_on_a_stream(spark, tmp_path):
     last = got.groupBy("user_id", "page").agg(F.max_by(F.struct("states", "n_actions", "n_refused"), "n_actions").alias("x")).select("user_id", "page", "x.*")
     assert {tuple(map(str, r)) for r in last.collect()} == want and len(want) == 12
     assert got.count() > some >= 0 and got.count() > len(want)  # states were given out on the way
+
+
+def test_last_good_needs_no_calls_for_each_key(spark, tmp_path):
+    """A stage of Spark's own; and a pause of a key ends its run, also where one micro-batch holds both sides of it."""
+    rows = [(q, line, "O" if line % 3 else "F", line / 7, at(3 * 86_400 * (line // 100) + line)) for q in range(3) for line in range(200)]
+    folder = str(tmp_path / "in")
+    arrive(spark, [rows], RECORDS, folder, [(998, 1000, "O", 0.0, at(90_000 * 100))])
+    stream = keyed.last_good(spark.readStream.schema(RECORDS).option("recursiveFileLookup", "true").parquet(folder), "question", "line", F.col("status") != "F", "at", late="1 day")
+    assert "TransformWithState" not in stream._jdf.queryExecution().analyzed().toString()
+    got = {(r.question, r.line, r.first_line, r.score) for r in keyed.drain_appends(spark, stream, str(tmp_path / "run")).collect()}
+    assert got == {x for q in range(3) for x in [(q, 98, 1, 98 / 7), (q, 199, 100, 199 / 7)]}
