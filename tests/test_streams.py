@@ -73,3 +73,16 @@ def test_last_good_needs_no_calls_for_each_key(spark, tmp_path):
     assert "TransformWithState" not in stream._jdf.queryExecution().analyzed().toString()
     got = {(r.question, r.line, r.first_line, r.score) for r in keyed.drain_appends(spark, stream, str(tmp_path / "run")).collect()}
     assert got == {x for q in range(3) for x in [(q, 98, 1, 98 / 7), (q, 199, 100, 199 / 7)]}
+
+
+def test_state_machine_with_all_pages_in_one_bucket(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randrange(20), rng.randrange(3), rng.randrange(5), at(i), i, rng.choice(["activate", "open", "prune", "look"]), rng.random() < 0.8) for i in range(600)]
+    batch = controller.replay(spark.createDataFrame(rows, ACTIONS), ["user_id", "page"], ["ts", "event_id"], 5)
+    want = {tuple(map(str, r)) for r in batch.select("user_id", "page", "states", "n_actions", "n_refused").collect()}
+    folder = str(tmp_path / "in")
+    arrive(spark, [rows[:300], rows[300:]], ACTIONS, folder, [(-1, 0, 0, at(100_000), 10_000, "look", True)])
+    stream = keyed.state_machine(opened(spark, ACTIONS, folder), ["user_id", "page"], ["ts", "event_id"], 5, late="1 minute", buckets=1)
+    got = keyed.drain_appends(spark, stream, str(tmp_path / "run")).where("user_id >= 0")
+    last = got.groupBy("user_id", "page").agg(F.max_by(F.struct("states", "n_actions", "n_refused"), "n_actions").alias("x")).select("user_id", "page", "x.*")
+    assert {tuple(map(str, r)) for r in last.collect()} == want and len(want) == 60
