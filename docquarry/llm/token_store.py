@@ -18,6 +18,8 @@ follow each other by text. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import struct
 import zlib
@@ -119,18 +121,25 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, max_bytes: int = 120_000_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.words):
+            t.no_truncation()
+            t.no_padding()
+        steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        if steps[-1].get("type") == "ByteLevel" and not steps[-1]["add_prefix_space"]:
+            # for words that are cut and normal already
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(1 + max(vocab.values()), bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.pieces = Recent(max_bytes)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _ids(self, text: str, words: bool = False) -> np.ndarray:
+        """Ids of a text, or of words between spaces."""
+        return np.array((self.words if words else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, pieces: set[str]) -> None:
         """Pieces that aren't one word are cut into words, which are learned with the rest."""
@@ -141,7 +150,7 @@ class WordEncoder:
         found: dict[str, bytes] = {}
         for i in range(0, len(new), 4000):
             group = new[i : i + 4000]
-            ids = self._ids(" ".join(group))
+            ids = self._ids(" ".join(group), words=True)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group):
                 raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
@@ -154,6 +163,15 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, and how many each has; a null is an empty text."""
+        collects = gc.isenabled()
+        gc.disable()  # no cycle holds the many words and lists that are made here
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         other = [i for i, t in enumerate(texts.to_pylist()) if t and _is_other(t)]
         plain = pc.fill_null(texts, "")
         if other:
@@ -165,12 +183,14 @@ class WordEncoder:
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
         self.pieces.turn()
         raw = list(map(self.pieces.now.get, pieces))
-        if None in raw:
-            unknown = {p for p, r in zip(pieces, raw, strict=True) if r is None and p}
+        if missing := [i for i, r in enumerate(raw) if r is None]:
+            unknown = {pieces[i] for i in missing}
+            unknown.discard("")
             if lacking := self.pieces.lacking(unknown):
                 self._learn(lacking)
             get = self.pieces.now.get
-            raw = [get(p, b"") if r is None else r for p, r in zip(pieces, raw, strict=True)]
+            for i in missing:
+                raw[i] = get(pieces[i], b"")
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         ids, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
         at = coded.indices.to_numpy(zero_copy_only=False)

@@ -144,6 +144,13 @@ def test_word_encoder_equals_library(library, texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == want and len(ids) == counts.sum()
 
 
+def test_cut_words_are_encoded_without_being_cut_again(library):
+    encoder, words = token_store.WordEncoder(tokenizer("word_bpe_49k.json")), ["don", "'s", "'", "7", "straße", "ɏéñ", "...", "_", "«", "('", "ªº", "x" * 90]
+    one = [library["word_bpe_49k.json"].encode(w, add_special_tokens=False).ids for w in words]
+    assert encoder.words.pre_tokenizer.pre_tokenize_str("don's")[0][1] == (0, 5)
+    assert encoder._ids(" ".join(words), words=True).tolist() == [i for ids in one for i in ids]
+
+
 def test_segments_of_any_size(spark):
     texts = ["word " * n for n in (3, 1, 0, 50, 2, 7)] * 20
     docs = documents(spark, texts)
