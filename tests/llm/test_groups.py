@@ -432,3 +432,24 @@ def test_other_masters_need_a_shared_folder():
     conf = SimpleNamespace(get=lambda name, default: default)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_lines_are_normalised_as_words_between_single_spaces():
+    import re
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", "\n", "\t", "\r", "a", "B", "7", "é", ".", ",", "\x0b", "\x85"]) for _ in range(rng.randrange(14)))
+        want = [re.sub(r"[^a-z0\n\x80-\U0010ffff]+", " ", re.sub("[0-9]", "0", line.lower())).strip(" ").encode() or " ".join(line.encode().decode("latin-1").split(" ")).encode("latin-1") for line in text.split("\n")]
+        assert [form for form, line in zip(line_dedup.normalised(text), want, strict=True) if re.search(rb"[a-z0\x80-\xff]", line)] == [line for line in want if re.search(rb"[a-z0\x80-\xff]", line)]
+
+
+def test_marks_of_a_batch_and_of_its_slices():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("places", pa.list_(pa.int32())), ("group", pa.int64()), ("owns", pa.bool_())]))
+    rows = [None, [([1, 2], 5, True), ([0], 6, False)], None, [], [([3], 7, True)]]
+    column = pa.array([None if r is None else [dict(zip(("places", "group", "owns"), m, strict=True)) for m in r] for r in rows], kind)
+    for a in range(5):
+        for n in range(6 - a):
+            assert line_dedup._marks(column.slice(a, n)) == rows[a : a + n]
