@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docquarry.llm._shared import Recent, slices, without
+from docquarry.llm._shared import Recent, resident, slices, without
 
 #: Characters for which the standard library's classes equal those of the pre-tokenizer; all others go to its own code.
 _OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]")
@@ -188,13 +188,9 @@ class TrieBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, TrieBPE] = {}  # of this worker; its tasks share the words met so far
-
-
 def encoder(path: str) -> TrieBPE:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TrieBPE(path)
-    return _ENCODERS[path]
+    """That of this worker; the tasks of a stage share the words met so far."""
+    return resident(("bpe", path), lambda: TrieBPE(path))
 
 
 def _runs(texts: list[str | None], size: int = 2_000_000) -> Iterator[tuple[int, int]]:

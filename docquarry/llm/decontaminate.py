@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm._shared import Scratch, slices, without
+from docquarry.llm._shared import Scratch, resident, slices, without
 
 WINDOW = 13
 #: Lower-cases A-Z; every other ASCII character that is no letter or digit becomes a space. Bytes over 0x7F stay.
@@ -157,15 +157,9 @@ def scan(
     return joined.mapInArrow(gather, T.StructType([*plain.schema.fields, T.StructField(column, SCAN)])).toDF(*docs.columns, column)
 
 
-_AUTOMATA: dict = {}  # of this worker, by block; the tasks of one scan share it
-
-
 def _scanner(shared, key: str, window: int, spans: bool, at: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _AUTOMATA:
-            _AUTOMATA.clear()
-            _AUTOMATA[key] = build_automaton(shared.value, window)
-        automaton = _AUTOMATA[key]
+        automaton = resident(("automaton", key), lambda: build_automaton(shared.value, window))  # the tasks of one scan share it
         for batch in slices(batches):
             rows = []
             for text in batch.column(at).to_pylist():

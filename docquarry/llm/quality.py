@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm._shared import Scratch, slices
+from docquarry.llm._shared import Scratch, short_batches, slices
 from docquarry.llm.line_dedup import word_hashes
 
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-?!()")
@@ -184,12 +184,13 @@ def _strength(sites: DataFrame) -> float:
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.3, max_labels: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id, host, path, p_doc, host_posterior, path_posterior, quality, keep."""
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    model = fit(docs, labels, max_labels)
+    with short_batches(docs.sparkSession):
+        model = fit(docs, labels, max_labels)
     own = log_odds(docs, model, host, path)
     known = mean_labels(labels)
     # a labelled document counts for its site by its label, any other by the classifier
     rows = scratch.keep(
-        own.join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "host", "path", "own", F.coalesce("label", 1 / (1 + F.exp(-F.col("own"))), F.lit(0.0)).alias("y")), "rows"
+        own.join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "host", "path", "own", F.coalesce("label", 1 / (1 + F.exp(-F.col("own"))), F.lit(0.0)).alias("y")), "rows", texts=True
     )
     paths = scratch.keep(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "paths")
     hosts = scratch.keep(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")

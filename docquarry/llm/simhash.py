@@ -103,7 +103,7 @@ def components(fps: DataFrame, scratch: Scratch) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.keep(fingerprints(docs, shingle), "fps")
+    fps = scratch.keep(fingerprints(docs, shingle), "fps", texts=True)
     found = components(fps, scratch).withColumnRenamed("fp", "of")
     scratch.leave("fps", "components")
     return fps.join(found, F.col("fp") == F.col("of")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -206,7 +206,7 @@ def rare_shingles(hashes: DataFrame, similar: float, scratch: Scratch) -> DataFr
             sets = np.repeat(batch.column(0).to_numpy(), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(sets), pa.array(np.repeat(sizes, sizes))], names=["hash", "set", "n"])
 
-    rows = scratch.keep(hashes.mapInArrow(run, "hash long, set long, n long"), "shingles")
+    rows = scratch.keep(hashes.mapInArrow(run, "hash long, set long, n long"), "shingles", texts=True)
     several = scratch.keep(rows.groupBy(F.col("hash").alias("of")).agg(F.count("*").alias("times")).where("times > 1"), "several")
     shared = rows.join(several, F.col("hash") == F.col("of")).groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("times", "hash"))).alias("shared"))
     probe = F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1
@@ -254,7 +254,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
     component and shingle, in two turns, then all that are still apart. That loses no pair, and documents that
     share much without being copies (boilerplate of one site) have only shingles of their own there.
     """
-    sets = scratch.keep(_sets(docs, shingle), "sets")
+    sets = scratch.keep(_sets(docs, shingle), "sets", texts=True)
     distinct = scratch.keep(sets.groupBy("set").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys")), "distinct-sets")
     members = distinct.select("set", "n", F.explode("keys").alias("key"))
     first = members.groupBy(F.col("key").alias("bucket")).agg(F.count("*").alias("size"), F.min(F.struct("set", "n")).alias("first")).where("size > 1")
@@ -263,8 +263,8 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
     fits = F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b") - 1e-9
     pairs = scratch.keep(near.where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lead-pairs")
     wanted = members.select("set").unionByName(pairs.select(F.col("a").alias("set"))).unionByName(pairs.select(F.col("b").alias("set")))
-    hashes = scratch.keep(_hashes(docs, distinct, wanted.distinct(), shingle), "hashes")
-    found = scratch.keep(_alike(pairs, hashes, similar), "alike-leads")
+    hashes = scratch.keep(_hashes(docs, distinct, wanted.distinct(), shingle), "hashes", texts=True)
+    found = scratch.keep(_alike(pairs, hashes, similar), "alike-leads", texts=True)
     labels = scratch.keep(connected_components(found, scratch, "lead-cc"), "lead-labels")
     held = members.join(labels, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("component", "set").alias("component"))
     mixed = held.groupBy(F.col("key").alias("bucket")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
@@ -277,7 +277,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, shingle: int = 5, similar: fl
             if turn is None:
                 break
             continue
-        more = scratch.keep(_alike(rest, hashes, similar), f"alike-{turn}")
+        more = scratch.keep(_alike(rest, hashes, similar), f"alike-{turn}", texts=True)
         done, found = done.unionByName(rest), found.unionByName(more)
         labels = scratch.keep(connected_components(found, scratch, f"cc-{turn}"), f"labels-{turn}")
     grouped = scratch.keep(distinct.join(labels, F.col("set") == F.col("node"), "left").select("set", "first_doc", F.coalesce("component", "set").alias("component")), "grouped")

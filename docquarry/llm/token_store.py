@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm._shared import Recent, Scratch
+from docquarry.llm._shared import Recent, Scratch, resident
 
 MAGIC, BLOCK = b"DAC1", 512
 
@@ -223,9 +223,6 @@ def _runs(texts: pa.Array, size: int = 8_000_000) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-_ENCODERS: dict[str, WordEncoder] = {}  # of this worker
-
-
 def _segments_schema(doc_id: T.DataType) -> T.StructType:
     return T.StructType(
         [
@@ -247,9 +244,7 @@ def segments(docs: DataFrame, path: str, end_id: int = 2, segment_tokens: int =
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        if path not in _ENCODERS:
-            _ENCODERS[path] = WordEncoder(path)
-        encode, part = _ENCODERS[path].encode, TaskContext.get().partitionId()
+        encode, part = resident(("words", path), lambda: WordEncoder(path)).encode, TaskContext.get().partitionId()
         keys, lengths, raw, held, seq, before = [], [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:

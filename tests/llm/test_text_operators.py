@@ -1,8 +1,10 @@
 """Decontamination, tokenizers, token store, language ID, quality, chat, URL filter: against plain versions."""
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, chat, decontaminate, langid, quality, token_store, url_filter
+from docquarry.llm import _shared, bpe, chat, decontaminate, langid, quality, token_store, url_filter
 from docquarry.llm._shared import Scratch
 from docquarry.llm.queries import tokenizer
 
@@ -380,3 +382,28 @@ def test_contamination_edge_cases(spark):
         assert rows.columns == ["doc_id", "text", "scan"]
         got = sorted((r.doc_id or 0, r.scan.n_words, tuple(map(tuple, r.scan.word_ranges)), tuple(r.scan["items"])) for r in rows.collect())
         assert got == [(0, 0, (), ()), (1, 3, ((0, 2),), ("4",)), (1, 3, ((0, 2),), ("4",)), (2, 0, (), ())]
+
+
+def test_workers_let_go_of_what_other_stages_made(monkeypatch):
+    monkeypatch.setattr(_shared, "_RESIDENT", {})
+    monkeypatch.setattr(_shared, "_stage", lambda: 1)
+    path = tokenizer("byte_bpe_50k.json")
+    made = weakref.ref(bpe.encoder(path))
+    list(_shared.slices(iter([])))  # another task of the stage
+    assert made() is not None and made() is bpe.encoder(path)
+    monkeypatch.setattr(_shared, "_stage", lambda: 2)
+    list(_shared.slices(iter([])))
+    gc.collect()
+    assert made() is None
+
+
+def test_texts_move_in_short_batches(spark):
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = spark.range(0, 5000, 1, 1).mapInArrow(rows, "n long")
+    short, long = (Scratch(spark, "batches").keep(sizes, "sizes", texts=texts) for texts in (True, False))
+    assert [r.n for r in short.collect()] == [1000] * 5 and [r.n for r in long.collect()] == [5000]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
