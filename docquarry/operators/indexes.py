@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from docquarry.operators.retrieval import best_of, matrix, top_k
 from docquarry.sources.scratch import keep
 
-_SLICE = 4096
+#: Rows whose products are formed at a time; numbers held for a few queries and the codes of a block.
+_SLICE, _HELD = 1024, 500_000
 
 
 def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -34,7 +35,7 @@ def _nearest(x: np.ndarray, c: np.ndarray, n: int = 1, product: bool = False) ->
     out = [np.zeros((0, n), np.int64)]
     for a in range(0, len(x), _SLICE):
         near = half - x[a : a + _SLICE] @ c.T
-        out.append(np.argpartition(near, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(n), (len(near), 1)))
+        out.append(np.argpartition(near, n - 1, axis=1)[:, :n].copy() if n < len(c) else np.tile(np.arange(n), (len(near), 1)))
     return np.concatenate(out)
 
 
@@ -86,7 +87,7 @@ def pq_index(pages: DataFrame, quantiser: Quantiser) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, _SLICE) for b in batches for a in range(0, b.num_rows, _SLICE)):
             x, q = _rows(batch.column(1)), shared.value
             cell = _nearest(x, q.centroids)[:, 0]
             code = q.encode(x - q.centroids[cell])
@@ -96,6 +97,21 @@ def pq_index(pages: DataFrame, quantiser: Quantiser) -> DataFrame:
     return keep(coded.hint("rebalance", "cell"), "pq-index", "cell")
 
 
+def guesses(q: np.ndarray, base: np.ndarray, code: np.ndarray, quantiser: Quantiser, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, code, guess)``: the ``most`` codes of largest product of each query; what is held besides is a few MB, whatever their numbers."""
+    out, n = [], min(most, len(code))
+    step = max(1, min(64, _HELD // len(code)))
+    for a in range(0, len(q), step):
+        table = quantiser.tables(q[a : a + step])
+        guess = np.repeat(base[a : a + step, None], len(code), axis=1)
+        for s in range(code.shape[1]):
+            guess += table[:, s][:, code[:, s]]
+        top = np.argpartition(-guess, n - 1, axis=1)[:, :n] if n < len(code) else np.tile(np.arange(n), (len(guess), 1))
+        out.append((np.repeat(np.arange(a, a + len(guess)), n), top.ravel(), np.take_along_axis(guess, top, 1).ravel()))
+    i, j, guess = (np.concatenate(c) for c in zip(*out, strict=True))
+    return i, j, guess
+
+
 def pq_search(queries: DataFrame, index: DataFrame, pages: DataFrame, quantiser: Quantiser, k: int, probes: int, rerank: int = 100, block: int = 16_384) -> DataFrame:
     """``(query_id, page_id, score, rank)``: codes of the ``probes`` cells of largest product rank the pages by tables of products; the
     best ``rerank`` of a query are ranked by exact products of ``pages(page_id, vec)``.
@@ -125,17 +141,7 @@ def pq_search(queries: DataFrame, index: DataFrame, pages: DataFrame, quantiser:
         held = held.sort_by("page_id")
         q, quant = _rows(some["q"]), shared.value
         code = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(held.num_rows, -1)
-        base, out = q @ quant.centroids[key[0].as_py()], []
-        step = max(1, 2_000_000 // held.num_rows)
-        for a in range(0, len(q), step):
-            table = quant.tables(q[a : a + step])
-            guess = np.repeat(base[a : a + step, None], held.num_rows, axis=1)
-            for s in range(code.shape[1]):
-                guess += table[:, s][:, code[:, s]]
-            n = min(rerank, held.num_rows)
-            top = np.argpartition(-guess, n - 1, axis=1)[:, :n] if n < held.num_rows else np.tile(np.arange(n), (len(guess), 1))
-            out.append((np.repeat(np.arange(a, a + len(guess)), n), top.ravel(), np.take_along_axis(guess, top, 1).ravel()))
-        i, j, guess = (np.concatenate(c) for c in zip(*out, strict=True))
+        i, j, guess = guesses(q, q @ quant.centroids[key[0].as_py()], code, quant, rerank)
         return pa.table([some["query_id"].take(pa.array(i)), held["page_id"].take(pa.array(j)), pa.array(guess)], names=["query_id", "page_id", "guess"])
 
     kinds = T.StructType([queries.schema["query_id"], pages.schema["page_id"], T.StructField("guess", T.DoubleType())])

@@ -1,6 +1,7 @@
 """Search indexes against exact rankings and plain searches."""
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -45,6 +46,20 @@ def test_estimates_follow_products():
     assert np.corrcoef(guess.ravel(), (x[:20] @ x.T).ravel())[0, 1] > 0.95
 
 
+def test_products_of_codes_take_a_few_megabytes():
+    rng = np.random.default_rng(5)
+    quant = indexes.Quantiser(rng.normal(size=(4, 32)), [rng.normal(size=(256, 2)) for _ in range(16)])
+    for n_queries, n_codes in ((2048, 300), (400, 16_384)):
+        q, code = rng.normal(size=(n_queries, 32)), rng.integers(0, 256, (n_codes, 16)).astype(np.uint8)
+        tracemalloc.start()
+        i, j, guess = indexes.guesses(q, q @ quant.centroids[0], code, quant, 50)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30e6 and len(i) == 50 * n_queries
+        near = quant.tables(q[:1])[0][np.arange(16), code].sum(1) + q[0] @ quant.centroids[0]
+        assert np.allclose(np.sort(guess[i == 0]), np.sort(near)[-50:])
+
+
 def test_pruned_late_interaction(spark):
     x = clustered(3, 80, 16, 24, 0.15).reshape(80, 16, 24)
     rng = np.random.default_rng(4)
