@@ -111,6 +111,47 @@ def test_small_tables_change_nothing(library):
         assert len(small.pairs) <= small.most + 1 and len(small.ends) <= small.most + 1 and len(small.words.now) + len(small.words.old) < 90
 
 
+def odd_words(n, seed=5):
+    """Distinct words of 1 to 40 bytes: syllables, any bytes' characters, numbers, signs, and words of one byte more or less than are walked together."""
+    rng, out = random.Random(seed), {"a" * k for k in range(1, 41)} | {" " + "é" * k for k in range(1, 20)}
+    while len(out) < n:
+        kind = rng.randrange(4)
+        alphabet = ("aeiou", "thensrdl", "".join(map(chr, range(0, 0x180))), "0123456789", "!?.-_\x00☃𝄞あ")[rng.randrange(5) if kind else 1]
+        out.add(" " * rng.randrange(2) + "".join(rng.choice(alphabet) + ("" if kind else rng.choice("aeiou")) for _ in range(rng.randrange(1, 18))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("together", [20_000, 7])
+def test_short_words_are_walked_together(library, monkeypatch, together):
+    """Words of a batch, none of which goes through a call for each pair of tokens, have the library's ids."""
+    monkeypatch.setattr(bpe, "TOGETHER", together, raising=False)
+    calls, fits = [], bpe.TrieBPE.fits
+    monkeypatch.setattr(bpe.TrieBPE, "fits", lambda *a: calls.append(a) or fits(*a))
+    new, words = bpe.TrieBPE(tokenizer("byte_bpe_50k.json")), odd_words(3000)
+    got = new.encode_batch(words)
+    assert got == [e.ids for e in library["byte_bpe_50k.json"].encode_batch(words, add_special_tokens=False)]
+    assert [new.decode(i) for i in got] == words
+    short = [w for w in words if len(w.encode()) <= 32]
+    calls.clear()
+    assert new.walk(short) is None and not calls and len(short) > 2500
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'sahe\x00")), max_size=12), min_size=1, max_size=8))
+def test_walks_together_and_alone_agree(trie, texts):
+    alone = trie.encode_batch(sorted(texts))
+    trie.words.now, trie.words.old, trie.few = {}, {}, 0
+    assert trie.encode_batch(sorted(texts)) == alone
+    trie.words.now, trie.few = {}, 100
+
+
+def test_ids_that_a_vocabulary_lacks(trie):
+    assert trie.decode([]) == "" and len(trie.decode(trie.encode_batch(["a 1 ñ " * 40_000])[0])) == 240_000 and trie.listed(np.array([], np.int32)) == b"" and trie.listed(np.array([0, 50256])) == b"0,50256"
+    for ids in ([-1], [60_000]):
+        with pytest.raises(LookupError):
+            trie.decode(ids)
+
+
 def test_tokenizers_with_repeats_and_empty_tables(spark):
     path = tokenizer("byte_bpe_50k.json")
     docs = spark.createDataFrame([(None, "a b", 1), (3, "a b", 2), (3, "a b", 2), (3, None, 2)], "doc_id bigint, text string, IDS int")
