@@ -453,3 +453,62 @@ def test_marks_of_a_batch_and_of_its_slices():
     for a in range(5):
         for n in range(6 - a):
             assert line_dedup._marks(column.slice(a, n)) == rows[a : a + n]
+
+
+def grouped_texts(spark, texts):
+    """Groups of lines, as found and as all pairs make them."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    forms = sorted({f for t in texts for f in map(plain_form, t.split("\n")) if f})
+    ids = [line_dedup.line_ids(" ".join(f))[0] for f in forms]
+    scratch = Scratch(spark, "test")
+    found = [(r.a, r.b) for r in line_dedup.links(docs, scratch.keep(line_dedup.line_rows(docs), "rows"), scratch).collect()]
+    return union(ids, found), union(ids, [(ids[i], ids[j]) for i, j in plain_line_pairs(forms)])
+
+
+def test_lines_with_all_edits_allowed_meet(spark):
+    """As many words replaced as similarity 0.8 allows, spread evenly, in lines of common and of rare words."""
+    rng = random.Random(12)
+    word = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    common, texts = [word(3) for _ in range(40)], []
+    for n in [5, 6, 8, 9, 10, 14, 15, 19, 20, 22, 24, 25, 30, 60, 120, 400] * 3:
+        line = [rng.choice(common) if rng.random() < 0.5 else word(6) for _ in range(n)]
+        other = [*line]
+        for i in range(n // 5):
+            other[5 * i + 2] = word(7)
+        shorter = [w for i, w in enumerate(line) if i % 5 != 3 or i // 5 >= n // 5]
+        texts += [" ".join(line), " ".join(other), " ".join(shorter)]
+    got, want = grouped_texts(spark, texts)
+    assert got == want and len(set(want.values())) == 48
+
+
+def test_lines_of_different_representatives_meet(spark):
+    """The shortest lines of a block are its representatives; two others, each like one of them, are like each other too."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(20):
+        base = [word() for _ in range(40)]
+        for at in (0, 12):
+            other = [*base]
+            for i in range(at, at + 8):
+                other[i] = word()
+            texts += [" ".join(other[:-1]), " ".join([*other[: at + 4], *base[at + 4 :]])]
+    got, want = grouped_texts(spark, texts)
+    assert got == want and len(set(want.values())) == 20
+
+
+def test_blocks_over_chunks_and_sides_lose_no_pair(spark, monkeypatch):
+    """All pairs of different groups that may be similar, whatever the sides; long lines are told apart by counts of their words."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    shared = [rng.choice(vocabulary) for _ in range(60)]
+    lines = [" ".join([*shared, *(rng.choice(vocabulary) for _ in range(300 + i % 9))]) for i in range(60)]
+    lines += [" ".join([*x.split(" ")[:-3], "other"]) for x in lines[:20]]
+    forms = [x.encode() for x in lines]
+    sizes, parity, _, _ = line_dedup.sketches(forms)
+    rows = [(7, i, i, int(n), *map(int, p)) for i, (n, p) in enumerate(zip(sizes, parity, strict=True))]
+    df = spark.createDataFrame(rows, "key long, group long, id long, n long, p0 long, p1 long, p2 long, p3 long")
+    counts = line_dedup.word_counts(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    for side in (8192, 10):
+        monkeypatch.setattr(line_dedup, "SIDE", side)
+        assert sorted(map(tuple, line_dedup.across(df, counts).collect())) == [(i, 60 + i) for i in range(20)]
